@@ -47,7 +47,8 @@ def with_edited(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     needs = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
     wanted = successors(rows.select("id")).join(needs, "id").select(F.col("next_id").alias("of"), F.col("id").alias("by"), F.col("next_id"), "need")
-    one = rows.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("text"))).where("at = 1")
+    earlier = F.lag(F.lit(True)).over(Window.partitionBy("id").orderBy("text"))  # a limit on row_number would keep Spark from reusing the exchange of texts
+    one = rows.withColumn("earlier", earlier).where("earlier IS NULL")
     heads = one.join(wanted, one["id"] == wanted["of"]).select(F.col("by").alias("id"), "next_id", F.expr("left(text, need)").alias("head"))
     quarter = F.floor(F.length("text") / 4).cast("int")
     both = rows.join(heads, "id").withColumn("n_chars", F.length("text").cast("long")).withColumn("_quarter", quarter)
