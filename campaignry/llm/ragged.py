@@ -41,7 +41,7 @@ class Memo(dict):
     Beyond most entries (or chars) those at hand become the old ones, and the old ones not asked for since go.
     """
 
-    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 350_000, chars: int = 1 << 24, at_once: int = 8192):
+    def __init__(self, compute: Callable[[list[str]], Iterable], most: int = 250_000, chars: int = 1 << 24, at_once: int = 8192):
         super().__init__()
         self.compute, self.most, self.chars, self.at_once, self.held, self.old = compute, most, chars, at_once, 0, {}
 

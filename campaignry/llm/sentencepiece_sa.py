@@ -69,7 +69,7 @@ class PieceModel:
             self.decoded[i] = bytes([b])
         self.unknown = model.unk_id()
         self.decoded[self.unknown] = " ⁇ ".encode()
-        self.memo = Memo(self.encode_chunks, most=350_000)
+        self.memo = Memo(self.encode_chunks)
 
     def edges(self, code: np.ndarray) -> np.ndarray:
         """Piece id of each edge, or -1, by position * (depth + 1) + length. code: places of the characters of all words, 0 after each word."""
