@@ -1,0 +1,26 @@
+"""The demonstration corpus: 1,260 messages of ten brands over 365 days, from arithmetic alone."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.rules import QUADRANTS
+
+# First day, days, messages by quadrant in this order, brands.
+FIRST_DAY, DAYS = "2025-07-15", 365
+COUNTS = (580, 491, 139, 50)
+BRANDS = ("Alder Row", "Calder Cloth", "Juniper Standard", "Harbor Loom", "Morrow Denim", "Cinder and Weft", "Fielding Goods", "Sable Street", "Kestrel Supply", "Ridge and Rail")
+
+
+def demo_messages(spark: SparkSession) -> DataFrame:
+    """place, brand, received, quadrant (as planned)."""
+    ends = [sum(COUNTS[: i + 1]) for i in range(len(COUNTS))]
+    quadrant = F.coalesce(*[F.when(F.col("id") < end, q) for end, q in zip(ends, (QUADRANTS[0], QUADRANTS[1], QUADRANTS[2], QUADRANTS[3]))])
+    brand = F.element_at(F.array(*map(F.lit, BRANDS)), (F.col("id") % len(BRANDS) + 1).cast("int"))
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("id") * 37 % DAYS).cast("int"))
+    return spark.range(ends[-1]).select(F.col("id").alias("place"), brand.alias("brand"), day.alias("received"), quadrant.alias("quadrant"))
+
+
+def demo_census(spark: SparkSession) -> DataFrame:
+    return demo_messages(spark).groupBy("quadrant").agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("brand").alias("brands"), F.countDistinct("received").alias("days"))
