@@ -107,9 +107,9 @@ def read_mbox(spark: SparkSession, path: str, since: str | None = None, domains:
             for text, file, block in zip(batch["value"], batch["path"], batch["block"]):
                 body = text.partition("\n")[2]
                 if body.strip():
-                    rows.append({"path": file, "place": block * 1_000_000 + at} | parsed(body.encode()))
+                    rows.append(dict.fromkeys(names) | {"path": file, "place": block * 1_000_000 + at} | parsed(body.encode()))
                     at += 1
-            yield pd.DataFrame(rows, columns=names).astype({"received": "datetime64[us]"})
+            yield pd.DataFrame(rows, columns=names).astype({"received": "datetime64[us]", "trusted": "boolean"})
 
     found = raw.mapInPandas(run, MESSAGE)
     if since:
