@@ -19,7 +19,7 @@ MULTIPLIER = 2862933555777941757
 MASK = 0xFFFFFFFF
 #: Jumps grow as the logarithm of the shards; the expression raises an error rather than stop short.
 MOST_JUMPS = 500
-#: Each shard's rows are numbered in so many parts.
+#: Each shard's rows are numbered in so many parts, dealt by doc_id and text, so rows of one doc_id (null, say) spread as well.
 SLOT_PARTS = 64
 
 
@@ -54,7 +54,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text and 8), text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (with one shard more)."""
     text = text_or_empty(docs)
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64("doc_id").alias("_key"))
-    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), jump_shard("_key", shards).alias("shard"), jump_shard("_key", shards + 1).alias("grown_shard"), F.pmod(F.shiftright("_key", 20), F.lit(SLOT_PARTS)).cast("int").alias("_part"))
+    rows = rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), jump_shard("_key", shards).alias("shard"), jump_shard("_key", shards + 1).alias("grown_shard"), F.pmod(F.xxhash64("_key", "size", "text_crc32"), F.lit(SLOT_PARTS)).cast("int").alias("_part"))
     rows = numbered(rows, ["shard"], "_part", [F.col("doc_id"), F.col("size"), F.col("text_crc32")], "slot")
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
