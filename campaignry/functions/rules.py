@@ -62,3 +62,62 @@ EDUCATION = r"(?i)\b(?:ingredient|material|fabric|science|how\s+(?:it|this|to)\s
 LIFESTYLE = r"(?i)\b(?:weekend\s+edit|travel\s+edit|seasonal\s+edit|style\s+guide|holiday\s+edit|gift\s+guide|what\s+to\s+wear)\b"
 EMAIL = r"(?i)\b[a-z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>\[\]\"']+"
+
+# The full table of lifecycle wording, in order of precedence; those of LEAD_LABELS are also looked for in the body's lead.
+SCOPE_RULES = (
+    ("welcome", r"(?im)(?:^\s*welcome\s*:\s*|^\s*welcome\s+(?:aboard|series)\b|^\s*welcome\s+to\s+(?!(?:spring|summer|fall|autumn|winter)\b)[^\n]{1,100}|\bthanks?\s+for\s+(?:joining|signing\s+up|subscribing)|glad\s+you(?:['’]re|\s+are)\s+here|new\s+subscriber|(?:your|this)\s+welcome\s+(?:offer|code|discount)|(?:your|this)\s+first[- ]order\s+(?:offer|code|discount)\s+(?:is\s+)?(?:ready|active|inside|waiting|expires?))\b"),
+    *LIFECYCLE[:10],
+    ("loyalty", r"(?i)\b(?:your\s+(?:loyalty|rewards?)\s+(?:points|balance|tier)|points?\s+(?:balance|earned)|rewards?\s+balance)\b"),
+    *LIFECYCLE[10:],
+)
+LEAD_LABELS = ("welcome", "cart", "checkout", "browse", "post-purchase", "transactional", "account", "replenishment", "winback", "subscription")
+LEAD_CHARS, INTENT_CHARS, OFFER_CHARS, GENERIC_CHARS = 700, 400, 2400, 800
+WELCOME_STATE = r"(?i)\b(?:(?:your|this)\s+(?:(?:first[- ]order|welcome)\s+)?(?:code|offer|discount)\s+(?:is\s+)?(?:ready|active|inside|waiting|expires?)|subscriber\s+(?:code|offer|discount))\b"
+RECRUITING = r"(?i)\b(?:candidate|careers?|hiring|jobs?|recruit(?:ing|ment)?|open\s+(?:role|position)|talent\s+community|join\s+(?:our|the)\s+(?:team|ambassador|creator)\b|(?:ambassador|creator)\s+(?:program|application|applications|team)\b|(?:apply|application)\s+(?:to|for)\b.{0,60}\b(?:join|job|role|position|career|team|ambassador|creator)\b)"
+MARKETING_LEAD = r"(?i)\b(?:sale|discount|offer|save|shop|collection|new\s+(?:arrival|drop|product|set|collection|formula|format|size|flavou?r|look)|product|bundle|gift\s+guide|style\s+guide|ingredient|material|science|founder|customer\s+(?:story|review)|testimonial|launch|event|early\s+access|free\s+(?:shipping|gift)|limited[- ]time|now\s+available|back\s+in\s+stock|subscribe\s+and\s+save)\b"
+
+# Wording of each intent, in order of precedence, the points of a field and of a launch in the subject.
+INTENT_RULES = (
+    ("New product launch", r"(?i)\b(?:introducing|meet\s+(?:the|our)\s+new|new\s+(?:drop|arrival|release|collection|product|formula|format|flavou?rs?|size|look)|just\s+dropped|launch(?:ing|es|ed)?|coming\s+soon|reimagined|now\s+available|available\s+now|say\s+hello\s+to|the\s+wait\s+is\s+over|debut(?:ing|s|ed)?|first\s+look|pre[- ]order|can\s+now\s+choose|now\s+(?:fit|made|built)\s+for)\b"),
+    ("Social proof/UGC", r"(?i)\b(?:reviews?|testimonial|customer\s+story|as\s+seen\s+in|five[- ]star|5[- ]star|ugc|what\s+(?:customers|people|they)\s+(?:say|said)|real\s+(?:results|stories)|loved\s+by|ambassador(?:s|\s+program)?|join\s+(?:our|the)\s+(?:creator|ambassador)\s+program|customer\s+favou?rites?|community\s+favou?rites?|award[- ]winning|featured\s+in|rated\s+\d(?:\.\d)?|\d[\d,]*\+?\s+(?:star\s+)?reviews?)\b|\b(?:style\s+advisor|advisor(?:['’]s)?\s+picks?|expert\s+picks?|(?:swear|swears|swore)\s+by|worth\s+the\s+hype|proves?\s+the\s+hype)\b"),
+    ("Ingredient/education", r"(?i)\b(?:ingredient|material|fabric|science|how\s+(?:it|this|to)\s+(?:works?|use|choose)|what\s+(?:is|are)|why\s+(?:it|this|we)|guide\s+to|learn|explained|care\s+guide|benefits?\s+of|made\s+with|inside\s+(?:the|our)|formula|routine\s+(?:guide|tips?|explained)|how\s+to\s+(?:build|start|choose)\s+(?:a\s+)?routine|tips?|burnout|nerd\s+out|non[- ]toxic|toxins?|cotton|linen|wool|denim|vitamin|protein|magnesium)\b"),
+    ("Founder/brand story", r"(?i)\b(?:founder|our\s+story|our\s+mission|why\s+we|behind\s+the\s+brand|a\s+note\s+from)\b"),
+    ("Upsell", r"(?i)\b(?:upgrade|premium\s+tier|subscribe\s+and\s+save|add\s+another)\b"),
+    ("Cross-sell", r"(?i)\b(?:complete\s+the\s+look|pairs?\s+with|you\s+might\s+also|complementary|add[- ]on)\b"),
+    ("Lifestyle/seasonal", r"(?i)\b(?:weekend\s+edit|travel\s+edit|seasonal\s+edit|style\s+guide|holiday\s+edit|gift\s+guide|(?:mother(?:['’]s|s['’])?\s+day|holiday)\s+gifts?|what\s+to\s+wear|the\s+(?:spring|summer|fall|autumn|winter)\s+edit)\b"),
+)
+INTENT_WEIGHTS, REPEAT_POINTS, MOST_REPEATS, LAUNCH_POINTS = (6.0, 4.0, 2.0), 0.25, 2, 5.5
+SUBJECT_LAUNCH = r"(?i)(?:^\s*new\s*:|^\s*new\b.{0,80}\b(?:is|are)\s+here\b|\breimagined\b|\bnow\s+(?:fit|made|built)\s+for\b|\bdrop\s+of\s+(?:the\s+)?(?:season|year)\b)"
+EDUCATIONAL_SUBJECT = r"(?i)\b(?:nerd\s+out|what\s+(?:is|are)|why\s+(?:it|this|we)|how\s+(?:it|this|to)|science|learn|guide|experiment|versus|vs\.?)\b"
+
+# Wording of offers. Numeric ones have their depth in group 1.
+OFFER_PERCENT = (
+    r"(?i)(?:=C2=A0|=A0|%C2%A0|%A0)(\d{1,2}(?:\.\d+)?)\s*%\s*(?:off|discount|savings?)\b",
+    r"(?i)\b(\d{1,2}(?:\.\d+)?)\s*%\s*(?:off|discount|savings?)\b",
+    r"(?i)\bsave\s+(?:an?\s+|up\s+to\s+|another\s+)?(\d{1,2}(?:\.\d+)?)\s*%(?!\s*(?:more|less|higher|lower|water|energy|time|protein|hydration|market\s+share|space|weight|fuel|data|emissions?)\b)",
+    r"(?i)\b(?:take|get|enjoy|extra|score|claim)\s+(?:an?\s+|up\s+to\s+|another\s+)?(\d{1,2}(?:\.\d+)?)\s*%(?:\s*(?:off|discount|savings?)\b|(?=\s*(?:$|[!,.?:;\n])))",
+)
+OFFER_DOLLAR = (r"(?i)\$\s?(\d{1,4}(?:\.\d{1,2})?)\s*(?:off|discount)\b", r"(?i)\bsave\s+\$\s?(\d{1,4}(?:\.\d{1,2})?)\b")
+OFFER_SEMANTIC = (
+    ("bogo", r"(?i)\b(?:bogo|b1g1|buy\s+(?:one|1|\d+)\s*,?\s*get\s+(?:one|1|\d+)|\d+\s+for\s+1)\b"),
+    ("gift", r"(?i)\b(?:free\s+gift(?!\s+(?:ideas?|guide|edit))|complimentary\s+gift|gift\s+with\s+(?:a\s+)?(?:qualifying\s+)?purchase|gwp|(?:get|receive|choose|claim|enjoy)\s+(?:a\s+)?(?:free|complimentary)\s+(?:gift|[a-z0-9][a-z0-9 '&-]{0,35})\s+(?:with|when)\s+(?:a\s+)?(?:qualifying\s+)?(?:order|purchase|spend)|free\s+(?!ship(?:ping)?\b|delivery\b)[a-z0-9][a-z0-9 '&-]{0,35}\s+(?:with\s+(?:your\s+)?(?:order|purchase)|when\s+you\s+(?:order|spend))|(?:gift|free\s+(?!ship(?:ping)?\b|delivery\b)[a-z0-9][a-z0-9 '&-]{0,30}).{0,90}\b(?:qualifying|spend|order|purchase)|(?:qualifying|spend|order|purchase).{0,90}\b(?:free|complimentary)?\s*gift|(?:free|complimentary)\s+(?!ship(?:ping)?\b|delivery\b)[a-z0-9][a-z0-9 '&-]{0,35}\s+(?:on|with)\s+orders?\s+(?:over|above|of)?\s*\$?\d[\d,.]*|(?:the\s+)?gift\s+is\s+on\s+us)\b"),
+    ("bundle", r"(?i)\b(?:bundle\s+(?:and|&)\s+save|bundle\s+(?:deal|discount|savings?)|save\s+(?:on|with)\s+(?:the\s+|a\s+)?bundle|discounted\s+bundle|stack\s+and\s+save|build\s+your\s+(?:own\s+)?bundle\s+and\s+save)\b"),
+    ("free_shipping", r"(?i)\b(?:free\s+ship(?:ping)?|ships?\s+free|free\s+delivery)\b"),
+)
+OFFER_GENERIC = r"(?i)(?:\b(?:sale|discounts?|deals?|markdowns?|clearance)\b|\bpromo\s+code\b|\bcoupon\b|\b(?:special|limited[- ]time)\s+offer\b|\bearly\s+access\b|\brisk[- ]free\s+(?:trial|try)\b|\b(?:try|test)\s+(?:it\s+)?risk[- ]free\b|\b(?:\d{1,3}[- ]day\s+)?money[- ]back\s+guarantee\b|\bsavings\b|\bsave\s+(?:on|when|with|today|now|big|more)\b)"
+OFFER_FREE_ITEM = r"(?i)(?:\b(?:ends?|ending|last\s+chance|limited(?:[- ]time)?|today|tonight)\b[^.\n]{0,60}\b(?:free|complimentary)\s+(?!ship(?:ping)?\b|delivery\b|returns?\b|trial\b)[a-z0-9][a-z0-9 '&-]{0,40}|\b(?:free|complimentary)\s+(?!ship(?:ping)?\b|delivery\b|returns?\b|trial\b)[a-z0-9][a-z0-9 '&-]{0,40}[^.\n]{0,60}\b(?:ends?|ending|today|tonight|limited)\b)"
+# Wording near a match that makes it no offer, and how many characters away it is looked for.
+DENIED_AFTER = r"(?i)^\s+(?:is|are|was|were)\s+not\s+(?:available|valid|eligible|offered)\b"
+DENIED_BEFORE = r"(?i)\bnot\s+(?:available|valid|eligible)\s+(?:for|on|with)\s*$"
+POLICY_NOUNS = ("sale", "sales", "discount", "discounts", "deal", "deals")
+FINAL_SALE = r"(?i)\b(?:final\s+sale|all\s+sales\s+(?:are\s+)?final)\b"
+STACKED_AFTER = r"(?i)^\s+(?:cannot|can't|may\s+not)\s+(?:be\s+)?(?:combined|stacked|used|applied)\b"
+STACKED_BEFORE = r"(?i)\b(?:cannot|can't|may\s+not)\s+(?:be\s+)?(?:combined|stacked|used|applied).{0,45}\b(?:other\s+)?$"
+NEWS_DEALS = r"(?i)\bdeals?\s+(?:and|&|or)\s+(?:info(?:rmation)?|updates?|news)\b"
+SHIPPING_CAMPAIGN = r"(?i)\b(?:today|tonight|this\s+week(?:end)?|limited|ends?|code|unlock|last\s+chance|through\s+(?:today|tonight|midnight))\b"
+SHIPPING_POLICY = r"(?i)\b(?:free\s+shipping\s+(?:on|for)\s+(?:all\s+)?orders?|orders?\s+(?:over|above)\s+\$?\d|free\s+shipping\s+(?:and|&)\s+returns|free\s+shipping.{0,80}\borders?\s+\$?\d+|(?:member(?:ship)?|subscription)\s+(?:perks?|benefits?).{0,60}\bfree\s+shipping|shipping\s+policy|terms\s+(?:apply|and\s+conditions)|standard\s+shipping)\b"
+SHIPPING_PERK = r"(?i)\s*free\s+ship(?:ping)?\s*(?:&\s*easy\s+returns?)?\s*"
+NEAR_CHARS, POLICY_FROM, BOGO_NEAR = 90, 500, 120
+
+# Gallery and label thresholds.
+GALLERY_KEPT, GALLERY_READY = 5, 3

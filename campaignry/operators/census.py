@@ -140,3 +140,54 @@ def latest(df: DataFrame, n: int = 6) -> DataFrame:
     """The n newest messages of each scope, by day, brand and id, all descending."""
     order = Window.partitionBy("scope").orderBy(F.desc_nulls_last("observed"), F.desc("brand"), F.desc("id"))
     return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("scope", "place", "id", "brand", "observed", "subject")
+
+
+def quadrant_table(df: DataFrame) -> DataFrame:
+    """Count, share and trusted dates of each quadrant among broadcasts, and of all of them (Total), from one grouping."""
+    rows = broadcasts(df).rollup("quadrant").agg(F.grouping("quadrant").alias("total"), F.count(F.lit(1)).alias("messages"), F.min("observed").alias("first_day"), F.max("observed").alias("last_day"))
+    rows = rows.select(F.when(F.col("total") == 1, "Total").otherwise(F.col("quadrant")).alias("quadrant"), "messages", "first_day", "last_day")
+    counted = spine(df, "quadrant", (*R.QUADRANTS, "Total")).join(rows, "quadrant", "left").withColumn("messages", F.coalesce("messages", F.lit(0)))
+    whole = F.max("messages").over(Window.partitionBy())
+    return counted.select("quadrant", "messages", F.when(whole > 0, F.round(F.col("messages") * 100.0 / whole, 1)).otherwise(0.0).alias("percent"), "first_day", "last_day")
+
+
+def coverage_cross_foot(table: DataFrame) -> DataFrame:
+    """Rows of a coverage table that break one of its equations; none, if it is right."""
+    quadrants = " + ".join(q.lower().replace(" ", "_") for q in R.QUADRANTS)
+    sums = [F.sum(F.when(F.col("brand") == "TOTAL", F.col(c)).otherwise(-F.col(c))) for c in ("messages", "broadcast")]
+    rows = table.where(f"messages <> broadcast + lifecycle + uncertain OR broadcast <> {quadrants}").select("brand", F.lit("row").alias("broken"))
+    total = table.agg(sums[0].alias("m"), sums[1].alias("b")).where("m <> 0 OR b <> 0").select(F.lit("TOTAL").alias("brand"), F.lit("sum of brands").alias("broken"))
+    return rows.unionByName(total)
+
+
+def freeze_metrics(df: DataFrame) -> DataFrame:
+    """metric and value of everything a release freezes, in long form."""
+    sent = F.col("scope") == "broadcast"
+    one = df.agg(
+        F.count(F.lit(1)).alias("distinct_messages"), *[count_if(F.col("scope") == s).alias(s) for s in R.SCOPES], F.count_distinct(F.when(sent, F.col("brand"))).alias("brands"),
+        *[count_if(sent & (F.col("quadrant") == q)).alias(q.lower().replace(" ", "_")) for q in R.QUADRANTS], count_if(sent & F.col("offer")).alias("promotions"), count_if(sent & F.col("seasonal")).alias("seasonal"),
+        F.coalesce(F.datediff(F.max(F.when(sent, F.col("observed"))), F.min(F.when(sent, F.col("observed")))) + 1, F.lit(0)).alias("observed_days"),
+    )
+    of = lambda c: F.when(F.col("broadcast") > 0, F.round(F.col(c) * 100.0 / F.col("broadcast"), 1)).otherwise(0.0)
+    one = one.withColumns({f"{c}_share": of(c) for c in ("promotions", "seasonal", *(q.lower().replace(" ", "_") for q in R.QUADRANTS))})
+    return one.unpivot([], one.columns, "metric", "value") if len({t for _, t in one.dtypes}) == 1 else one.select(*[F.col(c).cast("double").alias(c) for c in one.columns]).unpivot([], one.columns, "metric", "value")
+
+
+def frozen_differences(frozen: DataFrame, now: DataFrame) -> DataFrame:
+    """Metrics that one side lacks or that differ, with both values; none, if a recomputation agrees."""
+    then = frozen.select(F.col("metric"), F.col("value").alias("frozen"))
+    return then.join(now.select("metric", F.col("value").alias("found")), "metric", "full").where(~F.col("frozen").eqNullSafe(F.col("found")))
+
+
+def hook_selection(df: DataFrame, priority: tuple[str, ...] = ()) -> DataFrame:
+    """The brand that leads the report, its strongest quadrant and that one's share; of eligible brands, those of priority first if there are any.
+
+    Brands come by broadcasts, then by priority, then by name; quadrants by count, then by name, both from the greatest.
+    """
+    brands = brand_rollup(df).where("hook_eligible").select("brand", "broadcast")
+    place = F.coalesce(*[F.when(F.lower("brand") == b.lower(), i) for i, b in enumerate(priority)], F.lit(len(priority)))
+    chosen = brands.where(place < len(priority)) if priority else brands
+    first = chosen.orderBy(F.desc("broadcast"), place, F.lower("brand")).limit(1)
+    counts = broadcasts(df).groupBy("brand", "quadrant").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("brand").agg(F.max(F.struct("n", "quadrant")).alias("top"))
+    return first.join(top, "brand").select("brand", F.col("broadcast").alias("denominator"), F.col("top.quadrant").alias("quadrant"), F.col("top.n").alias("numerator"), F.round(F.col("top.n") * 100.0 / F.col("broadcast"), 1).alias("percent"))
