@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -89,9 +89,10 @@ def ranked(found: Column) -> Column:
     return F.transform(F.array_sort(F.transform(once, keyed)), lambda x: x["o"])
 
 
-def offers(subject: Column, preheader: Column, body: Column) -> Column:
-    """Ranked candidates of the three fields; the first one is the message's primary offer."""
-    return ranked(found_offers(subject, preheader, body))
+def with_offers(rows: DataFrame, subject: Column, preheader: Column, body: Column) -> DataFrame:
+    """rows with offers, the ranked candidates of the three fields, and primary, the first of them or null."""
+    found = rows.withColumn("offers", found_offers(subject, preheader, body))  # a column of its own: lambdas can't hold a Python function
+    return found.withColumn("offers", ranked(F.col("offers"))).withColumn("primary", F.get("offers", F.lit(0)))
 
 
 @pandas_udf(T.BooleanType())

@@ -24,13 +24,13 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-NONE = F.lit("")
+def none():
+    """Messages derived from the tables have no preheader."""
+    return F.lit("")
 
 
 def with_offers(rows: DataFrame) -> DataFrame:
-    """messages with ranked offers and the primary one."""
-    found = rows.withColumn("offers", O.offers(F.col("subject"), NONE, F.col("visible_text")))
-    return found.withColumn("primary", F.get("offers", F.lit(0)))
+    return O.with_offers(rows, F.col("subject"), none(), F.col("visible_text"))
 
 
 def offer_primary(s: SparkSession, d: str) -> DataFrame:
@@ -56,19 +56,19 @@ def offers_semantic(s: SparkSession, d: str) -> DataFrame:
 
 def scope_classify(s: SparkSession, d: str) -> DataFrame:
     rows = messages(s, d)
-    return rows.select("id", S.scope_evidence(F.col("subject"), NONE, F.col("visible_text"), F.col("trusted")).alias("e")).select("id", "e.scope", "e.reason", "e.confidence")
+    return rows.select("id", S.scope_evidence(F.col("subject"), none(), F.col("visible_text"), F.col("trusted")).alias("e")).select("id", "e.scope", "e.reason", "e.confidence")
 
 
 def intent_scores(s: SparkSession, d: str) -> DataFrame:
-    return messages(s, d).select("id", S.content_intent(F.col("subject"), NONE, F.col("visible_text")).alias("e")).select("id", "e.intent", "e.confidence")
+    return messages(s, d).select("id", S.content_intent(F.col("subject"), none(), F.col("visible_text")).alias("e")).select("id", "e.intent", "e.confidence")
 
 
 def intent_documents(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "documents").select("doc_id", S.content_intent(F.col("source"), NONE, F.col("text")).alias("e")).select("doc_id", "e.intent", "e.confidence")
+    return _table(s, d, "documents").select("doc_id", S.content_intent(F.col("source"), none(), F.col("text")).alias("e")).select("doc_id", "e.intent", "e.confidence")
 
 
 def intent_with_offers(s: SparkSession, d: str) -> DataFrame:
-    e = S.intent(F.col("subject"), NONE, F.col("visible_text"), F.col("primary"))
+    e = S.intent(F.col("subject"), none(), F.col("visible_text"), F.col("primary"))
     return with_offers(messages(s, d)).select("id", e.alias("e")).select("id", "e.intent", "e.confidence")
 
 
