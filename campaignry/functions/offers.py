@@ -18,6 +18,17 @@ CANDIDATES = T.ArrayType(T.StructType([T.StructField(k, t) for k, t in _TYPES.it
 SOURCES = ("subject", "preheader", "visible_text")
 
 
+#: Words without which no pattern of a kind can match; they spare most texts most patterns.
+NEEDED = {"%off": ("%",), "$off": ("$",), "bogo": ("bogo", "b1g1", "buy", "for"), "gift": ("gift", "free", "complimentary", "gwp"), "bundle": ("bundle", "stack"), "free_shipping": ("free",), "other": ("sale", "discount", "deal", "markdown", "clearance", "promo", "coupon", "offer", "access", "risk", "guarantee", "save", "saving")}
+
+
+def matches(kind: str, pattern: str, text: str) -> Iterator[re.Match]:
+    """All matches; texts with other than ASCII letters, where case has more rules, are always searched."""
+    if text.isascii() and not any(w in text.lower() for w in NEEDED[kind]):
+        return iter(())
+    return re.finditer(pattern, text)
+
+
 def line_at(text: str, start: int, end: int) -> str:
     stop = text.find("\n", end)
     return text[text.rfind("\n", 0, start) + 1 : None if stop < 0 else stop]
@@ -50,16 +61,16 @@ def field_offers(source: str, text: str | None) -> list[dict]:
         out.append({"type": kind, "depth": depth, "unit": unit, "source": source, "evidence": found.group().strip(), "confidence": confidence, "position": found.start()})
 
     for kind, unit, most, patterns in (("%off", "percent", 99, R.OFFER_PERCENT), ("$off", "dollar", 9999.99, R.OFFER_DOLLAR)):
-        for m in (m for p in patterns for m in re.finditer(p, text)):
+        for m in (m for p in patterns for m in matches(kind, p, text)):
             if 1 <= float(m[1]) <= most and not denied(kind, text, m):
                 add(kind, m, float(m[1]), unit)
     semantic = R.OFFER_SEMANTIC if body else (*R.OFFER_SEMANTIC, ("gift", R.OFFER_FREE_ITEM))
-    for kind, m in ((kind, m) for kind, p in semantic for m in re.finditer(p, text)):
+    for kind, m in ((kind, m) for kind, p in semantic for m in matches(kind, p, text)):
         if not denied(kind, text, m) and not (kind == "free_shipping" and body and standing_policy(text, m)):
             add(kind, m)
     if not out:
         text = whole[: R.GENERIC_CHARS] if body else whole
-        for m in re.finditer(R.OFFER_GENERIC, text):
+        for m in matches("other", R.OFFER_GENERIC, text):
             word = m.group().casefold()
             news = word in ("deal", "deals") and re.search(R.NEWS_DEALS, text[max(0, m.start() - 50) : m.end() + 70])
             if not (body and word == "savings") and not news and not denied("other", text, m):
@@ -70,7 +81,11 @@ def field_offers(source: str, text: str | None) -> list[dict]:
 @pandas_udf(CANDIDATES)
 def found_offers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for fields in batches:
-        yield pd.Series([[x for s, t in zip(SOURCES, row) for x in field_offers(s, t)] for row in zip(*fields)], dtype=object)
+        known = [{t: field_offers(s, t) for t in set(texts)} for s, texts in zip(SOURCES, fields)]  # equal texts of a batch once
+        yield pd.Series([[x for k, t in zip(known, row) for x in k[t]] for row in zip(*fields)], dtype=object)
+
+
+found_offers = found_offers.asNondeterministic()  # so that filters on the offers don't run it a second time
 
 
 def ranked(found: Column) -> Column:
