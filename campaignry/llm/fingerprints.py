@@ -23,6 +23,8 @@ from .hamming import components, distance
 
 SPACE = r"[\x20\x09-\x0D]+"
 MOST_WEIGHT = 16
+#: Stands for a null id among the ids of a group, so that any other comes before it.
+LAST_ID = 2**63 - 1
 #: Two counters of 32 bits share a long, so a text may hold about 100 million terms.
 PAIR = 0x100000001
 
@@ -93,7 +95,8 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_group.
 
-    near_group: the least doc_id reachable over links of 2 bits or fewer between fingerprints of documents.
+    near_group: the least doc_id reachable over links of 2 bits or fewer between fingerprints of documents; null only
+    if none but null ones are. Where ids repeat, unrelated groups may show the same near_group.
     """
     rows = with_edited(docs)
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("words")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("words")))
@@ -103,9 +106,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     pairs = found.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(n) for k, c, n in ((0, "fp", "fp"), (1, "fp", "edited_fp"), (0, "copies", "copies"))])
     pairs = materialize(pairs.drop("text_hash"), "fingerprints")
     nexts = pairs.groupBy("id").agg(F.min(F.struct("edited_sha256", "fp"))["fp"].alias("next_fp")).withColumnRenamed("id", "next_id")
-    groups = components(pairs.select("id", "fp"), block_tables())
+    groups = components(pairs.select(F.when(F.col("id") != NULL_ID, F.col("id")).otherwise(F.lit(LAST_ID)).alias("id"), "fp"), block_tables())
     out = pairs.join(nexts, "next_id").join(groups, "fp").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    real = [F.nullif(F.col(c), F.lit(NULL_ID)) for c in ("id", "component")]
+    real = [F.nullif(F.col(c), F.lit(n)) for c, n in (("id", NULL_ID), ("component", LAST_ID))]
     return out.select(
         real[0].alias("doc_id"), "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), real[1].alias("near_group"),

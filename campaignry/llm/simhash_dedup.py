@@ -8,8 +8,10 @@ before any comparison. The full Hamming check follows (see hamming.linked_pairs)
 
 Edge cases: a null text counts as an empty one; texts without words have fingerprint zero and are linked like any
 other; a text of one or two words has one shingle, the whole sequence; very long texts are hashed in blocks; repeated
-rows are in one component; a null doc_id is never a component's id unless no other is there (then it is null); an empty
-table gives an empty result; other columns are ignored by near_duplicates and kept by one_of_each.
+rows are in one component; a null doc_id is never a component's id unless no other is there (then it is null); rows of
+one doc_id, null included, are in one component only if their texts are near; so unrelated components may show the same
+component_id where ids repeat or are null, and one_of_each goes by the components, not by what they show; an empty table
+gives an empty result; other columns are ignored by near_duplicates and kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 from .hamming import components
 
 SEED = 42
@@ -57,30 +59,40 @@ def simhash(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def identity(docs: DataFrame) -> tuple[Column, Column]:
+    """A document's id (null: the greatest long) and mark, the MD5 of its text (of a null one: no bytes)."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.coalesce(F.unhex(F.md5(docs["text"])), F.lit(b""))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(id, fp): doc_id (null: the greatest long) and signed fingerprint."""
+    """(id, mark, fp): identity and signed fingerprint of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([simhash(t, words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": batch["id"], "fp": fp})
+            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "fp": fp})
 
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), "text").mapInPandas(run, "id long, fp long")
+    number, mark = identity(docs)
+    return docs.select(number.alias("id"), mark.alias("mark"), "text").mapInPandas(run, "id long, mark binary, fp long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable over links of 2 bits or fewer."""
-    fps = materialize(fingerprints(docs, words), "simhash")
+    fps = materialize(fingerprints(docs, words).drop("mark"), "simhash")
     of = components(fps, pigeonring_tables())
     real = [F.nullif(F.col(c), F.lit(NO_ID)) for c in ("id", "component")]
     return fps.join(of, "fp").select(real[0].alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real[1].alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the document of the least doc_id stays, once."""
-    found = materialize(near_duplicates(docs, words), "components")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(keep.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    if keep.groupBy("_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """docs without near-duplicates: of each component the document of the least doc_id and then the least MD5 stays, once."""
+    fps = materialize(fingerprints(docs, words), "simhash")
+    of = components(fps.select("id", "fp"), pigeonring_tables())
+    firsts = fps.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")).join(of, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = materialize(firsts.select("first.id", "first.mark"), "kept")
+    names = [free_name(docs, n) for n in ("_id", "_mark")]
+    marked = docs.select("*", *[c.alias(n) for c, n in zip(identity(docs), names)])
+    kept = marked.join(keep, [marked[n] == keep[k] for n, k in zip(names, ("id", "mark"))], "left_semi")
+    if fps.join(keep, ["id", "mark"], "left_semi").groupBy("id", "mark").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(names)
+    return kept.drop(*names)

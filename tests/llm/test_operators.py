@@ -192,3 +192,30 @@ def test_maximal_conversations(spark):
     assert got[2, 0]["n_same"] == 2 and got[7, 1]["n_turns"] == 1300
     assert got[None, 0]["rendered"] == "<|turn_start|>user\nz<|turn_end|>\n<|turn_start|>assistant\n<turn_end|><|turn_end|>\n"
     assert chat.format_conversations(df.where("conv_id = 99")).count() == 0
+
+
+def near_texts():
+    """A long text, one of the same words but the last whose fingerprint is 1 or 2 bits away, and two unrelated ones."""
+    texts = ([" ".join([*(f"w{i}" for i in range(n)), last]) for last in ("x", "y")] for n in range(300, 400))
+    base, near = next((a, b) for a, b in texts if 1 <= (simhash_dedup.simhash(a) ^ simhash_dedup.simhash(b)).bit_count() <= 2)
+    return base, near, " ".join(f"y{i}" for i in range(50)), " ".join(f"z{i}" for i in range(50))
+
+
+def test_null_and_repeated_ids_do_not_join_unrelated_texts(spark):
+    base, near, other, third = near_texts()
+    schema = "doc_id long, text string, source string, _id long"
+    rows = [(None, near, "a", 1), (None, other, "a", 2), (None, third, "b", 3), (3, base, "a", 4), (7, other + " q " + third, "a", 5), (3, third + " 1 " + base[:90], "b", 6), (3, third + " 1 " + base[:90], "b", 6)]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_dedup.near_duplicates(df).collect()}
+    hexed = lambda t: f"{simhash_dedup.simhash(t):016x}"
+    assert got[None, hexed(near)] == got[3, hexed(base)] == 3 and got[None, hexed(other)] is None and got[None, hexed(third)] is None
+    kept = sorted(simhash_dedup.one_of_each(df).collect(), key=str)
+    assert simhash_dedup.one_of_each(df).columns == df.columns
+    assert sorted(map(tuple, kept), key=str) == sorted(rows[1:-1], key=str)
+
+
+def test_groups_of_null_ids_stay_apart(spark):
+    rows = [(None, "aa bb cc dd", "s"), (5, "aa bb cc dd", "s"), (None, "something else here", "s"), (9, "quite another text", "s"), (None, "quite another text", "s")]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    groups = sorted(((r["doc_id"], r["n_chars"], r["near_group"]) for r in got), key=str)
+    assert groups == sorted([(None, 11, 5), (5, 11, 5), (None, 19, None), (9, 18, 9), (None, 18, 9)], key=str)
