@@ -121,6 +121,7 @@ QUERIES = {
     "dedupe_l4_campaign": lambda s, d: dedupe.by_campaign(messages(s, d)),
     "dedupe_report": lambda s, d: dedupe.report(messages(s, d), dedupe.first_of(messages(s, d), "message_id")),
     "content_hash": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang")).alias("content_hash")),
+    "content_hash_documents": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("content_hash")),
     "normalize_domain": lambda s, d: _pages(s, d).select("page_id", X.normal_domain(F.col("url")).alias("domain")),
     "normalize_url": lambda s, d: _pages(s, d).select("page_id", X.normal_url(F.col("url")).alias("normal_url")),
     "redact_email_url": lambda s, d: _documents(s, d).select("doc_id", F.md5(X.redacted(F.col("text"))).alias("redacted_md5")),
@@ -187,6 +188,7 @@ ORACLE_SQL = {k: MESSAGES + v for k, v in _ORACLE.items()} | {
     "dedupe_l3_content": _RECURSIVE + _leaders_sql("brand, content_hash", r", x AS (SELECT *, sha256(trim(regexp_replace(lower(subject || chr(10) || visible_text), '\s+', ' ', 'g'))) AS content_hash FROM raw)", R.CONTENT_DAYS),
     "dedupe_l4_campaign": _RECURSIVE + _leaders_sql("brand, campaign_id", ", x AS (SELECT * FROM raw)", R.CAMPAIGN_DAYS),
     "content_hash": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang)), '\s+', ' ', 'g'))) AS content_hash FROM documents",
+    "content_hash_documents": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang, text)), '[\t\n\x0B\f\r ]+', ' ', 'g'))) AS content_hash FROM documents",
     "normalize_domain": r"SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)', 1), '^www\.', ''), '\.+$', '') AS domain FROM pages",
     "normalize_url": r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '[.,;:!?)]+$', ''), '#.*$', ''), '/+$', '') AS u FROM pages),
         h AS (SELECT *, regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1) AS head FROM n) SELECT page_id, lower(head) || substr(u, length(head) + 1) AS normal_url FROM h""",

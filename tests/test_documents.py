@@ -1,0 +1,23 @@
+"""Queries over whole documents against plain Python."""
+
+import hashlib
+import re
+
+import duckdb
+
+from campaignry import queries as C
+
+SF = "/root/testdata/sf0.001"
+
+
+def documents():
+    return duckdb.execute(f"SELECT doc_id, source, lang, text FROM '{SF}/documents.parquet'").fetchall()
+
+
+def test_content_hash_reads_the_whole_text(spark):
+    rows = documents()
+    want = {i: hashlib.sha256(re.sub(r"[ \t\n\x0b\f\r]+", " ", "\n".join(x for x in (s, g, t) if x is not None).lower()).strip(" ").encode()).hexdigest() for i, s, g, t in rows}
+    assert {r["doc_id"]: r["content_hash"] for r in C.QUERIES["content_hash_documents"](spark, SF).collect()} == want
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert dict(duckdb.execute(C.ORACLE_SQL["content_hash_documents"]).fetchall()) == want
+    assert len(set(want.values())) > len({(s, g) for _, s, g, _ in rows})
