@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +89,32 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(hits)).select("doc_id", "rule", F.explode("hits").alias("hit")).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("matches"), F.min(F.substring(F.sha2("hit", 256), 1, 16)).alias("first_hash"))
 
 
+ASCII_BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def secret_scan_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, rule, matches, first_hash (least short hash of a match) of each rule that a document matches: the reference's content rules.
+
+    Addresses at reserved domains have a rule of their own, opaque tracking values count as tracking fragments, and a
+    text that looks like raw mail is a match as a whole. Rules see the bytes of a text, each as one character.
+    """
+    data = docs.select("doc_id", F.decode(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), "ISO-8859-1").alias("data"))
+    every = lambda p, group=1: F.regexp_extract_all("data", F.lit(f"({p})".replace("(?im)", "(?imd)").replace(r"\b", ASCII_BORDER)), F.lit(group))
+    found = {k: every(p) for k, p in R.SECRET_RULES}
+    reserved = lambda x: x.rlike(R.SECRET_RESERVED)
+    found["synthetic_email_address"] = F.filter(found["email_address"], reserved)
+    found["email_address"] = F.filter(found["email_address"], lambda x: ~reserved(x))
+    opaque = lambda v: (F.length(v) >= 20) | v.rlike("[0-9A-Z]") | (F.length(F.regexp_replace(v, "[^-_.~]", "")) >= 2)
+    alone = F.filter(F.arrays_zip(every(R.SECRET_STANDALONE).alias("hit"), every(R.SECRET_STANDALONE, 2).alias("value")), lambda x: opaque(x.getField("value")))
+    found["recipient_tracking_fragment"] = F.concat(found["recipient_tracking_fragment"], F.transform(alone, lambda x: x.getField("hit")))
+    low = F.lower("data")
+    mail = reduce(and_, [low.contains(x) for x in R.SECRET_MAIL_ALL]) & reduce(or_, [low.contains(x) for x in R.SECRET_MAIL_ANY])
+    found["raw_mail_payload"] = F.when(mail, F.array("data")).otherwise(F.array().cast("array<string>"))
+    hits = data.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("hits")) for k, v in found.items()]))).where(F.size("hits") > 0)
+    hashes = F.transform("hits", lambda x: F.substring(F.sha2(F.encode(x, "ISO-8859-1"), 256), 1, 16))
+    return hits.select("doc_id", "rule", F.size("hits").cast("long").alias("matches"), F.array_min(hashes).alias("first_hash"))
+
+
 def capped_levels(spark: SparkSession, d: str) -> DataFrame:
     """Level counts of a ledger cut so that their running sum stays within the collapsed messages (here: a third of the sum)."""
     counts = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("level")).agg(F.count(F.lit(1)).alias("n"))
@@ -128,6 +157,7 @@ QUERIES = {
     "strip_payload_lines": lambda s, d: _documents(s, d).select("doc_id", F.md5(X.without_payload_lines(F.col("text"))).alias("kept_md5")),
     "numeric_tokens": lambda s, d: _documents(s, d).select("doc_id", F.array_join(X.numeric_tokens(F.col("text")), " ").alias("numbers")),
     "secret_scan": lambda s, d: secret_scan(_documents(s, d)),
+    "secret_scan_documents": lambda s, d: secret_scan_documents(_documents(s, d)),
     "html_visible_text": lambda s, d: visible_pages(_pages(s, d)),
     "capped_levels": capped_levels,
     "demo_census": lambda s, d: demo_census(s),
