@@ -219,3 +219,16 @@ def test_groups_of_null_ids_stay_apart(spark):
     got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     groups = sorted(((r["doc_id"], r["n_chars"], r["near_group"]) for r in got), key=str)
     assert groups == sorted([(None, 11, 5), (5, 11, 5), (None, 19, None), (9, 18, 9), (None, 18, 9)], key=str)
+
+
+def test_mixing_draws_rows_of_null_ids_apart(spark):
+    rows = [(None if s == 0 else s * 10000 + i, f"text {s} {i}", f"s{s}") for s in range(11) for i in range(3000 if s == 0 else 300)]
+    mixed = mixing.poisson_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    hot = mixed.where("source = 's0'").select("text", F.spark_partition_id().alias("part")).collect()
+    want = 6000 * 3000**0.5 / (3000**0.5 + 10 * 300**0.5)
+    assert abs(len(hot) - want) < 150 and len({r["text"] for r in hot}) > 800
+    one = spark.createDataFrame([(None, f"t{i}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = mixing.poisson_mix(one, total_rows=4000).groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 2000
