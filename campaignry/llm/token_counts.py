@@ -13,11 +13,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
@@ -121,13 +119,16 @@ def vocabulary(path: str) -> ByteBPE:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more tokens than limit)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         bpe = vocabulary(path)
         for batch in batches:
-            rows = [(i, t or "") for i, t in zip(batch["doc_id"].tolist(), batch["text"].tolist())]
-            for group in grouped(rows, lambda r: len(r[1])):
-                n = np.array(bpe.count([t for _, t in group]), np.int64)
-                n_bytes = np.array([len(t.encode("utf-8", "surrogatepass")) for _, t in group], np.int64)
-                yield pd.DataFrame({"doc_id": pd.array([i for i, _ in group], "object"), "n_bytes": n_bytes, "n_tokens": n, "over_limit": n > limit})
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            at = 0
+            for texts in grouped((t.as_py() or "" for t in batch.column(1)), len):
+                n = np.array(bpe.count(texts), np.int64)
+                n_bytes = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *map(pa.array, (n_bytes, n, n > limit))], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                at += len(texts)
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
