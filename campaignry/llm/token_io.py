@@ -1,7 +1,8 @@
 """Token ids in Simple-8b words.
 
-File format: Parquet rows, one for each segment of whole documents in ascending doc_id order, with doc_ids, doc_lens
-(ids of each document), first (ids before the segment in its part) and data, a binary string of little-endian fields:
+File format: Parquet rows, one for each segment of whole documents in ascending doc_id order, with doc_ids, no_ids (how
+many of them, from the first one, stand for a null), doc_lens (ids of each document), first (ids before the segment in
+its part) and data, a binary string of little-endian fields:
 
     magic b"S8B1", block length u32, ids u64, words u64, block offsets u32 (blocks + 1, in words), words u64
 
@@ -10,8 +11,8 @@ the escape: the next word is one id as it is (60 bits are not enough). Blocks ho
 fewer) and end with a padded word, so each can be decoded from its offset alone; all words of one selector are decoded
 as one array. Parquet's commit protocol makes the files whole when executors are lost.
 
-Edge cases: a null text counts as an empty one and has only the end id; rows with equal doc_id are ordered by text,
-null doc_ids come first; a very long text is tokenized in pieces cut at spaces; an empty table gives files without
+Edge cases: a null text counts as an empty one and has only the end id; rows with equal doc_id are ordered by a hash of
+their text and then by text, null doc_ids come first; a very long text is tokenized in pieces cut at spaces; an empty table gives files without
 rows; other columns are ignored.
 """
 
@@ -227,7 +228,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -> None:
     """Tokenize every text, append end_id to each, and write the ids in ascending doc_id order."""
-    schema = "part int, first long, doc_ids array<bigint>, doc_lens array<bigint>, n_ids long, data binary"
+    schema = "part int, first long, doc_ids array<bigint>, no_ids int, doc_lens array<bigint>, n_ids long, data binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -237,14 +238,15 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -
         size = 0
 
         def segment() -> pd.DataFrame:
-            ids = np.concatenate([x for _, x in held])
-            return pd.DataFrame({"part": [part], "first": [first], "doc_ids": [[i for i, _ in held]], "doc_lens": [[len(x) for _, x in held]], "n_ids": [len(ids)], "data": [encode_ids(ids)]})
+            ids = np.concatenate([x for *_, x in held])
+            numbers = [i for i, *_ in held]
+            return pd.DataFrame({"part": [part], "first": [first], "doc_ids": [numbers], "no_ids": [sum(none for _, none, _ in held)], "doc_lens": [[len(x) for *_, x in held]], "n_ids": [len(ids)], "data": [encode_ids(ids)]})
 
         for batch in batches:
-            rows = zip((None if null else i for i, null in zip(batch["doc_id"], batch["none"])), batch["text"].tolist())
-            for group in grouped(((i, t or "") for i, t in rows), lambda r: len(r[1])):
-                for (i, _), ids in zip(group, tokenizer.encode([t for _, t in group])):
-                    held.append((i, np.append(ids, np.uint32(end_id))))
+            rows = zip(batch["doc_id"].tolist(), batch["none"].tolist(), batch["text"].tolist())
+            for group in grouped(((i, none, t or "") for i, none, t in rows), lambda r: len(r[2])):
+                for (i, none, _), ids in zip(group, tokenizer.encode([t for *_, t in group])):
+                    held.append((i, none, np.append(ids, np.uint32(end_id))))
                     size += len(ids) + 1
                     if size >= SEGMENT:
                         yield segment()
@@ -253,8 +255,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2) -
             yield segment()
 
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("doc_id"), docs["doc_id"].isNull().alias("none"), "text")
-    order = [F.col("none").desc(), F.col("doc_id"), F.col("text")]
-    rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).mapInPandas(run, schema).write.parquet(path)
+    order = [F.col("none").desc(), F.col("doc_id"), F.xxhash64("text"), F.col("text")]  # a hash, so the rows of one doc_id spread without their texts in the ranges
+    rows.repartitionByRange(*order[:3]).sortWithinPartitions(*order).mapInPandas(run, schema).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -271,6 +273,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 lens = np.asarray(r.doc_lens, np.int64)
                 ends = np.cumsum(lens)
                 crc = [zlib.crc32(ids[a:b].data) for a, b in zip((ends - lens).tolist(), ends.tolist())]
-                yield pd.DataFrame({"doc_id": pd.array([None if i != i else i for i in r.doc_ids], "Int64"), "start": r.base + r.first + ends - lens, "n_tokens": lens, "ids_crc32": crc})
+                numbers = pd.arrays.IntegerArray(np.array(r.doc_ids, np.int64), np.arange(len(lens)) < r.no_ids)
+                yield pd.DataFrame({"doc_id": numbers, "start": r.base + r.first + ends - lens, "n_tokens": lens, "ids_crc32": crc})
 
-    return files.join(F.broadcast(bases), "part").select("base", "first", "doc_ids", "doc_lens", "data").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(bases), "part").select("base", "first", "doc_ids", "no_ids", "doc_lens", "data").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
