@@ -9,8 +9,9 @@ tables, each with another pair of blocks in front, find all of them (see hamming
 
 Edge cases: a null text counts as an empty one, whose only term is the empty one of weight 0, which gives fingerprint
 zero; the successor of the last document is the first, of a single one itself; rows with equal doc_id have the same
-successor, the next greater doc_id's row of least text; a null doc_id comes first; repeated rows give a row each; an
-empty table gives an empty result; other columns are ignored.
+successor, of the next greater doc_id the row whose text has the least SHA-256; a null doc_id comes first, and its rows,
+however many, stay where they are; repeated rows give a row each; an empty table gives an empty result; other columns are
+ignored. Votes of 2**32 or more in one task's copies of a text raise an error.
 """
 
 from __future__ import annotations
@@ -18,15 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialize
+from .common import join_by_key, materialize
 from .hamming import components, distance
 
 SPACE = r"[\x20\x09-\x0D]+"
 MOST_WEIGHT = 16
-#: Stands for a null id among the ids of a group, so that any other comes before it.
-LAST_ID = 2**63 - 1
-#: Two counters of 32 bits share a long, so a text may hold about 100 million terms.
+#: Two counters of 32 bits share a long.
 PAIR = 0x100000001
+MOST_VOTES = 2**32 - 1
 
 
 def block_tables() -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
@@ -36,25 +36,33 @@ def block_tables() -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """(id, next_id) for distinct ids: the next greater one, after the last the first. Only ids move, by ranges."""
-    ranged = materialize(ids.distinct().repartitionByRange("id").select("id", F.spark_partition_id().alias("range")), "ids")
-    firsts = ranged.groupBy("range").agg(F.min("id").alias("first"))  # a row for each partition
+    """ids (id, need) with next_id: the next greater id (null is the least), after the last the first. Only ids move, by ranges."""
+    ranged = materialize(ids.repartitionByRange("id").select("id", "need", F.spark_partition_id().alias("range")), "ids")
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("id")).alias("first"))  # a row for each partition
     after = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("then"), F.first("first").over(Window.orderBy("range")).alias("start"))
-    inside = ranged.withColumn("next_id", F.lead("id").over(Window.partitionBy("range").orderBy("id")))
-    return inside.join(F.broadcast(after), "range").select("id", F.coalesce("next_id", "then", "start").alias("next_id"))
+    inside = ranged.withColumn("next", F.lead(F.struct("id")).over(Window.partitionBy("range").orderBy("id")))
+    return inside.join(F.broadcast(after), "range").select("id", "need", F.coalesce("next", "then", "start")["id"].alias("next_id"))
 
 
-def with_edited(docs: DataFrame) -> DataFrame:
-    """id, text, edited, n_chars, next_id. edited: the last quarter of text is replaced by the beginning of the next text."""
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+def with_edited(docs: DataFrame) -> list[DataFrame]:
+    """id, text, text_hash, edited, n_chars, next_id of the rows with an id, and of those without. edited: the last quarter of text is replaced by the beginning of the next text."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("text_hash"))
     needs = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
-    wanted = successors(rows.select("id")).join(needs, "id").select(F.col("next_id").alias("of"), F.col("id").alias("by"), F.col("next_id"), "need")
-    earlier = F.lag(F.lit(True)).over(Window.partitionBy("id").orderBy("text"))  # a limit on row_number would keep Spark from reusing the exchange of texts
-    one = rows.withColumn("earlier", earlier).where("earlier IS NULL")
-    heads = one.join(wanted, one["id"] == wanted["of"]).select(F.col("by").alias("id"), "next_id", F.expr("left(text, need)").alias("head"))
+    wanted = successors(needs).select(F.col("next_id").alias("of"), F.col("id").alias("by"), "next_id", "need")
+    named, nameless = rows.where("id IS NOT NULL"), rows.where("id IS NULL")
+    earlier = F.lag(F.lit(True)).over(Window.partitionBy("id").orderBy("text_hash"))  # a limit on row_number would keep Spark from reusing the exchange of texts
+    one = named.withColumn("earlier", earlier).where("earlier IS NULL").select("id", "text")
+    one = one.union(nameless.agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "text_hash").alias("text")).where("n > 0").select(F.lit(None).cast("long").alias("id"), "text"))
+    heads = one.join(wanted, one["id"].eqNullSafe(wanted["of"])).select("by", "next_id", F.expr("left(text, need)").alias("head"))
     quarter = F.floor(F.length("text") / 4).cast("int")
-    both = rows.join(heads, "id").withColumn("n_chars", F.length("text").cast("long")).withColumn("_quarter", quarter)
-    return both.select("id", "text", F.expr("concat(left(text, cast(n_chars as int) - _quarter), left(head, _quarter))").alias("edited"), "n_chars", "next_id")
+
+    def edited(both: DataFrame) -> DataFrame:
+        both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("_quarter", quarter)
+        return both.select("id", "text", "text_hash", F.expr("concat(left(text, cast(n_chars as int) - _quarter), left(head, _quarter))").alias("edited"), "n_chars", "next_id")
+
+    last = F.broadcast(heads.where("by IS NULL"))  # one row at most
+    return [edited(named.join(heads.where("by IS NOT NULL"), named["id"] == heads["by"])), edited(nameless.join(last, nameless["id"].eqNullSafe(last["by"])))]
 
 
 def votes(weight: Column, term_hash: Column) -> list[Column]:
@@ -76,12 +84,13 @@ def voted() -> Column:
 def text_fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, fp, copies: the fingerprint of each group of rows with equal keys, which must have equal texts; copies: its rows.
 
-    Votes of equal texts add up to the same majorities. A row's terms are counted where the row lies; sums move.
+    Votes of equal texts add up to the same majorities. A row's terms are counted where the row lies, together with those
+    of its copies in the same task only, whose votes are fewer than the task's bytes.
     """
-    terms = rows.select(*keys, F.posexplode(F.split(F.lower(text), SPACE)).alias("at", "term"))
+    terms = rows.withColumn("_task", F.spark_partition_id()).select("_task", *keys, F.posexplode(F.split(F.lower(text), SPACE)).alias("at", "term"))
     weight = F.least(F.length("term"), F.lit(MOST_WEIGHT)).cast("long")
-    summed = terms.select(*keys, "at", weight.alias("w"), F.xxhash64("term").alias("h")).groupBy(*keys).agg(*votes(F.col("w"), F.col("h")), F.sum((F.col("at") == 0).cast("long")).alias("copies"))
-    return summed.select(*keys, voted().alias("fp"), "copies")
+    summed = terms.select("_task", *keys, "at", weight.alias("w"), F.xxhash64("term").alias("h")).groupBy("_task", *keys).agg(*votes(F.col("w"), F.col("h")), F.sum((F.col("at") == 0).cast("long")).alias("copies"))
+    return summed.select(*keys, F.when(F.col("total") > MOST_VOTES, F.raise_error(F.lit("too many votes for one text"))).otherwise(voted()).alias("fp"), "copies")
 
 
 def hex16(fp: Column) -> Column:
@@ -98,18 +107,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     near_group: the least doc_id reachable over links of 2 bits or fewer between fingerprints of documents; null only
     if none but null ones are. Where ids repeat, unrelated groups may show the same near_group.
     """
-    rows = with_edited(docs)
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("words")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("words")))
     keys = ["id", "next_id", "n_chars", "text_hash", "edited_sha256"]
-    both = rows.select("id", "next_id", "n_chars", F.unhex(F.sha2("text", 256)).alias("text_hash"), F.sha2("edited", 256).alias("edited_sha256"), F.inline(kinds))
-    found = text_fingerprints(both, [*keys, "kind"], "words")
-    pairs = found.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col(c))).alias(n) for k, c, n in ((0, "fp", "fp"), (1, "fp", "edited_fp"), (0, "copies", "copies"))])
-    pairs = materialize(pairs.drop("text_hash"), "fingerprints")
-    nexts = pairs.groupBy("id").agg(F.min(F.struct("edited_sha256", "fp"))["fp"].alias("next_fp")).withColumnRenamed("id", "next_id")
-    groups = components(pairs.select(F.when(F.col("id") != NULL_ID, F.col("id")).otherwise(F.lit(LAST_ID)).alias("id"), "fp"), block_tables())
-    out = pairs.join(nexts, "next_id").join(groups, "fp").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    real = [F.nullif(F.col(c), F.lit(n)) for c, n in (("id", NULL_ID), ("component", LAST_ID))]
+
+
+    def voted_pairs(rows: DataFrame) -> DataFrame:
+        both = rows.select("id", "next_id", "n_chars", "text_hash", F.sha2("edited", 256).alias("edited_sha256"), F.inline(kinds))
+        found = text_fingerprints(both, [*keys, "kind"], "words")
+        return found.groupBy(*keys).agg(*[F.sum(F.when(F.col("kind") == 0, F.col("copies"))).alias("copies"), *[F.max(F.when(F.col("kind") == k, F.col("fp"))).alias(n) for k, n in enumerate(("fp", "edited_fp"))]])
+
+    named, nameless = map(voted_pairs, with_edited(docs))
+    pairs = materialize(named.unionByName(nameless), "fingerprints")
+    nexts = pairs.groupBy("id").agg(F.min(F.struct("text_hash", "fp"))["fp"].alias("next_fp")).withColumnRenamed("id", "of")
+    groups = materialize(components(pairs.select("id", "fp"), block_tables()), "groups")
+    near = pairs.join(nexts, pairs["next_id"].eqNullSafe(nexts["of"]))
+    out = join_by_key(near, groups, "fp", "rows").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select(
-        real[0].alias("doc_id"), "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), real[1].alias("near_group"),
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.col("component").alias("near_group"),
     )

@@ -70,12 +70,13 @@ def connected_components(pairs: DataFrame) -> DataFrame:
 
 
 def components(fingerprints: DataFrame, tables: list) -> DataFrame:
-    """(fp, component, root) of each fingerprint in (id, fp), ids not null, over links of distance 2 or less.
+    """(fp, component, root, rows) of each fingerprint in (id, fp), over links of distance 2 or less.
 
-    component: the least id reachable; root: the least fingerprint. Ids may repeat with other fingerprints, so two
-    components may have the same least id: only root tells them apart, and only fingerprints are linked.
+    component: the least id reachable, null only if all are; root: the least fingerprint; rows: those of fp. Ids may
+    repeat with other fingerprints, so two components may have the same least id: only root tells them apart, and only
+    fingerprints are linked.
     """
-    nodes = materialize(fingerprints.groupBy("fp").agg(F.min("id").alias("id")), "fingerprints")
+    nodes = materialize(fingerprints.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows")), "fingerprints")
     of = connected_components(linked_pairs(nodes.select(F.col("fp").alias("node"), "fp"), tables)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     least = of.join(nodes, "fp").groupBy("root").agg(F.min("id").alias("component"))
-    return nodes.join(of.join(least, "root"), "fp", "left").select("fp", F.coalesce("component", "id").alias("component"), F.coalesce("root", "fp").alias("root"))
+    return nodes.join(of.join(least, "root"), "fp", "left").select("fp", F.coalesce("component", "id").alias("component"), F.coalesce("root", "fp").alias("root"), "rows")

@@ -16,18 +16,14 @@ gives an empty result; other columns are ignored by near_duplicates and kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import free_name, join_by_key, materialize
 from .hamming import components
 
 SEED = 42
-NO_ID = 2**63 - 1
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 14
@@ -60,39 +56,49 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 
 def identity(docs: DataFrame) -> tuple[Column, Column]:
-    """A document's id (null: the greatest long) and mark, the MD5 of its text (of a null one: no bytes)."""
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.coalesce(F.unhex(F.md5(docs["text"])), F.lit(b""))
+    """A document's id and mark, the MD5 of its text (of a null one: no bytes)."""
+    return docs["doc_id"].cast("long"), F.coalesce(F.unhex(F.md5(docs["text"])), F.lit(b""))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(id, mark, fp): identity and signed fingerprint of each document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         for batch in batches:
-            fp = np.array([simhash(t, words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": batch["id"], "mark": batch["mark"], "fp": fp})
+            fp = np.array([simhash(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "mark", "fp"])
 
     number, mark = identity(docs)
-    return docs.select(number.alias("id"), mark.alias("mark"), "text").mapInPandas(run, "id long, mark binary, fp long")
+    return docs.select(number.alias("id"), mark.alias("mark"), "text").mapInArrow(run, "id long, mark binary, fp long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable over links of 2 bits or fewer."""
     fps = materialize(fingerprints(docs, words).drop("mark"), "simhash")
-    of = components(fps, pigeonring_tables())
-    real = [F.nullif(F.col(c), F.lit(NO_ID)) for c in ("id", "component")]
-    return fps.join(of, "fp").select(real[0].alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real[1].alias("component_id"))
+    of = materialize(components(fps, pigeonring_tables()), "components")
+    both = join_by_key(fps, of, "fp", "rows")
+    return both.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the document of the least doc_id and then the least MD5 stays, once."""
+    """docs without near-duplicates: of each component the document of the least doc_id (null last) and then the least MD5 stays, once.
+
+    A chosen document that stands in docs once is found by a semi join alone; one that repeats goes through
+    dropDuplicates too, which collapses its copies before they move.
+    """
     fps = materialize(fingerprints(docs, words), "simhash")
     of = components(fps.select("id", "fp"), pigeonring_tables())
-    firsts = fps.groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("first")).join(of, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep = materialize(firsts.select("first.id", "first.mark"), "kept")
+    copies = fps.groupBy("fp", "id", "mark").agg(F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "copies")).alias("first")
+    firsts = copies.groupBy("fp").agg(first).join(of, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = materialize(firsts.select("first.id", "first.mark", "first.copies"), "kept")
     names = [free_name(docs, n) for n in ("_id", "_mark")]
     marked = docs.select("*", *[c.alias(n) for c, n in zip(identity(docs), names)])
-    kept = marked.join(keep, [marked[n] == keep[k] for n, k in zip(names, ("id", "mark"))], "left_semi")
-    if fps.join(keep, ["id", "mark"], "left_semi").groupBy("id", "mark").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(names)
-    return kept.drop(*names)
+
+    def chosen(which: str) -> DataFrame:
+        of = materialize(keep.where(which), "chosen")
+        return marked.join(of, [marked[n].eqNullSafe(of[k]) for n, k in zip(names, ("id", "mark"))], "left_semi")
+
+    return chosen("copies = 1").union(chosen("copies > 1").dropDuplicates(names)).drop(*names)
