@@ -7,7 +7,7 @@ is rendered with turn markers.
 
 Edge cases: turns are ordered by (turn, role, text), nulls first, and a null role or text counts as an empty one; a
 null conv_id is one conversation; repeated rows are turns of their own; an empty table gives an empty result; other
-columns are ignored. A conversation of any length is numbered and hashed in segments, and rendered in parts of at most
+columns are ignored. A conversation of any length is numbered by ranges, hashed in segments, and rendered in parts of at most
 turns_a_part turns, so none is gathered whole.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered
+from .common import materialize, numbered_by_range
 
 SEGMENT = 512
 OPEN, CLOSE = "<|turn_start|>", "<|turn_end|>"
@@ -29,8 +29,8 @@ def _half(digest: Column, start: int) -> Column:
 
 def hashed_turns(turns: DataFrame) -> DataFrame:
     """conv_id, at (from 0), role, text, segment, h1 and h2 (128 bits of place, role and text)."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("turn") / SEGMENT).alias("_bucket"))
-    rows = numbered(rows, ["conv_id"], "_bucket", [F.col("turn"), F.col("role"), F.col("text")], "at")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = numbered_by_range(rows, ["conv_id"], ["turn", "role", "text"], "at")
     digest = F.md5(F.concat(F.col("at").cast("string"), F.lit(":"), F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))
     return rows.select("conv_id", "at", "role", "text", F.floor(F.col("at") / SEGMENT).alias("segment"), digest.alias("_d")).select("conv_id", "at", "role", "text", "segment", _half(F.col("_d"), 1).alias("h1"), _half(F.col("_d"), 17).alias("h2"))
 
