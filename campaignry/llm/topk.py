@@ -8,8 +8,8 @@ every range is a single value, a last pass keeps what reaches it, with ties to t
 A cell sends only the counts of its own k greatest scores of the range: no lower one can be the k-th of all.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; only vectors of equal length
-meet; a row is never a candidate for its own id; repeated candidate rows rank next to each other, a repeated query row
-is one query; fewer candidates than k give fewer rows; an empty table gives an empty result; other columns are
+meet; a row is never a candidate for its own id; repeated candidate rows rank next to each other; a query id that
+repeats is one query, with the least of its vectors (the shortest first); fewer candidates than k give fewer rows; an empty table gives an empty result; other columns are
 ignored. Scores are exact; one beyond 63 bits raises an error.
 """
 
@@ -96,18 +96,19 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, query_blocks = math.ceil(n / CANDIDATES), math.ceil(n_queries / QUERIES)
 
-    def block(of: int, salt: int) -> Column:
-        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of)).cast("int")
+    def block(of: int, *what: str) -> Column:
+        return F.pmod(F.xxhash64(*what, F.lit(1)), F.lit(of)).cast("int")
 
     def spread(of: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
 
-    candidates = rows.select(F.col("dim").alias("c_dim"), spread(query_blocks).alias("c_query_block"), block(blocks, 1).alias("c_block"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"))
-    queries = rows.where("is_query").dropDuplicates(["vec_id"])
+    candidates = rows.select(F.col("dim").alias("c_dim"), spread(query_blocks).alias("c_query_block"), block(blocks, "vec_id", "embedding").alias("c_block"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"))
+    least = rows.where("is_query").groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v"))
+    queries = materialize(least.select("vec_id", "v.dim", "v.embedding"), "queries")
     reach = F.aggregate(F.transform("embedding", size), F.lit(0.0), lambda a, x: a + x) * F.lit(float(most)) + 1
     state = queries.select(F.col("vec_id").alias("query_id"), (-reach).cast("long").alias("low"), reach.cast("long").alias("high"), F.lit(k).cast("long").alias("need"))
     state = materialize(state, "ranges")
-    queries = queries.select("dim", block(query_blocks, 2).alias("query_block"), F.col("vec_id").alias("query_id"), "embedding")
+    queries = queries.select("dim", block(query_blocks, "vec_id").alias("query_block"), F.col("vec_id").alias("query_id"), "embedding")
 
     def cells(run, schema: str) -> DataFrame:
         width = F.ceil((F.col("high") - F.col("low") + 1) / BINS).cast("long")
