@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The new words of a batch are concatenated and indexed by a suffix array (suffixes as deep as the longest piece). Every
-piece is searched in it by bisection, which gives the range of its occurrences; these become edges, ordered by position
+The new words of a batch are concatenated and indexed by a suffix array, sorted as deep as the longest piece. Every
+piece is searched in it whole, by bisection, which gives the range of its occurrences; these become edges, ordered by position
 and length. The public model merges byte-pair pieces, so edges are relaxed best score first: an edge is taken when it
 spans exactly two present symbols, and of a word's edges with the best score those that do not disturb each other are
 taken at once, leftmost first. What no piece covers becomes byte pieces.
@@ -85,19 +85,24 @@ class PieceModel:
         keys = suffix.view(">u8").reshape(len(code), -1)  # a suffix is so many 64-bit keys
         at = np.flatnonzero(code)
         head = keys[at, 0].astype(np.uint64)
-        order = np.argsort(head)
+        order = np.argsort(head, kind="stable")
+        tied = head[order][1:] == head[order][:-1]
+        tied = np.flatnonzero(np.append(tied, False) | np.append(False, tied))  # only these need their further keys
+        order[tied] = order[tied][np.lexsort(keys[at[order[tied]]].T[::-1])]
         head, array = head[order], at[order]
         piece, length = self.piece_code[fits], self.piece_len[fits]
         low = narrow[piece]
-        inside = np.arange(self.depth) < length[:, None]
-        low, mask = (np.ascontiguousarray(x, cell).view(">u8").astype(np.uint64) for x in (low, np.where(inside, np.iinfo(cell).max, 0)))
-        first, last = np.searchsorted(head, low[:, 0], "left"), np.searchsorted(head, low[:, 0] | ~mask[:, 0], "right")
+        high = np.where(np.arange(self.depth) < length[:, None], low, np.iinfo(cell).max)
+        low, high = (np.ascontiguousarray(x, cell) for x in (low, high))
+        (first, last) = (np.searchsorted(head, x.view(">u8").reshape(len(x), -1)[:, 0].astype(np.uint64), side) for x, side in ((low, "left"), (high, "right")))
+        long = np.flatnonzero((length * cell.itemsize > 8) & (last > first))  # pieces beyond the first key, among the suffixes that share it
+        whole = f"S{self.depth * cell.itemsize}"  # compares as bytes; zeros at the end don't count, as beyond a word
+        if len(long):
+            bound = suffix[array].view(whole).ravel()
+            first[long], last[long] = (np.searchsorted(bound, x[long].view(whole).ravel(), side) for x, side in ((low, "left"), (high, "right")))
         many = last - first
         which = np.repeat(np.arange(len(many)), many)
         found = array[np.arange(len(which)) + np.repeat(first - (np.cumsum(many) - many), many)]
-        deep = np.flatnonzero((mask[:, 1:] != 0).any(axis=1)[which])  # compare beyond the first key
-        wrong = ((keys[found[deep], 1:].astype(np.uint64) & mask[which[deep], 1:]) != low[which[deep], 1:]).any(axis=1)
-        which, found = np.delete(which, deep[wrong]), np.delete(found, deep[wrong])
         table = np.full(len(code) * (self.depth + 1), -1, np.int32)
         table[found * (self.depth + 1) + length[which]] = self.piece_id[fits][which]
         return table
