@@ -1,12 +1,12 @@
 """Mixing of sources to target weights by Poisson replication.
 
 Each document is repeated a number of times that follows a Poisson distribution whose mean is its source's repetition
-rate (target rows over rows there). The number comes from a hash of seed and doc_id (where it is null, of the text) by
-inversion, so any run, on any partitioning, makes the same choice. Copies are then shuffled globally by a hash that
-takes the text too, so rows of one doc_id spread.
+rate (target rows over rows there). The number comes from a hash of seed, doc_id and text by inversion, so any run, on
+any partitioning, makes the same choice. Copies are then shuffled globally by a hash of the same, so rows of one doc_id
+spread.
 
 Edge cases: a null source is a source like any other; a source without a target weight (or with 0) goes; rows with
-equal doc_id get equal numbers, as do rows of null doc_id and equal text (a null one counts as an empty one); null,
+equal doc_id and equal text (a null one counts as an empty one) get equal numbers; null,
 empty and very long texts are kept as they are; an empty table gives an empty result; columns with any other names pass through.
 """
 
@@ -63,8 +63,9 @@ def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, temper
     rates = rates.select(F.struct("source").alias("_of"), F.struct(parts.alias("parts"), poisson_cdf(F.col("rate") / parts).alias("cdf")).alias("_draw"))
     rates = F.broadcast(rates) if sources <= BROADCAST_SOURCES else rates
     copy, place, key = (free_name(docs, n) for n in (copy_column or "_copy", "_place", "_key"))
-    keyed = docs.withColumn(key, F.coalesce(docs["doc_id"].cast("string"), F.md5(F.coalesce(docs["text"], F.lit("")))))  # below the join, so once a row
-    number = F.aggregate(F.sequence(F.lit(1), rates["_draw.parts"]), F.lit(0), lambda n, i: n + F.size(F.filter(rates["_draw.cdf"], lambda c: c <= uniform(seed, keyed[key], i))))
+    keyed = docs.withColumn(key, F.concat_ws("|", docs["doc_id"].cast("string"), F.md5(F.coalesce(docs["text"], F.lit("")))))  # below the join, so once a row
+    draws = F.transform(F.sequence(F.lit(1), rates["_draw.parts"]), lambda i: uniform(seed, keyed[key], i))  # outside the search of the table, so once a part
+    number = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(rates["_draw.cdf"], lambda c: c <= u)))
     repeated = keyed.join(rates, keyed["source"].eqNullSafe(rates["_of.source"])).select(*[keyed[c] for c in docs.columns], number.alias(copy)).where(F.col(copy) > 0)
     repeated = repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
     repeated = repeated.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", "text", copy))

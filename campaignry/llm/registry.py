@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, language_id, mixing, sentencepiece_sa, sharding, simhash_dedup, token_counts, token_io, topk
-from .common import fresh_path, table
+from .common import delete_at_exit, fresh_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +30,7 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_io.write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), path)
+    delete_at_exit(spark, path)
     return token_io.read_tokens(spark, path)
 
 
@@ -92,7 +93,7 @@ ORACLE_SQL = {
         k AS (SELECT range AS k, coalesce(sum(ln(greatest(range, 1))) OVER (ORDER BY range), 0) AS lnfact FROM range(96)),
         cdf AS (SELECT source, parts, k, sum(exp(-mean + k * ln(mean) - lnfact)) OVER (PARTITION BY source ORDER BY k) AS c FROM m, k),
         u AS (
-            SELECT d.doc_id, d.source, d.text, i.i, ('0x' || substr(md5('42|' || d.doc_id || '|' || i.i), 1, 13))::BIGINT / 4503599627370496.0 AS u
+            SELECT d.doc_id, d.source, d.text, i.i, ('0x' || substr(md5('42|' || coalesce(d.doc_id || '|', '') || md5(coalesce(d.text, '')) || '|' || i.i), 1, 13))::BIGINT / 4503599627370496.0 AS u
             FROM documents d JOIN m ON d.source IS NOT DISTINCT FROM m.source, LATERAL (SELECT unnest(range(1, m.parts + 1)) AS i) i
         ),
         n AS (SELECT u.doc_id, u.source, u.text, count(*) AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND cdf.c <= u.u GROUP BY ALL)
