@@ -1,116 +1,143 @@
-"""Offers of a message: matches found in Arrow batches, ranked as column expressions."""
+"""Offers of a message, as column expressions.
+
+Every pattern gives the places of its matches (see spots). What the words near a match say against it is a table of
+rules, each with the kinds of offer, words and fields that it is for, the view of the text that it looks at, and a
+pattern; one evaluator applies them all. Candidates are then ranked by sorting structs.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from . import rules as R
+from .spots import searchable, spots, stripped, wide
 
-_TYPES = {"type": T.StringType(), "depth": T.DoubleType(), "unit": T.StringType(), "source": T.StringType(), "evidence": T.StringType(), "confidence": T.DoubleType(), "position": T.IntegerType()}
-CANDIDATES = T.ArrayType(T.StructType([T.StructField(k, t) for k, t in _TYPES.items()]))
 SOURCES = ("subject", "preheader", "visible_text")
-
-
-#: Words without which no pattern of a kind can match; they spare most texts most patterns.
-NEEDED = {"%off": ("%",), "$off": ("$",), "bogo": ("bogo", "b1g1", "buy", "for"), "gift": ("gift", "free", "complimentary", "gwp"), "bundle": ("bundle", "stack"), "free_shipping": ("free",), "other": ("sale", "discount", "deal", "markdown", "clearance", "promo", "coupon", "offer", "access", "risk", "guarantee", "save", "saving")}
-
-
-def matches(kind: str, pattern: str, text: str) -> Iterator[re.Match]:
-    """All matches; texts with other than ASCII letters, where case has more rules, are always searched."""
-    if text.isascii() and not any(w in text.lower() for w in NEEDED[kind]):
-        return iter(())
-    return re.finditer(pattern, text)
-
-
-def line_at(text: str, start: int, end: int) -> str:
-    stop = text.find("\n", end)
-    return text[text.rfind("\n", 0, start) + 1 : None if stop < 0 else stop]
-
-
-def denied(kind: str, text: str, found: re.Match) -> bool:
-    """Whether the words around a match say that nothing is offered."""
-    before, after = text[max(0, found.start() - R.NEAR_CHARS) : found.start()], text[found.end() : found.end() + R.NEAR_CHARS]
-    if re.search(R.DENIED_AFTER, after) or re.search(R.DENIED_BEFORE, before):
-        return True
-    noun = kind == "other" and found.group().strip().casefold() in R.POLICY_NOUNS
-    return noun and any((re.search(R.FINAL_SALE, line_at(text, *found.span())), re.search(R.STACKED_AFTER, after), re.search(R.STACKED_BEFORE, before)))
-
-
-def standing_policy(text: str, found: re.Match) -> bool:
-    """Whether free shipping is the shop's rule rather than an offer."""
-    around = text[max(0, found.start() - 80) : found.end() + 100]
-    if re.search(R.SHIPPING_CAMPAIGN, around):
-        return False
-    return found.start() >= R.POLICY_FROM or bool(re.search(R.SHIPPING_POLICY, around)) or bool(re.fullmatch(R.SHIPPING_PERK, line_at(text, *found.span())))
-
-
-def field_offers(source: str, text: str | None) -> list[dict]:
-    """Offers that one field states; a general word of sale counts only where nothing else does."""
-    body = source == "visible_text"
-    whole, out = text or "", []
-    text = whole[: R.OFFER_CHARS] if body else whole
-
-    def add(kind: str, found: re.Match, depth: float | None = None, unit: str = "other", confidence: float = 1.0) -> None:
-        out.append({"type": kind, "depth": depth, "unit": unit, "source": source, "evidence": found.group().strip(), "confidence": confidence, "position": found.start()})
-
-    for kind, unit, most, patterns in (("%off", "percent", 99, R.OFFER_PERCENT), ("$off", "dollar", 9999.99, R.OFFER_DOLLAR)):
-        for m in (m for p in patterns for m in matches(kind, p, text)):
-            if 1 <= float(m[1]) <= most and not denied(kind, text, m):
-                add(kind, m, float(m[1]), unit)
-    semantic = R.OFFER_SEMANTIC if body else (*R.OFFER_SEMANTIC, ("gift", R.OFFER_FREE_ITEM))
-    for kind, m in ((kind, m) for kind, p in semantic for m in matches(kind, p, text)):
-        if not denied(kind, text, m) and not (kind == "free_shipping" and body and standing_policy(text, m)):
-            add(kind, m)
-    if not out:
-        text = whole[: R.GENERIC_CHARS] if body else whole
-        for m in matches("other", R.OFFER_GENERIC, text):
-            word = m.group().casefold()
-            news = word in ("deal", "deals") and re.search(R.NEWS_DEALS, text[max(0, m.start() - 50) : m.end() + 70])
-            if not (body and word == "savings") and not news and not denied("other", text, m):
-                add("other", m, confidence=0.95)
-    return out
-
-
-@pandas_udf(CANDIDATES)
-def found_offers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for fields in batches:
-        known = [{t: field_offers(s, t) for t in set(texts)} for s, texts in zip(SOURCES, fields)]  # equal texts of a batch once
-        yield pd.Series([[x for k, t in zip(known, row) for x in k[t]] for row in zip(*fields)], dtype=object)
-
-
-found_offers = found_offers.asNondeterministic()  # so that filters on the offers don't run it a second time
-
-
-def ranked(found: Column) -> Column:
-    """Each (type, source, evidence) once, best first: a bogo next to a number, numbers, bogo and gift, headline fields, the rest; then by field and place."""
-    numbered = F.transform(found, lambda x, i: F.struct(x.alias("o"), i.alias("i")))
-    same = lambda a, b: (a["o"]["type"] == b["o"]["type"]) & (a["o"]["source"] == b["o"]["source"]) & (F.lower(a["o"]["evidence"]) == F.lower(b["o"]["evidence"]))
-    once = F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: (y["i"] < x["i"]) & same(x, y)))
-    beside = lambda o: F.exists(once, lambda y: y["o"]["depth"].isNotNull() & (y["o"]["source"] == o["source"]) & (F.abs(y["o"]["position"] - o["position"]) <= R.BOGO_NEAR))
-    field = lambda o: F.array_position(F.array(*map(F.lit, SOURCES)), o["source"])
+BODY = SOURCES[2]
+CANDIDATE = "struct<type:string,depth:double,unit:string,source:string,evidence:string,confidence:double,position:int>"
+#: Kind, unit, greatest depth (0: no number), patterns; in order of appearance.
+KINDS = (("%off", "percent", 99, R.OFFER_PERCENT), ("$off", "dollar", 10_000, R.OFFER_DOLLAR), *((kind, "other", 0, (pattern,)) for kind, pattern in R.OFFER_SEMANTIC))
+
+
+class Against(NamedTuple):
+    """A reason why a match is no offer: view is before, after, around or line, or from (reach is a place then)."""
+
+    view: str
+    reach: tuple[int, int]
+    pattern: str
+    kinds: tuple[str, ...] = R.OFFER_TYPES
+    words: tuple[str, ...] = ()
+    sources: tuple[str, ...] = SOURCES
+    unless: str = ""
+
+
+NEAR, ANYWHERE = (R.NEAR_CHARS, R.NEAR_CHARS), r"(?s)."
+_STANDING = {"kinds": ("free_shipping",), "sources": (BODY,), "unless": R.SHIPPING_CAMPAIGN}
+AGAINST = (
+    Against("after", NEAR, R.DENIED_AFTER),
+    Against("before", NEAR, R.DENIED_BEFORE),
+    Against("line", NEAR, R.FINAL_SALE, ("other",), R.POLICY_NOUNS),
+    Against("after", NEAR, R.STACKED_AFTER, ("other",), R.POLICY_NOUNS),
+    Against("before", NEAR, R.STACKED_BEFORE, ("other",), R.POLICY_NOUNS),
+    Against("around", R.DEALS_AROUND, R.NEWS_DEALS, ("other",), ("deal", "deals")),
+    Against("around", NEAR, ANYWHERE, ("other",), ("savings",), (BODY,)),
+    Against("around", R.CAMPAIGN_AROUND, R.SHIPPING_POLICY, **_STANDING),
+    Against("line", NEAR, rf"(?i)^(?:{R.SHIPPING_PERK.removeprefix('(?i)')})$", **_STANDING),
+    Against("from", (R.POLICY_FROM, 0), ANYWHERE, **_STANDING),
+)
+
+
+def view(text: Column, spot: Column, kind: str, reach: tuple[int, int]) -> Column:
+    at, end = spot["at"], spot["at"] + F.length(spot["found"])
+    if kind == "line":
+        return F.concat(F.substring_index(F.left(text, at), "\n", -1), spot["found"], F.substring_index(F.substr(text, end + 1), "\n", 1))
+    before = F.substr(text, F.greatest(at - reach[0], F.lit(0)) + 1, F.least(at, F.lit(reach[0])))
+    after = F.substr(text, end + 1, F.lit(reach[1]))
+    return {"before": before, "after": after}.get(kind, F.concat(before, spot["found"], after))
+
+
+def stands(text: Column, spot: Column, kind: str, source: str) -> Column:
+    """Whether nothing in the table speaks against a match."""
+    out = []
+    for rule in AGAINST:
+        if kind in rule.kinds and source in rule.sources:
+            said = spot["at"] >= rule.reach[0] if rule.view == "from" else view(text, spot, rule.view, rule.reach).rlike(wide(rule.pattern))
+            if rule.words:
+                said = F.lower(stripped(spot["found"])).isin(*rule.words) & said
+            if rule.unless:
+                said = said & ~view(text, spot, "around", R.CAMPAIGN_AROUND).rlike(wide(rule.unless))
+            out.append(~said)
+    return reduce(lambda a, b: a & b, out)
+
+
+def candidates(text: Column, source: str, kind: str, unit: str, most: int, pattern: str, confidence: float = 1.0) -> Column:
+    """The matches of one pattern that stand."""
+    depth = (lambda s: F.regexp_extract(s["found"], wide(pattern), 1).cast("double")) if most else (lambda s: F.lit(None).cast("double"))
+    given = spots(text, pattern)
+    kept = F.filter(given, lambda s: depth(s).between(1, most) & stands(text, s, kind, source)) if most else F.filter(given, lambda s: stands(text, s, kind, source))
+    made = lambda s: F.struct(F.lit(kind).alias("type"), depth(s).alias("depth"), F.lit(unit).alias("unit"), F.lit(source).alias("source"), stripped(s["found"]).alias("evidence"), F.lit(confidence).alias("confidence"), s["at"].alias("position"))
+    return F.transform(kept, made).cast(f"array<{CANDIDATE}>")
+
+
+def numeric(text: Column, source: str) -> Column:
+    """Candidates with a number."""
+    return F.concat(*[candidates(text, source, kind, unit, most, p) for kind, unit, most, patterns in KINDS if most for p in patterns])
+
+
+def specific(text: Column, source: str) -> Column:
+    """All candidates but general words of sale."""
+    found = [candidates(text, source, kind, unit, most, p) for kind, unit, most, patterns in KINDS for p in patterns]
+    if source != BODY:
+        found.append(candidates(text, source, "gift", "other", 0, R.OFFER_FREE_ITEM))
+    return F.concat(*found)
+
+
+def general(text: Column, source: str) -> Column:
+    return candidates(F.left(text, F.lit(R.GENERIC_CHARS)) if source == BODY else text, source, "other", "other", 0, R.OFFER_GENERIC, 0.95)
+
+
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the candidates in column once for each (type, source, evidence), best first.
+
+    A bogo next to a number comes first, then numbers, bogo and gift, the headline fields and the rest; then by field
+    and place. Each step is a projection of its own, so that none is evaluated once for each element of another.
+    """
+    rows = rows.withColumn(column, F.transform(column, lambda o, i: F.struct(F.concat_ws("\0", o["type"], o["source"], F.lower(o["evidence"])).alias("key"), i.alias("i"), o.alias("o"))))
+    rows = rows.withColumn(column, F.filter(column, lambda x: F.array_position(F.transform(column, lambda y: y["key"]), x["key"]) == x["i"] + 1))
 
     def keyed(x: Column) -> Column:
         o = x["o"]
-        evidence = F.when(o["depth"].isNotNull(), 0).when(o["type"].isin("bogo", "gift"), 1).when(o["source"] != "visible_text", 2).when(o["type"] == "other", 3).otherwise(4)
-        return F.struct(F.when((o["type"] == "bogo") & beside(o), 0).otherwise(1).alias("a"), evidence.alias("b"), field(o).alias("c"), o["position"].alias("d"), x["i"].alias("e"), o.alias("o"))
+        beside = F.exists(column, lambda y: y["o"]["depth"].isNotNull() & (y["o"]["source"] == o["source"]) & (F.abs(y["o"]["position"] - o["position"]) <= R.BOGO_NEAR))
+        strength = F.when(o["depth"].isNotNull(), 0).when(o["type"].isin("bogo", "gift"), 1).when(o["source"] != BODY, 2).when(o["type"] == "other", 3).otherwise(4)
+        place = F.array_position(F.array(*map(F.lit, SOURCES)), o["source"])
+        return F.struct(F.when((o["type"] == "bogo") & beside, 0).otherwise(1).alias("a"), strength.alias("b"), place.alias("c"), o["position"].alias("d"), x["i"].alias("e"), o.alias("o"))
 
-    return F.transform(F.array_sort(F.transform(once, keyed)), lambda x: x["o"])
+    return rows.withColumn(column, F.transform(F.array_sort(F.transform(column, keyed)), lambda x: x["o"]))
 
 
 def with_offers(rows: DataFrame, subject: Column, preheader: Column, body: Column) -> DataFrame:
     """rows with offers, the ranked candidates of the three fields, and primary, the first of them or null."""
-    found = rows.withColumn("offers", found_offers(subject, preheader, body))  # a column of its own: lambdas can't hold a Python function
-    return found.withColumn("offers", ranked(F.col("offers"))).withColumn("primary", F.get("offers", F.lit(0)))
-
-
-@pandas_udf(T.BooleanType())
-def found_again(kind: pd.Series, depth: pd.Series, source: pd.Series, evidence: pd.Series) -> pd.Series:
-    """Whether the evidence alone gives the same type and depth."""
-    return pd.Series([any(o["type"] == k and o["depth"] == d for o in field_offers(s, e)) for k, d, s, e in zip(kind, depth, source, evidence)])
+    names = list(rows.columns)
+    texts = (searchable(subject), searchable(preheader), F.left(searchable(body), F.lit(R.OFFER_CHARS)))
+    staged = rows.withColumns({f"_t{i}": t for i, t in enumerate(texts)})
+    staged = staged.withColumns({f"_f{i}": specific(F.col(f"_t{i}"), s) for i, s in enumerate(SOURCES)})
+    either = [F.when(F.size(f"_f{i}") > 0, F.col(f"_f{i}")).otherwise(general(F.col(f"_t{i}"), s)) for i, s in enumerate(SOURCES)]
+    return ranked(staged.select(*names, F.concat(*either).alias("offers")), "offers").withColumn("primary", F.get("offers", F.lit(0)))
+
+
+def unsupported(claims: DataFrame) -> DataFrame:
+    """Claims (type, depth, source, evidence, and the three fields) that their evidence doesn't support.
+
+    The source must be one of the fields, the evidence must stand in it whatever its case, and the evidence alone must
+    give the same type and depth.
+    """
+    field = F.coalesce(*[F.when(F.col("source") == s, F.coalesce(F.col(s), F.lit(""))) for s in SOURCES])
+    rows = claims.withColumns({"_field": field, "_evidence": searchable(stripped(F.col("evidence")))})
+    rows = rows.withColumn("_again", numeric(F.col("_evidence"), SOURCES[0]))
+    again = F.exists("_again", lambda o: (o["type"] == F.col("type")) & (o["depth"] == F.col("depth")))
+    fine = F.col("_field").isNotNull() & (F.col("_evidence") != "") & F.contains(F.lower("_field"), F.lower("_evidence")) & again
+    return rows.where(F.col("depth").isNotNull() & ~F.coalesce(fine, F.lit(False))).drop("_field", "_evidence", "_again")

@@ -10,47 +10,10 @@ from pyspark.sql import functions as F
 from . import rules as R
 
 
-def first_match(text: Column, table: tuple) -> Column:
-    """The label of the first pattern of the table that the text matches, else null."""
-    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(label)) for label, pattern in table])
-
-
-def lifecycle_reason(subject: Column, body: Column) -> Column:
-    return F.coalesce(first_match(subject, R.LIFECYCLE), first_match(F.substring(body, 1, 700), R.LIFECYCLE))
-
-
-def scope_of(subject: Column, body: Column, bulk: Column) -> Column:
-    """broadcast, lifecycle or uncertain: lifecycle wording first, then bulk headers, then marketing wording."""
-    text = F.concat_ws("\n", subject, body)
-    stripped = "|".join(pattern.removeprefix("(?i)") for _, pattern in R.LIFECYCLE)
-    lifecycle = F.concat_ws("\n", subject, F.substring(body, 1, 700)).rlike(f"(?i)(?:{stripped})")  # one pattern keeps the generated code small
-    return F.when(lifecycle, "lifecycle").when(F.trim(text) == "", "uncertain").when(bulk | text.rlike(R.MARKETING), "broadcast").otherwise("uncertain")
-
-
-def percent_depth(text: Column) -> Column:
-    """Depth of the first percentage offer, from 1 to 99, else null."""
-    found = F.regexp_extract(text, R.PERCENT, 1)
-    depth = F.when(found != "", found.cast("double"))
-    return F.when(depth.between(1, 99), depth)
-
-
-def occasion_of(text: Column, month: Column) -> Column:
-    """A named occasion whatever the date, else the first season word if there is commercial context and it is its months, else null."""
-    word = F.lower(F.regexp_extract(text, r"(?i)\b(" + "|".join(w for w, _, _ in R.SEASONS) + r")\b", 1))
-    season = F.coalesce(*[F.when((word == w) & month.isin(*months), F.lit(label)) for w, label, months in R.SEASONS])
-    found = [F.when(text.rlike(pattern), F.lit(label)) for label, pattern in R.OCCASIONS]
-    anything = "|".join(p.removeprefix("(?i)") for _, p in R.OCCASIONS)
-    return F.when(text.rlike(f"(?i)(?:{anything})"), F.coalesce(*found)).when(text.rlike(R.SEASON_CONTEXT), season)
-
-
 def quadrant_of(offer: Column, seasonal: Column) -> Column:
     return F.when(offer & seasonal, R.QUADRANTS[2]).when(offer, R.QUADRANTS[1]).when(seasonal, R.QUADRANTS[3]).otherwise(R.QUADRANTS[0])
 
 
-def intent_of(subject: Column, offer: Column) -> Column:
-    return F.when(offer, "Promotion/offer").when(subject.rlike(R.EDUCATION), "Ingredient/education").when(subject.rlike(R.LIFESTYLE), "Lifestyle/seasonal").otherwise("Featured products")
-
-
 def coverage_level(days: Column) -> Column:
     return reduce(lambda out, r: out.when(days < r[0], r[1]), R.COVERAGE_LEVELS[1:], F.when(days < R.COVERAGE_LEVELS[0][0], R.COVERAGE_LEVELS[0][1])).otherwise("yoy")
 

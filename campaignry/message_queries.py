@@ -1,12 +1,10 @@
 """Queries of offers, scope and intent with evidence, privacy rules, the store, the gallery and release checks, each with DuckDB SQL.
 
-RE2 has no lookahead; where a pattern has one, the SQL states the pattern without it and the derived messages hold none of the excluded wording.
+The SQL of the derived messages rests on labels read from the rules by hand (queries.GOLDEN), not on the rules.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,31 +14,29 @@ from .functions import rules as R
 from .functions import scoring as S
 from .functions import text as X
 from .operators import census, gallery, store
-from .plans.messages import analyzed, messages
+from .plans.messages import analyzed, messages, spread
 from .queries import _SLUG, MESSAGES, q
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
-def none():
-    """Messages derived from the tables have no preheader."""
-    return F.lit("")
 
-
-def with_offers(rows: DataFrame) -> DataFrame:
-    return O.with_offers(rows, F.col("subject"), none(), F.col("visible_text"))
+FIELDS = ("subject", "preheader", "visible_text")
 
 
 def offer_primary(s: SparkSession, d: str) -> DataFrame:
-    return with_offers(messages(s, d)).where("primary IS NOT NULL").select("id", "primary.type", "primary.depth", "primary.source")
+    return analyzed(s, d).where("offer").select("id", "primary.type", "primary.depth", "primary.source")
 
 
 def offer_support_violations(s: SparkSession, d: str) -> DataFrame:
-    """Numeric offers whose evidence alone doesn't give the same type and depth; there must be none."""
-    rows = with_offers(messages(s, d)).select("id", F.inline("offers")).where("depth IS NOT NULL")
-    return rows.where(~O.found_again("type", "depth", "source", "evidence")).select("id", "type", "depth")
+    """Claims of a percentage in the subject, one for each message, that the subject doesn't support."""
+    rows = analyzed(s, d)
+    claimed = F.coalesce("depth", F.lit(7.0))
+    evidence = F.concat(claimed.cast("int").cast("string"), F.lit("% off"))
+    claims = rows.select("id", *FIELDS, F.lit("%off").alias("type"), claimed.alias("depth"), F.lit("subject").alias("source"), evidence.alias("evidence"))
+    return O.unsupported(claims).select("id", "depth")
 
 
 def offers_dollar(s: SparkSession, d: str) -> DataFrame:
@@ -49,27 +45,33 @@ def offers_dollar(s: SparkSession, d: str) -> DataFrame:
 
 
 def offers_semantic(s: SparkSession, d: str) -> DataFrame:
-    """Messages and page texts that say so, by kind of offer without a number."""
-    kinds = dict(R.OFFER_SEMANTIC)
-    return _table(s, d, "documents").select("doc_id", *[F.col("text").rlike(kinds[k]).alias(k) for k in ("bogo", "bundle", "free_shipping")])
+    """Documents and which kinds of offer without a number they state."""
+    return _table(s, d, "documents").select("doc_id", *[F.col("text").rlike(p).alias(k) for k, p in R.OFFER_SEMANTIC])
+
+
+def offers_semantic_plain(s: SparkSession, d: str) -> DataFrame:
+    """The kinds of which RE2 can state the pattern."""
+    return offers_semantic(s, d).drop("gift")
 
 
 def scope_classify(s: SparkSession, d: str) -> DataFrame:
-    rows = messages(s, d)
-    return rows.select("id", S.scope_evidence(F.col("subject"), none(), F.col("visible_text"), F.col("trusted")).alias("e")).select("id", "e.scope", "e.reason", "e.confidence")
+    return analyzed(s, d).select("id", "scope_evidence.scope", "scope_evidence.reason", "scope_evidence.confidence")
 
 
 def intent_scores(s: SparkSession, d: str) -> DataFrame:
-    return messages(s, d).select("id", S.content_intent(F.col("subject"), none(), F.col("visible_text")).alias("e")).select("id", "e.intent", "e.confidence")
+    """What each message is about, offers apart."""
+    rows = messages(s, d).fillna("", list(FIELDS))
+    texts = rows.select(*FIELDS).distinct().repartition(int(s.conf.get("spark.sql.shuffle.partitions")), *FIELDS)
+    scored = texts.withColumn("e", S.content_intent(*map(F.col, FIELDS)))
+    return rows.join(scored, list(FIELDS)).select("id", "e.intent", "e.confidence")
 
 
 def intent_documents(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "documents").select("doc_id", S.content_intent(F.col("source"), none(), F.col("text")).alias("e")).select("doc_id", "e.intent", "e.confidence")
+    return _table(s, d, "documents").select("doc_id", S.content_intent(F.col("source"), F.lit(""), F.col("text")).alias("e")).select("doc_id", "e.intent", "e.confidence")
 
 
 def intent_with_offers(s: SparkSession, d: str) -> DataFrame:
-    e = S.intent(F.col("subject"), none(), F.col("visible_text"), F.col("primary"))
-    return with_offers(messages(s, d)).select("id", e.alias("e")).select("id", "e.intent", "e.confidence")
+    return analyzed(s, d).select("id", "intent", F.col("intent_confidence").alias("confidence"))
 
 
 def pii_detect(s: SparkSession, d: str) -> DataFrame:
@@ -116,9 +118,15 @@ def failures_unique(s: SparkSession, d: str) -> DataFrame:
     return store.unique_failures(events).groupBy("source_type").agg(F.count(F.lit(1)).alias("failures"))
 
 
+def failures(s: SparkSession, d: str) -> DataFrame:
+    """Parse failures: the messages of no text whose trust is unknown. A row each: brand, source_type, source_uid, error_code."""
+    rows = messages(s, d).where("subject IS NULL AND trusted IS NULL AND campaign_id IS NULL")
+    return rows.select("brand", "source_type", F.col("id").alias("source_uid"), F.lit("empty").alias("error_code"))
+
+
 def source_completeness(s: SparkSession, d: str) -> DataFrame:
-    rows = messages(s, d).withColumn("source_completeness", F.when(F.col("trusted"), "complete").otherwise("curated_export"))
-    return store.completeness(rows, _table(s, d, "part").where("p_size >= 50 AND p_retailprice > 1800").select(F.col("p_brand").alias("brand")))
+    rows = messages(s, d).withColumn("source_completeness", F.when(F.col("source_type") == "curated_export", "curated_export").otherwise("complete"))
+    return store.completeness(rows, failures(s, d))
 
 
 def uid_batches(s: SparkSession, d: str) -> DataFrame:
@@ -126,7 +134,8 @@ def uid_batches(s: SparkSession, d: str) -> DataFrame:
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    return messages(s, d).select("brand", F.sha2("subject", 256).alias("sha256"), F.col("received").alias("date"), F.col("id").alias("path"), F.octet_length("subject").cast("long").alias("bytes"))
+    subject = F.coalesce("subject", F.lit(""))
+    return messages(s, d).select("brand", F.sha2(subject, 256).alias("sha256"), F.col("received").alias("date"), F.col("id").alias("path"), F.octet_length(subject).cast("long").alias("bytes"))
 
 
 def gallery_newest(s: SparkSession, d: str) -> DataFrame:
@@ -134,25 +143,27 @@ def gallery_newest(s: SparkSession, d: str) -> DataFrame:
 
 
 def gallery_states(s: SparkSession, d: str) -> DataFrame:
-    few = _items(s, d).where("bytes >= 60")
-    return gallery.brand_states(few, _table(s, d, "part").select(F.col("p_brand").alias("brand")))
+    return gallery.brand_states(_items(s, d), _table(s, d, "part").select(F.col("p_brand").alias("brand")))
 
 
 def manifest_accounting(s: SparkSession, d: str) -> DataFrame:
+    """Each message as a requested item: rendered where it is trusted, skipped where it is not, else failed, or pending if it has no text and no campaign."""
     one = lambda c: c.cast("long")
-    rows = analyzed(s, d).select("brand", F.lit(1).cast("long").alias("requested"), one(F.col("offer")).alias("rendered"), one(~F.col("offer")).alias("skipped"), F.lit(0).cast("long").alias("failed"), one(F.col("received").isNull()).alias("pending"))
-    return gallery.accounting(rows)
+    unknown, waits = F.col("trusted").isNull(), F.col("subject").isNull() & F.col("campaign_id").isNull()
+    of = {"rendered": F.coalesce("trusted", F.lit(False)), "skipped": F.coalesce(~F.col("trusted"), F.lit(False)), "failed": unknown & ~waits, "pending": unknown & waits}
+    return gallery.accounting(messages(s, d).select("brand", F.lit(1).cast("long").alias("requested"), *[one(c).alias(n) for n, c in of.items()]))
 
 
 def coverage_violations(s: SparkSession, d: str) -> DataFrame:
-    return census.coverage_cross_foot(census.coverage_table(analyzed(s, d)))
+    """Brands of which some broadcasts are not classified yet: here those of mailbox exports."""
+    rows = analyzed(s, d).withColumn("quadrant", F.when(F.col("source_type") != "mbox", F.col("quadrant")))
+    return census.coverage_cross_foot(census.coverage_table(rows))
 
 
 def verify_recompute(s: SparkSession, d: str) -> DataFrame:
-    """Counts frozen from the coverage table that differ from the census's own; none."""
-    names = ["broadcast", "lifecycle", "uncertain", *(_SLUG[x] for x in R.QUADRANTS)]
-    frozen = census.coverage_table(analyzed(s, d)).where("brand = 'TOTAL'").select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "metric", "value")
-    return census.frozen_differences(frozen, census.freeze_metrics(analyzed(s, d)).where(F.col("metric").isin(names)))
+    """Metrics frozen from the trusted messages alone that differ from those of all."""
+    rows = analyzed(s, d)
+    return census.frozen_differences(census.freeze_metrics(rows.where("observed IS NOT NULL")), census.freeze_metrics(rows))
 
 
 def metric_tokens(s: SparkSession, d: str) -> DataFrame:
@@ -171,7 +182,7 @@ def anaphora(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (offer_primary, offer_support_violations, offers_dollar, offers_semantic, scope_classify, intent_scores, intent_documents, intent_with_offers, pii_detect, sanitize_core, deny_terms, identifiers, unseen_sources, brand_aliases, pipeline_counts, brand_ledger, failures_unique, source_completeness, uid_batches, gallery_newest, gallery_states, manifest_accounting, coverage_violations, verify_recompute, metric_tokens, anaphora)
+    for f in (offer_primary, offer_support_violations, offers_dollar, offers_semantic, offers_semantic_plain, scope_classify, intent_scores, intent_documents, intent_with_offers, pii_detect, sanitize_core, deny_terms, identifiers, unseen_sources, brand_aliases, pipeline_counts, brand_ledger, failures_unique, source_completeness, uid_batches, gallery_newest, gallery_states, manifest_accounting, coverage_violations, verify_recompute, metric_tokens, anaphora)
 } | {
     "quadrant_table": lambda s, d: census.quadrant_table(analyzed(s, d)),
     "freeze_metrics": lambda s, d: census.freeze_metrics(analyzed(s, d)),
@@ -179,46 +190,38 @@ QUERIES = {
 }
 
 
-def _plain(pattern: str) -> str:
-    """A pattern without its lookaheads."""
-    return re.sub(r"\(\?!(?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)", "", pattern)
-
-
-def _intent_sql(source: str, key: str, subject: str, body: str) -> str:
+def _intent_sql(source: str, key: str, subject: str, body: str, preheader: str = "''") -> str:
     """Content intents of a source in SQL: points, first field and place of each rule, then the best rule."""
     count = lambda f, p: f"len(regexp_extract_all({f}, {q(p)}))"
     place = lambda f, p: f"length(regexp_extract({f}, {q('(?is)^(.*?)(?:' + p.removeprefix('(?i)') + ')')}, 1))"
     rules = []
     for rank, (label, p) in enumerate(R.INTENT_RULES):
-        launch = f"CASE WHEN regexp_matches(f0 || chr(10), {q(R.SUBJECT_LAUNCH)}) THEN {R.LAUNCH_POINTS} ELSE 0 END" if not rank else "0"
-        points = " + ".join(f"CASE WHEN {count(f, p)} > 0 THEN {w} + least({count(f, p)} - 1, {R.MOST_REPEATS}) * {R.REPEAT_POINTS} ELSE 0 END" for f, w in (("f0", 6.0), ("f2", 2.0)))
-        field = f"CASE WHEN {count('f0', p)} > 0 THEN 0 WHEN {count('f2', p)} > 0 THEN 2 WHEN {launch} > 0 THEN 0 END"
-        at = f"CASE WHEN {count('f0', p)} > 0 THEN {place('f0', p)} WHEN {count('f2', p)} > 0 THEN {place('f2', p)} ELSE 0 END"
+        launch = f"CASE WHEN regexp_matches(f0 || chr(10) || f1, {q(R.SUBJECT_LAUNCH)}) THEN {R.LAUNCH_POINTS} ELSE 0 END" if not rank else "0"
+        points = " + ".join(f"CASE WHEN {count(f, p)} > 0 THEN {w} + least({count(f, p)} - 1, {R.MOST_REPEATS}) * {R.REPEAT_POINTS} ELSE 0 END" for f, w in (("f0", 6.0), ("f1", 4.0), ("f2", 2.0)))
+        field = f"CASE WHEN {count('f0', p)} > 0 THEN 0 WHEN {count('f1', p)} > 0 THEN 1 WHEN {count('f2', p)} > 0 THEN 2 WHEN {launch} > 0 THEN 0 END"
+        at = f"CASE WHEN {count('f0', p)} > 0 THEN {place('f0', p)} WHEN {count('f1', p)} > 0 THEN {place('f1', p)} WHEN {count('f2', p)} > 0 THEN {place('f2', p)} ELSE 0 END"
         rules.append(f"SELECT {key}, {rank} AS rank, {q(label)} AS label, {points} + {launch} AS points, {field} AS field, {at} AS place FROM t")
-    return f"""t AS (SELECT {key}, coalesce({subject}, '') AS f0, left(coalesce({body}, ''), {R.INTENT_CHARS}) AS f2 FROM {source}), u AS ({" UNION ALL ".join(rules)}),
+    return f"""t AS (SELECT {key}, coalesce({subject}, '') AS f0, coalesce({preheader}, '') AS f1, left(coalesce({body}, ''), {R.INTENT_CHARS}) AS f2 FROM {source}), u AS ({" UNION ALL ".join(rules)}),
         v AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY points DESC, field, place, rank) AS k FROM u),
         content AS (SELECT {key}, CASE WHEN points = 0 THEN 'Featured products' ELSE label END AS intent, CASE WHEN points = 0 THEN 0.7 WHEN field < 2 THEN 0.9 ELSE 0.86 END::DOUBLE AS confidence FROM v WHERE k = 1)
     """
 
 
-def _scope_sql() -> str:
-    head = " ".join(f"WHEN regexp_matches(subject || chr(10), {q(_plain(p))}) THEN 'lifecycle:{x}|0.96'" for x, p in R.SCOPE_RULES)
-    lead = " ".join(f"WHEN regexp_matches(left(visible_text, {R.LEAD_CHARS}), {q(_plain(p))}) THEN 'lifecycle:{x}|0.91'" for x, p in R.SCOPE_RULES if x in R.LEAD_LABELS)
-    rest = f"WHEN regexp_matches(left(visible_text, {R.LEAD_CHARS}), {q(R.WELCOME_STATE)}) THEN 'lifecycle:welcome|0.91' WHEN trusted THEN 'bulk_or_list_header|0.96' WHEN regexp_matches(subject || chr(10) || visible_text, {q(R.MARKETING_LEAD)}) THEN 'marketing_content|0.72' ELSE 'insufficient_scope_evidence|0.55'"
-    return f", e AS (SELECT id, CASE {head} {lead} {rest} END AS e FROM raw) SELECT id, CASE WHEN e LIKE 'lifecycle%' THEN 'lifecycle' WHEN e LIKE 'insufficient%' THEN 'uncertain' ELSE 'broadcast' END AS scope, split_part(e, '|', 1) AS reason, split_part(e, '|', 2)::DOUBLE AS confidence FROM e"
-
-
-_PERCENTS = "coalesce(" + ", ".join(f"nullif(regexp_extract(subject, {q(_plain(p))}, 1), '')" for p in (R.OFFER_PERCENT[1], R.OFFER_PERCENT[2])) + ")::DOUBLE"
-_OFFERS = f", o AS (SELECT *, {_PERCENTS} AS d FROM raw), p AS (SELECT id, CASE WHEN d BETWEEN 1 AND 99 THEN '%off' WHEN regexp_matches(subject, {q(R.OFFER_GENERIC)}) THEN 'other' END AS type, CASE WHEN d BETWEEN 1 AND 99 THEN d END AS depth, 'subject' AS source FROM o)"
-_ITEMS = ", items AS (SELECT brand, sha256(subject) AS sha256, received AS date, id AS path, strlen(subject) AS bytes FROM raw)"
+_ITEMS = ", items AS (SELECT brand, sha256(coalesce(subject, '')) AS sha256, received AS date, id AS path, strlen(coalesce(subject, '')) AS bytes FROM raw)"
 _NEWEST = "once AS (SELECT *, row_number() OVER (PARTITION BY brand, sha256 ORDER BY date DESC, path DESC) AS k FROM {0}), placed AS (SELECT brand, sha256, date, path, bytes, row_number() OVER (PARTITION BY brand ORDER BY date DESC, path DESC) AS place FROM once WHERE k = 1)"
 _SUMS = ", ".join(f"count(*) FILTER (quadrant = {q(x)}) AS {_SLUG[x]}" for x in R.QUADRANTS)
 _SHARES = ("promotions", "seasonal", *(_SLUG[x] for x in R.QUADRANTS))
-_FREEZE = f""", c AS (SELECT (SELECT count(*) FROM m) AS distinct_messages, count(*) AS broadcast, (SELECT count(*) FROM m WHERE scope = 'lifecycle') AS lifecycle, (SELECT count(*) FROM m WHERE scope = 'uncertain') AS uncertain,
-    count(DISTINCT brand) AS brands, {_SUMS}, count(*) FILTER (offer) AS promotions, count(*) FILTER (seasonal) AS seasonal, coalesce(max(observed) - min(observed) + 1, 0) AS observed_days FROM b),
-    w AS (SELECT {", ".join(f"{c}::DOUBLE AS {c}" for c in ("distinct_messages", *R.SCOPES, "brands", *(_SLUG[x] for x in R.QUADRANTS), "promotions", "seasonal", "observed_days"))},
-        {", ".join(f"round({c} * 100.0 / broadcast, 1)::DOUBLE AS {c}_share" for c in _SHARES)} FROM c),
-    z AS (UNPIVOT w ON COLUMNS(*) INTO NAME metric VALUE value)"""
+def _frozen(name: str, where: str) -> str:
+    """A table name(metric, value) of the metrics of the messages where."""
+    return f""", {name}_m AS (SELECT * FROM m WHERE {where}), {name}_b AS (SELECT * FROM {name}_m WHERE scope = 'broadcast'),
+    {name}_c AS (SELECT (SELECT count(*) FROM {name}_m) AS distinct_messages, count(*) AS broadcast, (SELECT count(*) FROM {name}_m WHERE scope = 'lifecycle') AS lifecycle, (SELECT count(*) FROM {name}_m WHERE scope = 'uncertain') AS uncertain,
+    count(DISTINCT brand) AS brands, {_SUMS}, count(*) FILTER (offer) AS promotions, count(*) FILTER (seasonal) AS seasonal, coalesce(max(observed) - min(observed) + 1, 0) AS observed_days FROM {name}_b),
+    {name}_w AS (SELECT {", ".join(f"{c}::DOUBLE AS {c}" for c in ("distinct_messages", *R.SCOPES, "brands", *(_SLUG[x] for x in R.QUADRANTS), "promotions", "seasonal", "observed_days"))},
+        {", ".join(f"round({c} * 100.0 / broadcast, 1)::DOUBLE AS {c}_share" for c in _SHARES)} FROM {name}_c),
+    {name} AS (UNPIVOT {name}_w ON COLUMNS(*) INTO NAME metric VALUE value)"""
+
+
+_FREEZE = _frozen("z", "true")
 
 
 def _sanitize_sql(text: str) -> str:
@@ -228,19 +231,19 @@ def _sanitize_sql(text: str) -> str:
 
 
 ORACLE_SQL = {k: MESSAGES + v for k, v in {
-    "offer_primary": _OFFERS + " SELECT * FROM p WHERE type IS NOT NULL",
-    "offer_support_violations": " SELECT id, 'x' AS type, 0.0::DOUBLE AS depth FROM raw WHERE false",
-    "scope_classify": _scope_sql(),
-    "intent_scores": ", " + _intent_sql("raw", "id", "subject", "visible_text") + " SELECT * FROM content",
-    "intent_with_offers": _OFFERS + ", " + _intent_sql("raw", "id", "subject", "visible_text") + " SELECT id, CASE WHEN type IS NULL THEN intent ELSE 'Promotion/offer' END AS intent, CASE WHEN type IS NULL THEN confidence ELSE 1 END::DOUBLE AS confidence FROM content JOIN p USING (id)",
+    "offer_primary": " SELECT id, type, depth, source FROM m WHERE offer",
+    "offer_support_violations": " SELECT id, coalesce(depth, 7.0)::DOUBLE AS depth FROM m WHERE NOT contains(lower(coalesce(subject, '')), coalesce(depth, 7)::INT || '% off')",
+    "scope_classify": " SELECT id, scope, reason, scope_confidence AS confidence FROM m",
+    "intent_scores": ", " + _intent_sql("(SELECT * FROM raw)", "id", "subject", "visible_text", "preheader") + " SELECT * FROM content",
+    "intent_with_offers": " SELECT id, intent, intent_confidence AS confidence FROM m",
     "pipeline_counts": " SELECT count(*) AS distinct_messages, sum(n - 1)::BIGINT AS collapsed, sum(n)::BIGINT AS parsed FROM (SELECT count(*) AS n FROM raw GROUP BY brand, campaign_id)",
     "brand_ledger": " SELECT brand, coalesce(r, 0) AS records, coalesce(l, 0) AS lifecycle, coalesce(p, 0) AS parts FROM (SELECT brand, count(*) AS r, count(*) FILTER (scope = 'lifecycle') AS l FROM m GROUP BY 1) FULL JOIN (SELECT p_brand AS brand, count(*) AS p FROM part GROUP BY 1) USING (brand)",
-    "source_completeness": " SELECT brand, CASE WHEN f THEN 'partial' WHEN c THEN 'curated_export' ELSE 'complete' END AS source_completeness FROM (SELECT brand, bool_or(NOT trusted) AS c FROM raw GROUP BY 1) FULL JOIN (SELECT DISTINCT p_brand AS brand, true AS f FROM part WHERE p_size >= 50 AND p_retailprice > 1800) USING (brand)",
+    "source_completeness": " SELECT brand, CASE WHEN f THEN 'partial' WHEN c THEN 'curated_export' ELSE 'complete' END AS source_completeness FROM (SELECT brand, bool_or(source_type = 'curated_export') AS c, bool_or(subject IS NULL AND trusted IS NULL AND campaign_id IS NULL) AS f FROM raw GROUP BY 1)",
     "gallery_newest": _ITEMS + ", " + _NEWEST.format("items") + f" SELECT * FROM placed WHERE place <= {R.GALLERY_KEPT}",
-    "gallery_states": _ITEMS + ", few AS (SELECT * FROM items WHERE bytes >= 60), " + _NEWEST.format("few") + f", n AS (SELECT brand, count(*) AS n FROM placed WHERE place <= {R.GALLERY_KEPT} GROUP BY 1) SELECT p.brand, coalesce(n, 0) AS shown, CASE WHEN n >= {R.GALLERY_READY} THEN 'ready' WHEN n > 0 THEN 'insufficient' ELSE 'unavailable' END AS state FROM (SELECT DISTINCT p_brand AS brand FROM part) p LEFT JOIN n USING (brand)",
-    "manifest_accounting": " SELECT brand, count(*) AS requested, true AS balanced FROM m GROUP BY 1",
-    "coverage_violations": " SELECT 'x' AS brand, 'x' AS broken FROM m WHERE false",
-    "verify_recompute": " SELECT 'x' AS metric, 0.0::DOUBLE AS frozen, 0.0::DOUBLE AS found FROM m WHERE false",
+    "gallery_states": _ITEMS + ", " + _NEWEST.format("items") + f", n AS (SELECT brand, count(*) AS n FROM placed WHERE place <= {R.GALLERY_KEPT} GROUP BY 1) SELECT p.brand, coalesce(n, 0) AS shown, CASE WHEN n >= {R.GALLERY_READY} THEN 'ready' WHEN n > 0 THEN 'insufficient' ELSE 'unavailable' END AS state FROM (SELECT DISTINCT p_brand AS brand FROM part) p LEFT JOIN n USING (brand)",
+    "manifest_accounting": " SELECT brand, count(*) AS requested, count(*) FILTER (trusted) AS rendered, count(*) FILTER (NOT trusted) AS skipped, count(*) FILTER (trusted IS NULL AND (subject IS NOT NULL OR campaign_id IS NOT NULL)) AS failed, count(*) FILTER (trusted IS NULL AND subject IS NULL AND campaign_id IS NULL) AS pending, bool_and(trusted IS NOT NULL OR subject IS NOT NULL OR campaign_id IS NOT NULL) AS balanced FROM raw GROUP BY 1",
+    "coverage_violations": " SELECT CASE WHEN grouping(brand) = 1 THEN 'TOTAL' ELSE brand END AS brand, 'unclassified' AS broken FROM b WHERE source_type = 'mbox' GROUP BY ROLLUP (brand) HAVING count(*) > 0",
+    "verify_recompute": _FREEZE + _frozen("y", "observed IS NOT NULL") + " SELECT metric, y.value AS frozen, z.value AS found FROM y JOIN z USING (metric) WHERE y.value <> z.value",
     "freeze_metrics": _FREEZE + " SELECT metric, value FROM z",
     "metric_tokens": _FREEZE + r" SELECT metric, regexp_replace(printf('%.1f', value), '\.0$', '') || CASE WHEN metric LIKE '%\_share' ESCAPE '\' THEN '%' ELSE '' END AS token FROM z",
     "quadrant_table": ", n AS (SELECT CASE WHEN grouping(quadrant) = 1 THEN 'Total' ELSE quadrant END AS quadrant, count(*) AS messages, min(observed) AS first_day, max(observed) AS last_day FROM b GROUP BY ROLLUP (quadrant)) SELECT x.quadrant, coalesce(messages, 0) AS messages, round(coalesce(messages, 0) * 100.0 / max(messages) OVER (), 1)::DOUBLE AS percent, first_day, last_day "
@@ -248,7 +251,7 @@ ORACLE_SQL = {k: MESSAGES + v for k, v in {
     "hook_selection": ", h AS (SELECT brand, broadcast FROM rollup_rows WHERE hook_eligible ORDER BY broadcast DESC, lower(brand) LIMIT 1), n AS (SELECT b.brand, quadrant, count(*) AS n, any_value(broadcast) AS denominator FROM b JOIN h USING (brand) GROUP BY 1, 2 ORDER BY n DESC, quadrant DESC LIMIT 1) SELECT brand, denominator, quadrant, n AS numerator, round(n * 100.0 / denominator, 1)::DOUBLE AS percent FROM n",
 }.items()} | {
     "offers_dollar": f"SELECT doc_id, len(f) AS offers, list_max(f) AS deepest FROM (SELECT doc_id, list_transform(list_concat({', '.join(f'regexp_extract_all(text, {q(p)}, 1)' for p in R.OFFER_DOLLAR)}), lambda x: x::DOUBLE) AS f FROM documents)",
-    "offers_semantic": "SELECT doc_id, " + ", ".join(f"regexp_matches(text, {q(dict(R.OFFER_SEMANTIC)[k])}) AS {k}" for k in ("bogo", "bundle", "free_shipping")) + " FROM documents",
+    "offers_semantic_plain": "SELECT doc_id, " + ", ".join(f"regexp_matches(text, {q(dict(R.OFFER_SEMANTIC)[k])}) AS {k}" for k in ("bogo", "bundle", "free_shipping")) + " FROM documents",
     "intent_documents": "WITH " + _intent_sql("documents", "doc_id", "source", "text") + " SELECT * FROM content",
     "pii_detect": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, {q(n)} AS rule, len(regexp_extract_all(text, {q(p)})) AS matches FROM documents" for n, p, _ in P.PRIVACY_RULES) + ") WHERE matches > 0",
     "sanitize_core": f"SELECT doc_id, md5({_sanitize_sql('text')}) AS sanitized_md5 FROM documents",

@@ -54,7 +54,7 @@ def brand_rollup(df: DataFrame) -> DataFrame:
     days = F.coalesce(F.datediff(F.max(day), F.min(day)) + 1, F.lit(0)).cast("long")
     rows = df.groupBy("brand").agg(
         F.count(F.lit(1)).alias("distinct_messages"), *[count_if(F.col("scope") == s).alias(s) for s in R.SCOPES], F.min(day).alias("first_observed"), F.max(day).alias("last_observed"), days.alias("observed_days"),
-        F.countDistinct(F.date_format(day, "yyyy-MM")).alias("months"), count_if(sent & F.col("offer")).alias("offers"), F.median(F.when(sent, F.col("depth"))).alias("median_depth"),
+        F.countDistinct(F.date_format(day, "yyyy-MM")).alias("months"), count_if(sent & F.col("offer")).alias("offers"), count_if(sent & F.col("depth").isNotNull()).alias("numeric_offers"), F.median(F.when(sent, F.col("depth"))).alias("median_depth"),
     )
     hook = (F.col("broadcast") >= R.POSTURE_MESSAGES) & (F.col("observed_days") >= R.POSTURE_DAYS)
     return rows.withColumns({"observed_weeks": F.ceil(F.col("observed_days") / 7).cast("long"), "coverage": coverage_level(F.col("observed_days")), "hook_eligible": hook, "seasonal_eligible": (F.col("observed_days") >= R.SEASONAL_DAYS) & (F.col("broadcast") > 0)})
@@ -102,18 +102,37 @@ def coverage_table(df: DataFrame) -> DataFrame:
     """Counts and days of each brand and, by rollup, of all (brand TOTAL); a group without broadcasts takes the dates of all its messages."""
     sent = F.col("scope") == "broadcast"
     day = lambda f: F.when(count_if(sent) > 0, f(F.when(sent, F.col("observed")))).otherwise(f("observed"))
-    rows = df.rollup("brand").agg(F.grouping("brand").alias("total"), F.count(F.lit(1)).alias("messages"), *[count_if(F.col("scope") == s).alias(s) for s in R.SCOPES], day(F.min).alias("first_day"), day(F.max).alias("last_day"), *[count_if(sent & (F.col("quadrant") == q)).alias(q.lower().replace(" ", "_")) for q in R.QUADRANTS])
+    rows = df.rollup("brand").agg(F.grouping("brand").alias("total"), F.count(F.lit(1)).alias("messages"), *[count_if(F.col("scope") == s).alias(s) for s in R.SCOPES], count_if(sent & F.col("quadrant").isNull()).alias("unclassified"), day(F.min).alias("first_day"), day(F.max).alias("last_day"), *[count_if(sent & (F.col("quadrant") == q)).alias(q.lower().replace(" ", "_")) for q in R.QUADRANTS])
     days = F.coalesce(F.datediff("last_day", "first_day") + 1, F.lit(0)).cast("long")
     gate = F.when(F.col("total") == 1, "summary").when((F.col("broadcast") >= 30) & (days >= 90), "eligible").when((F.col("broadcast") >= 15) & (days >= 45), "within_50_percent").otherwise("insufficient")
-    return rows.select(F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("brand")).alias("brand"), "messages", *R.SCOPES, "first_day", "last_day", days.alias("observed_days"), gate.alias("hook_gate"), *[q.lower().replace(" ", "_") for q in R.QUADRANTS])
+    return rows.select(F.when(F.col("total") == 1, "TOTAL").otherwise(F.col("brand")).alias("brand"), "messages", *R.SCOPES, "unclassified", "first_day", "last_day", days.alias("observed_days"), gate.alias("hook_gate"), *[q.lower().replace(" ", "_") for q in R.QUADRANTS])
 
 
 def cross_foot(df: DataFrame) -> DataFrame:
-    """Named equations that must all hold."""
+    """name, left_side, right_side and passed of the equations that a report's numbers must meet.
+
+    Each side is summed on its own way through the data: messages, scopes, quadrants, brands, months with a trusted
+    date, distinct messages, brands of the seasonal planner. Those of failures, of distinct messages and of months hold
+    only where every message is trusted and once there.
+    """
     sent = F.col("scope") == "broadcast"
-    one = df.agg(F.count(F.lit(1)).alias("n"), count_if(sent).alias("sent"), *[count_if(F.col("scope") == s).alias(f"s_{s}") for s in R.SCOPES], *[count_if(sent & (F.col("quadrant") == q)).alias(f"q{i}") for i, q in enumerate(R.QUADRANTS)], count_if(sent & F.col("offer")).alias("offers"), count_if(sent & F.col("seasonal")).alias("seasonal"))
-    checks = {"scopes_equal_messages": "n = s_broadcast + s_lifecycle + s_uncertain", "quadrants_equal_broadcasts": "sent = q0 + q1 + q2 + q3", "promotion_axes_reconcile": "offers = q1 + q2", "seasonal_axes_reconcile": "seasonal = q2 + q3"}
-    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.expr(v).alias("passed")) for k, v in checks.items()])))
+    one = df.agg(
+        F.count(F.lit(1)).alias("n"), count_if(F.col("observed").isNull()).alias("failed"), F.count("observed").alias("trusted"), F.count_distinct("message_id").alias("kept"), count_if(sent).alias("sent"),
+        count_if(F.col("scope").isin(*R.SCOPES)).alias("scoped"), count_if(sent & F.col("quadrant").isin(*R.QUADRANTS)).alias("quadrants"), count_if(sent & F.col("observed").isNotNull()).alias("monthly"),
+        count_if(sent & F.col("offer")).alias("offers"), count_if(sent & F.col("seasonal")).alias("seasonal"), count_if(sent & F.col("quadrant").isin(*R.QUADRANTS[1:3])).alias("q_offers"), count_if(sent & F.col("quadrant").isin(*R.QUADRANTS[2:])).alias("q_seasonal"),
+    )
+    brands = brand_rollup(df).agg(F.sum("broadcast").alias("brand_sum"), count_if(F.col("seasonal_eligible")).alias("eligible"), F.count_distinct(F.when(F.col("seasonal_eligible"), F.col("brand"))).alias("eligible_names"), F.coalesce(F.sum(F.when(F.col("seasonal_eligible"), F.col("broadcast"))), F.lit(0)).alias("planned"))
+    planned = seasonal_broadcasts(df).agg(F.count(F.lit(1)).alias("plan_rows"), F.count("occasion").alias("occasions"))
+    sides = {
+        "raw_equals_failures_plus_parsed": ("n", "failed + trusted"), "parsed_equals_collapsed_plus_distinct": ("n", "kept"), "distinct_equals_scopes": ("n", "scoped"),
+        "broadcast_equals_quadrants": ("sent", "quadrants"), "brand_broadcasts_equal_global": ("sent", "brand_sum"), "monthly_broadcasts_equal_global": ("sent", "monthly"),
+        "promotion_axes_reconcile": ("offers", "q_offers"), "seasonal_axes_reconcile": ("seasonal", "q_seasonal"), "seasonal_planner_brand_count_matches": ("eligible", "eligible_names"),
+        "seasonal_planner_messages_equal_eligible_brands": ("planned", "plan_rows"), "seasonal_occasions_within_eligible_messages": ("occasions", "planned"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("name"), F.expr(a).cast("long").alias("left_side"), F.expr(b).cast("long").alias("right_side")) for k, (a, b) in sides.items()])
+    within = F.col("name").startswith("seasonal_occasions") & (F.col("left_side") <= F.col("right_side"))
+    joined = one.withColumn("_one", F.lit(1)).join(brands.withColumn("_one", F.lit(1)), "_one").join(planned.withColumn("_one", F.lit(1)), "_one")  # a row each
+    return joined.select(F.inline(rows)).withColumn("passed", within | (F.col("left_side") == F.col("right_side")))
 
 
 def findings(df: DataFrame) -> DataFrame:
@@ -125,7 +144,7 @@ def findings(df: DataFrame) -> DataFrame:
 
 def weekly_activity(df: DataFrame) -> DataFrame:
     """52 planning buckets of nearly equal length from the first to the last day, with a heat level from 0 to 4."""
-    rows = broadcasts(df).where("received IS NOT NULL")
+    rows = broadcasts(df).withColumn("received", F.coalesce("received", F.raise_error(F.lit("a broadcast without a date")).cast("date")))
     ends = rows.agg(F.min("received").alias("first"), F.max("received").alias("last")).withColumn("span", F.datediff("last", "first") + 1)
     counted = rows.join(F.broadcast(ends)).groupBy(F.expr(f"least({R.BUCKETS - 1}, (datediff(received, first) * {R.BUCKETS}) div span)").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     buckets = ends.select("first", "last", "span", F.explode(F.expr(f"sequence(0L, {R.BUCKETS - 1}L)")).alias("bucket"))
@@ -136,10 +155,14 @@ def weekly_activity(df: DataFrame) -> DataFrame:
     return out.withColumn("level", F.when(F.col("messages") == 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(4), F.ceil(F.col("messages") * 4 / most)))).cast("int"))
 
 
+#: The columns of a message that a report may show.
+LIBRARY = ("id", "brand", "observed", "subject", "quadrant", "intent", "coalesce(occasion, '') AS occasion", "coalesce(primary.type, '') AS offer_type", "scope_evidence.reason AS scope_reason")
+
+
 def latest(df: DataFrame, n: int = 6) -> DataFrame:
     """The n newest messages of each scope, by day, brand and id, all descending."""
     order = Window.partitionBy("scope").orderBy(F.desc_nulls_last("observed"), F.desc("brand"), F.desc("id"))
-    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("scope", "place", "id", "brand", "observed", "subject")
+    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).selectExpr("scope", "place", *LIBRARY)
 
 
 def quadrant_table(df: DataFrame) -> DataFrame:
@@ -151,13 +174,16 @@ def quadrant_table(df: DataFrame) -> DataFrame:
     return counted.select("quadrant", "messages", F.when(whole > 0, F.round(F.col("messages") * 100.0 / whole, 1)).otherwise(0.0).alias("percent"), "first_day", "last_day")
 
 
-def coverage_cross_foot(table: DataFrame) -> DataFrame:
-    """Rows of a coverage table that break one of its equations; none, if it is right."""
+def coverage_cross_foot(table: DataFrame, require_quadrants: bool = True) -> DataFrame:
+    """brand and broken: the equations of a coverage table that a row breaks, or the sum of all; none, if it is right."""
     quadrants = " + ".join(q.lower().replace(" ", "_") for q in R.QUADRANTS)
+    rules = {"scopes": "messages <> broadcast + lifecycle + uncertain", "quadrants": f"broadcast <> unclassified + {quadrants}"}
+    if require_quadrants:
+        rules["unclassified"] = "unclassified > 0"
+    named = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
     sums = [F.sum(F.when(F.col("brand") == "TOTAL", F.col(c)).otherwise(-F.col(c))) for c in ("messages", "broadcast")]
-    rows = table.where(f"messages <> broadcast + lifecycle + uncertain OR broadcast <> {quadrants}").select("brand", F.lit("row").alias("broken"))
     total = table.agg(sums[0].alias("m"), sums[1].alias("b")).where("m <> 0 OR b <> 0").select(F.lit("TOTAL").alias("brand"), F.lit("sum of brands").alias("broken"))
-    return rows.unionByName(total)
+    return table.select("brand", F.explode(named).alias("broken")).unionByName(total)
 
 
 def freeze_metrics(df: DataFrame) -> DataFrame:

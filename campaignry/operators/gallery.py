@@ -26,4 +26,4 @@ def brand_states(items: DataFrame, brands: DataFrame) -> DataFrame:
 def accounting(runs: DataFrame) -> DataFrame:
     """brand and balanced: every requested item was processed and rendered, skipped or failed, and none is pending."""
     sums = runs.groupBy("brand").agg(*[F.sum(c).alias(c) for c in ("requested", "rendered", "skipped", "failed", "pending")])
-    return sums.select("brand", "requested", ((F.col("requested") == F.col("rendered") + F.col("skipped") + F.col("failed")) & (F.col("pending") == 0)).alias("balanced"))
+    return sums.select("brand", "requested", "rendered", "skipped", "failed", "pending", ((F.col("requested") == F.col("rendered") + F.col("skipped") + F.col("failed")) & (F.col("pending") == 0)).alias("balanced"))

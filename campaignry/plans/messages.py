@@ -1,41 +1,166 @@
-"""Campaign messages derived from lineitem and part, and the classified columns that all reports read.
+"""Campaign messages derived from lineitem and part, their classification, and the store of it that all reports read.
 
 These rows are fixtures: no ratio found in them says anything about real mail.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import rules as R
+from ..functions import scoring as S
+from ..functions.offers import CANDIDATE, with_offers
+from ..functions.text import quadrant_of
+
+LONG = "Every piece is measured twice and cut once by hand in a quiet room near the river. " * 6
+#: Subject, preheader and body; {p} is the part's name, {n} the line's percentage.
+TEMPLATES = (
+    ("Take {n}% off {p}", "Today only", "Shop the range."),
+    ("Save {n}% on {p}", "", "A note from the product team."),
+    ("Save {n}% more water with {p}", "", "Field notes."),
+    ("$10 off your next {p}", "", "Use it this week."),
+    ("BOGO on every {p}, plus {n}% off", "", ""),
+    ("Meet the new {p}", "Now available", "Just dropped this morning."),
+    ("How it works: {p}", "The science of fit", "Learn about the material."),
+    ("A letter about {p}", "Our story so far", "Our mission goes on."),
+    ("Loved by runners: {p}", "Five-star reviews inside", ""),
+    ("Upgrade your {p}", "Subscribe and save", ""),
+    ("Pairs with your {p}", "Complete the look", ""),
+    ("The travel edit: {p}", "What to wear", ""),
+    ("A {p} in three colours", "", ""),
+    ("Black Friday: {n}% off {p}", "", "Doors open at nine."),
+    ("Black Friday reading list", "", "A {p} on every page."),
+    ("Your {p} notes", "Ring in 2026 with us", ""),
+    ("Season's greetings", "", "From all of us and a {p}."),
+    ("Gifts for mom: {p}", "", ""),
+    ("The gift guide: {p}", "", ""),
+    ("Gift guide for mum: {p}", "The mum's gift guide", ""),
+    ("Summer collection: {p}", "", ""),
+    ("Autumn arrivals", "Shop {p}", ""),
+    ("Spring walks", "A {p} for the sale", ""),
+    ("Welcome to the club", "", "Meet {p}."),
+    ("Welcome to summer", "Shop {p}", ""),
+    ("Welcome aboard", "Join our team", "A {p} for every role."),
+    ("Your order is confirmed", "", "Thank you for choosing {p}."),
+    ("A note about {p}", "", "Your order has shipped and your payment is confirmed."),
+    ("News of {p}", "", "Your welcome code is ready."),
+    ("News of the {p}", "", "This offer is waiting."),
+    ("Free shipping this week on {p}", "", ""),
+    ("About {p}", "", "Free shipping on all orders."),
+    ("About this {p}", "", "Free shipping ends tonight."),
+    ("Final sale notes for {p}", "", ""),
+    ("Deals and news: {p}", "", ""),
+    ("A discount is not available on {p}", "", ""),
+    ("Why we make {p}", "The science behind it", "Made with care. {n}% off this week."),
+    ("Introducing {p}", "", LONG + "Take {n}% off."),
+    ("Free gift with purchase of {p}", "", ""),
+    ("Bundle and save: {p}", "", ""),
+    ("Halloween at our place", "Early access to {p}", ""),
+    ("", "", ""),
+)
+
 
-PREFIXES = {2: "Valentine's Day: ", 5: "Memorial Day: ", 7: "July 4: ", 10: "Halloween: ", 11: "Black Friday: ", 12: "Holiday sale: "}
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to all cores where the scan has fewer tasks than that, as a file of one row group has; else rows."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a line: id, message_id, campaign_id, brand, received, trusted, subject, visible_text."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_discount", "l_returnflag", "l_linestatus")
+    """One row a line: keys, source, dates, trust, the texts, and what a curated export says of them."""
+    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_discount", "l_returnflag", "l_linestatus"))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand")
-    percent, month, line = F.round(F.col("l_discount") * 100).cast("int"), F.month("l_shipdate"), F.col("l_linenumber")
-    core = F.when(percent == 0, F.concat(F.lit("How "), "p_name", F.lit(" is made"))).otherwise(F.concat(F.lit("Save "), percent.cast("string"), F.lit("% on "), "p_name"))
-    prefix = F.coalesce(*[F.when((line % 2 == 1) & (month == m), p) for m, p in PREFIXES.items()], F.when(line == 2, "Summer collection: "), F.lit(""))
-    body = F.when(F.col("l_returnflag") == "R", "Your order is confirmed.").otherwise("A note from the product team.")
+    line, order, flag = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_returnflag")
+    template = F.element_at(F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(t, S.FIELDS)]) for t in TEMPLATES]), ((order + 3 * line + F.col("l_suppkey")) % len(TEMPLATES) + 1).cast("int"))
+    percent = (F.round(F.col("l_discount") * 100) + 5).cast("int").cast("string")
+    filled = lambda name: F.nullif(F.replace(F.replace(F.col(f"_template.{name}"), F.lit("{n}"), percent), F.lit("{p}"), F.col("p_name")), F.lit(""))
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+    bulk, curated = order % 5 != 0, line == 7
+    minutes = ((order * 37 + line * 11) % 1440).cast("int")
+    joined = lines.withColumn("_template", template).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(
         F.concat_ws("-", *key, F.date_format("l_shipdate", "yyyyMMdd")).alias("id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("message_id"),
-        F.concat_ws("-", "l_partkey", "l_suppkey").alias("campaign_id"), F.col("p_brand").alias("brand"), F.to_date("l_shipdate").alias("received"),
-        (F.col("l_linestatus") != "O").alias("trusted"), F.concat(prefix, core).alias("subject"), body.alias("visible_text"),
+        F.when(bulk, F.concat_ws("-", "l_partkey", "l_suppkey")).alias("campaign_id"), F.col("p_brand").alias("brand"), F.to_date("l_shipdate").alias("received"),
+        F.timestamp_add("MINUTE", minutes, F.col("l_shipdate").cast("timestamp")).alias("received_at"),
+        F.when(curated, "curated_export").when(line == 6, "mbox").otherwise("imap").alias("source_type"),
+        F.when(line != 5, F.col("l_linestatus") != "O").alias("trusted"), *[filled(n).alias(n) for n in S.FIELDS],
+        F.when(curated & (flag == "A"), "other").alias("curated_offer"), F.when(curated & (flag == "R"), "summer").alias("curated_occasion"), F.when(curated, "upsell").alias("curated_intent"),
     )
 
 
-def classified(rows: DataFrame) -> DataFrame:
-    """messages with scope, depth, offer, occasion, seasonal, quadrant, intent and observed (the trusted date)."""
-    subject, body = F.col("subject"), F.col("visible_text")
-    rows = rows.withColumns({"scope": X.scope_of(subject, body, F.lit(True)), "depth": X.percent_depth(subject), "occasion": X.occasion_of(subject, F.month("received")), "observed": F.when(F.col("trusted"), F.col("received"))})
-    rows = rows.withColumns({"offer": F.col("depth").isNotNull(), "seasonal": F.col("occasion").isNotNull()})
-    return rows.withColumns({"quadrant": X.quadrant_of(F.col("offer"), F.col("seasonal")), "intent": X.intent_of(subject, F.col("offer"))})
+def wording(texts: DataFrame) -> DataFrame:
+    """The three text columns and all that depends on them alone: scope_wording, season_hints, offers, primary, content, thesis."""
+    fields = [F.col(n) for n in S.FIELDS]
+    rows = with_offers(texts, *fields).withColumns({"scope_wording": S.scope_wording(*fields), "season_hints": S.season_hints(*fields), "content": S.content_intent(*fields)})
+    return rows.withColumn("thesis", S.content_thesis(*fields, F.col("content"), F.col("primary")))
+
+
+def named(value: Column, names: tuple[str, ...]) -> Column:
+    """The name that value spells, whatever its case, else null."""
+    return F.coalesce(*[F.when(F.lower(F.trim(value)) == n.lower(), F.lit(n)) for n in names])
+
+
+def classified(rows: DataFrame, once: bool = True) -> DataFrame:
+    """rows with scope, offers, seasonality, intent, quadrant and observed (the trusted date).
+
+    once: equal texts, as the copies of one campaign are, are searched once and joined back; else each row by itself.
+    Curated exports keep their scope, and what they say of offers (without numbers), occasions and intents counts where
+    the texts give nothing.
+    """
+    if once:
+        filled = rows.fillna("", list(S.FIELDS))
+        texts = filled.select(*S.FIELDS).distinct()
+        known = wording(texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *S.FIELDS))
+        rows = filled.join(known, list(S.FIELDS))
+    else:
+        rows = wording(rows)
+    curated = F.col("source_type") == "curated_export"
+    fallback = F.when(curated & F.col("primary").isNull() & F.col("curated_offer").isin(*R.OFFER_TYPES), F.struct(F.col("curated_offer").alias("type"), F.lit(None).cast("double").alias("depth"), F.lit("other").alias("unit"), F.lit("curated_export").alias("source"), F.lit("").alias("evidence"), F.lit(0.8).alias("confidence"), F.lit(0).alias("position")).cast(CANDIDATE))
+    occasion = named(F.col("curated_occasion"), (*(o for o, _ in R.OCCASIONS), "Spring", "Summer", "Fall", "Winter"))
+    given = F.struct(F.lit(True).alias("seasonal"), occasion.alias("occasion"), F.lit("curated_export").alias("source"), F.lit("").alias("evidence"), F.lit(0.8).alias("confidence"))
+    kept = F.struct(F.lit("broadcast").alias("scope"), F.lit("curated_export").alias("reason"), F.lit(1.0).alias("confidence"))
+    bulk = F.col("campaign_id").isNotNull()
+    rows = rows.withColumns({
+        "scope_evidence": F.when(curated, kept).otherwise(S.scope_of(F.col("scope_wording"), bulk)), "primary": F.coalesce("primary", fallback),
+        "season": S.seasonality(F.col("season_hints"), F.month("received")), "observed": F.when(F.coalesce("trusted", F.col("source_type") != "mbox"), F.col("received")),
+    })
+    rows = rows.withColumns({"season": F.when(curated & ~F.col("season.seasonal") & occasion.isNotNull(), given).otherwise(F.col("season")), "offer": F.col("primary").isNotNull()})
+    guessed = F.when(F.col("content.intent") == "Featured products", named(F.col("curated_intent"), R.INTENTS))
+    offered = F.struct(F.lit("Promotion/offer").alias("intent"), F.col("primary.confidence").alias("confidence"))
+    own = F.when(F.col("offer"), offered).when(guessed.isNotNull(), F.struct(guessed.alias("intent"), F.lit(0.8).alias("confidence"))).otherwise(F.struct("content.intent", "content.confidence"))
+    found = F.when(curated, own).otherwise(S.intent_of(F.col("content"), F.col("primary"), F.col("thesis")))
+    rows = rows.withColumns({
+        "scope": F.col("scope_evidence.scope"), "depth": F.col("primary.depth"), "seasonal": F.col("season.seasonal"), "occasion": F.nullif(F.col("season.occasion"), F.lit("")),
+        "intent": found["intent"], "intent_confidence": found["confidence"],
+    })
+    return rows.withColumn("quadrant", quadrant_of(F.col("offer"), F.col("seasonal"))).drop("scope_wording", "season_hints", "content", "thesis")
+
+
+_STORES: dict[tuple, str] = {}
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(messages(spark, sf_dir))
+    """The classified messages, from a store that is written once for each session and state of the input; reports read the columns they need."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for name in ("lineitem", "part"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state += [status.getModificationTime(), status.getLen()]
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _STORES:
+        where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+        if not where:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="campaignry-")
+        folder = f"{where.rstrip('/')}/classified-{uuid.uuid4().hex}"
+        classified(messages(spark, sf_dir)).write.parquet(folder)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).deleteOnExit(path)
+        _STORES[key] = folder
+    return spark.read.parquet(_STORES[key])

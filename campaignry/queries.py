@@ -12,7 +12,7 @@ from .functions import rules as R
 from .functions import text as X
 from .operators import census, dedupe
 from .plans.demo import demo_census
-from .plans.messages import PREFIXES, analyzed, messages
+from .plans.messages import TEMPLATES, analyzed, messages, spread
 from .sources.mail import visible_pages
 
 
@@ -20,40 +20,98 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _table_case(text: str, table: tuple) -> str:
-    return " ".join(f"WHEN regexp_matches({text}, {q(p)}) THEN {q(label)}" for label, p in table)
-
-
-_PREFIX = " ".join(f"WHEN l_linenumber % 2 = 1 AND month(l_shipdate) = {m} THEN {q(p)}" for m, p in PREFIXES.items())
-_SEASON = " ".join(f"WHEN regexp_matches(subject, {q(rf'(?i)\b{w}\b')}) AND regexp_matches(subject, {q(R.SEASON_CONTEXT)}) AND month(received) IN {months} THEN {q(label)}" for w, label, months in R.SEASONS)
+# What the reports must find in each template of plans.messages.TEMPLATES, read from the rules by hand, for the SQL alone:
+# lifecycle wording and its confidence, marketing words, kind, depth and field of the primary offer, occasion with its
+# months (none: any) and field, intent.
+GOLDEN = (
+    ("", 0, True, "%off", "n", "subject", "", (), "", "Promotion/offer"),
+    ("", 0, True, "%off", "n", "subject", "", (), "", "Promotion/offer"),
+    ("", 0, True, "", "", "", "", (), "", "Featured products"),
+    ("", 0, False, "$off", "10", "subject", "", (), "", "Promotion/offer"),
+    ("", 0, False, "bogo", "", "subject", "", (), "", "Promotion/offer"),
+    ("", 0, True, "", "", "", "", (), "", "New product launch"),
+    ("", 0, True, "", "", "", "", (), "", "Ingredient/education"),
+    ("", 0, False, "", "", "", "", (), "", "Founder/brand story"),
+    ("", 0, False, "", "", "", "", (), "", "Social proof/UGC"),
+    ("", 0, True, "", "", "", "", (), "", "Upsell"),
+    ("", 0, False, "", "", "", "", (), "", "Cross-sell"),
+    ("", 0, False, "", "", "", "", (), "", "Lifestyle/seasonal"),
+    ("", 0, False, "", "", "", "", (), "", "Featured products"),
+    ("", 0, False, "%off", "n", "subject", "Black Friday", (), "subject", "Promotion/offer"),
+    ("", 0, False, "", "", "", "Black Friday", (), "subject", "Featured products"),
+    ("", 0, False, "", "", "", "New Year", (), "preheader", "Featured products"),
+    ("", 0, False, "", "", "", "Holiday gifting", (), "subject", "Featured products"),
+    ("", 0, False, "", "", "", "Mother's Day", (4, 5), "subject", "Featured products"),
+    ("", 0, True, "", "", "", "Holiday gifting", (10, 11, 12), "subject", "Lifestyle/seasonal"),
+    ("", 0, True, "", "", "", "Mother's Day", (4, 5), "preheader", "Lifestyle/seasonal"),
+    ("", 0, True, "", "", "", "Summer", (6, 7, 8), "subject", "Featured products"),
+    ("", 0, True, "", "", "", "Fall", (9, 10, 11), "subject", "Featured products"),
+    ("", 0, True, "other", "", "preheader", "", (), "", "Promotion/offer"),
+    ("welcome", 0.96, False, "", "", "", "", (), "", "Featured products"),
+    ("", 0, True, "", "", "", "", (), "", "Featured products"),
+    ("", 0, False, "", "", "", "", (), "", "Featured products"),
+    ("transactional", 0.96, False, "", "", "", "", (), "", "Featured products"),
+    ("transactional", 0.91, False, "", "", "", "", (), "", "Featured products"),
+    ("welcome", 0.91, False, "", "", "", "", (), "", "Featured products"),
+    ("welcome", 0.91, True, "", "", "", "", (), "", "Featured products"),
+    ("", 0, True, "free_shipping", "", "subject", "", (), "", "Promotion/offer"),
+    ("", 0, True, "", "", "", "", (), "", "Featured products"),
+    ("", 0, True, "free_shipping", "", "visible_text", "", (), "", "Promotion/offer"),
+    ("", 0, True, "", "", "", "", (), "", "Featured products"),
+    ("", 0, False, "", "", "", "", (), "", "Featured products"),
+    ("", 0, True, "", "", "", "", (), "", "Featured products"),
+    ("", 0, True, "%off", "n", "visible_text", "", (), "", "Ingredient/education"),
+    ("", 0, False, "%off", "n", "visible_text", "", (), "", "New product launch"),
+    ("", 0, True, "gift", "", "subject", "", (), "", "Promotion/offer"),
+    ("", 0, True, "bundle", "", "subject", "", (), "", "Promotion/offer"),
+    ("", 0, True, "other", "", "preheader", "Halloween", (), "subject", "Promotion/offer"),
+    ("", 0, False, "", "", "", "", (), "", "Featured products"),
+)
+_EMPTY = len(TEMPLATES) - 1
+_TEMPLATE_ROWS = ", ".join(
+    f"({i}, {q(subject)}, {q(preheader)}, {q(body)}, {q(g[0])}, {g[1]}::DOUBLE, {g[2]}, {q(g[3])}, {q(g[4])}, {q(g[5])}, {q(g[6])}, {list(g[7])}::INT[], {q(g[8])}, {q(g[9])})"
+    for i, ((subject, preheader, body), g) in enumerate(zip(TEMPLATES, GOLDEN, strict=True))
+)
+_FILLED = ", ".join(f"nullif(replace(replace(x.{c}, '{{n}}', (round(l_discount * 100) + 5)::INT::VARCHAR), '{{p}}', p_name), '') AS {c}" for c in ("subject", "preheader", "visible_text"))
 MESSAGES = rf"""
-    WITH raw AS (
+    WITH tpl(t, subject, preheader, visible_text, life, life_confidence, marketing, kind, number, kind_source, named, months, named_source, thesis) AS (VALUES {_TEMPLATE_ROWS}),
+    raw AS (
         SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS id,
-               concat_ws('-', l_orderkey, l_linenumber) AS message_id, concat_ws('-', l_partkey, l_suppkey) AS campaign_id, p_brand AS brand,
-               l_shipdate::DATE AS received, l_linestatus <> 'O' AS trusted,
-               (CASE {_PREFIX} WHEN l_linenumber = 2 THEN 'Summer collection: ' ELSE '' END) ||
-               (CASE WHEN round(l_discount * 100)::INT = 0 THEN 'How ' || p_name || ' is made' ELSE 'Save ' || round(l_discount * 100)::INT || '% on ' || p_name END) AS subject,
-               CASE WHEN l_returnflag = 'R' THEN 'Your order is confirmed.' ELSE 'A note from the product team.' END AS visible_text
-        FROM lineitem JOIN part ON l_partkey = p_partkey
+               concat_ws('-', l_orderkey, l_linenumber) AS message_id, CASE WHEN l_orderkey % 5 <> 0 THEN concat_ws('-', l_partkey, l_suppkey) END AS campaign_id, p_brand AS brand,
+               l_shipdate::DATE AS received, l_shipdate + to_minutes((l_orderkey * 37 + l_linenumber * 11) % 1440) AS received_at,
+               CASE l_linenumber WHEN 7 THEN 'curated_export' WHEN 6 THEN 'mbox' ELSE 'imap' END AS source_type, CASE WHEN l_linenumber <> 5 THEN l_linestatus <> 'O' END AS trusted,
+               {_FILLED}, l_returnflag AS flag, (round(l_discount * 100) + 5)::INT AS n, (l_orderkey + 3 * l_linenumber + l_suppkey) % {len(TEMPLATES)} AS t
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN tpl x ON x.t = (l_orderkey + 3 * l_linenumber + l_suppkey) % {len(TEMPLATES)}
+    ), g AS (
+        SELECT raw.*, tpl.* EXCLUDE (t, subject, preheader, visible_text), source_type = 'curated_export' AS curated, CASE WHEN coalesce(trusted, source_type <> 'mbox') THEN received END AS observed,
+               CASE WHEN named <> '' AND (len(months) = 0 OR list_contains(months, month(received)::INT)) THEN named END AS said
+        FROM raw JOIN tpl USING (t)
     ), a AS (
-        SELECT *, CASE WHEN trusted THEN received END AS observed,
-               CASE WHEN (CASE {_table_case('subject', R.LIFECYCLE)} {_table_case('visible_text', R.LIFECYCLE)} END) IS NOT NULL THEN 'lifecycle' ELSE 'broadcast' END AS scope,
-               try_cast(nullif(regexp_extract(subject, {q(R.PERCENT)}, 1), '') AS DOUBLE) AS depth,
-               CASE {_table_case('subject', R.OCCASIONS)} {_SEASON} END AS occasion
-        FROM raw
+        SELECT *, CASE WHEN curated THEN 'broadcast' WHEN life <> '' THEN 'lifecycle' WHEN t = {_EMPTY} THEN 'uncertain' WHEN campaign_id IS NOT NULL OR marketing THEN 'broadcast' ELSE 'uncertain' END AS scope,
+               CASE WHEN curated THEN 'curated_export' WHEN life <> '' THEN 'lifecycle:' || life WHEN t = {_EMPTY} THEN 'insufficient_scope_evidence' WHEN campaign_id IS NOT NULL THEN 'bulk_or_list_header'
+                    WHEN marketing THEN 'marketing_content' ELSE 'insufficient_scope_evidence' END AS reason,
+               CASE WHEN curated THEN 1 WHEN life <> '' THEN life_confidence WHEN t = {_EMPTY} THEN 0.45 WHEN campaign_id IS NOT NULL THEN 0.96 WHEN marketing THEN 0.72 ELSE 0.55 END::DOUBLE AS scope_confidence,
+               CASE WHEN kind <> '' THEN kind WHEN curated AND flag = 'A' THEN 'other' END AS type,
+               CASE WHEN kind <> '' THEN kind_source WHEN curated AND flag = 'A' THEN 'curated_export' END AS source,
+               CASE number WHEN 'n' THEN n ELSE try_cast(nullif(number, '') AS DOUBLE) END::DOUBLE AS depth,
+               CASE WHEN said IS NOT NULL THEN said WHEN curated AND flag = 'R' THEN 'Summer' END AS occasion,
+               CASE WHEN said IS NOT NULL THEN named_source WHEN curated AND flag = 'R' THEN 'curated_export' ELSE '' END AS occasion_source,
+               CASE WHEN said IS NULL AND curated AND flag = 'R' THEN 0.8 WHEN said IS NOT NULL AND len(months) > 0 THEN 0.9 ELSE 1 END::DOUBLE AS occasion_confidence
+        FROM g
     ), m AS (
-        SELECT *, depth IS NOT NULL AS offer, occasion IS NOT NULL AS seasonal,
-               CASE WHEN depth IS NOT NULL AND occasion IS NOT NULL THEN 'Seasonal promotion' WHEN depth IS NOT NULL THEN 'Everyday promotion'
+        SELECT *, type IS NOT NULL AS offer, occasion IS NOT NULL AS seasonal,
+               CASE WHEN type IS NOT NULL AND occasion IS NOT NULL THEN 'Seasonal promotion' WHEN type IS NOT NULL THEN 'Everyday promotion'
                     WHEN occasion IS NOT NULL THEN 'Seasonal content' ELSE 'Evergreen content' END AS quadrant,
-               CASE WHEN depth IS NOT NULL THEN 'Promotion/offer' WHEN regexp_matches(subject, {q(R.EDUCATION)}) THEN 'Ingredient/education'
-                    WHEN regexp_matches(subject, {q(R.LIFESTYLE)}) THEN 'Lifestyle/seasonal' ELSE 'Featured products' END AS intent
+               CASE WHEN curated AND type IS NOT NULL THEN 'Promotion/offer' WHEN curated AND thesis = 'Featured products' THEN 'Upsell' ELSE thesis END AS intent,
+               CASE WHEN curated AND type IS NOT NULL THEN CASE WHEN source = 'curated_export' THEN 0.8 WHEN type = 'other' THEN 0.95 ELSE 1 END WHEN curated AND thesis = 'Featured products' THEN 0.8
+                    WHEN thesis = 'Promotion/offer' THEN 1 WHEN thesis = 'Featured products' THEN 0.7 ELSE 0.9 END::DOUBLE AS intent_confidence
         FROM a
     ), b AS (SELECT * FROM m WHERE scope = 'broadcast'),
     s AS (
         SELECT brand, count(*) AS distinct_messages, count(*) FILTER (scope = 'broadcast') AS broadcast, count(*) FILTER (scope = 'lifecycle') AS lifecycle,
                count(*) FILTER (scope = 'uncertain') AS uncertain, min(observed) FILTER (scope = 'broadcast') AS first_observed, max(observed) FILTER (scope = 'broadcast') AS last_observed,
                coalesce(max(observed) FILTER (scope = 'broadcast') - min(observed) FILTER (scope = 'broadcast') + 1, 0)::BIGINT AS observed_days,
-               count(DISTINCT strftime(observed, '%Y-%m')) FILTER (scope = 'broadcast') AS months, count(*) FILTER (scope = 'broadcast' AND offer) AS offers,
+               count(DISTINCT strftime(observed, '%Y-%m')) FILTER (scope = 'broadcast') AS months, count(*) FILTER (scope = 'broadcast' AND offer) AS offers, count(*) FILTER (scope = 'broadcast' AND depth IS NOT NULL) AS numeric_offers,
                median(depth) FILTER (scope = 'broadcast') AS median_depth
         FROM m GROUP BY brand
     ), rollup_rows AS (
@@ -71,7 +129,7 @@ def _of(report, *more):
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +137,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
-    return messages(spark, d).withColumn("content_hash", X.content_hash(F.col("subject"), F.col("visible_text")))
+    return messages(spark, d).withColumn("content_hash", X.content_hash(*[F.coalesce(c, F.lit("")) for c in ("subject", "preheader", "visible_text")]))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
@@ -142,12 +200,13 @@ QUERIES = {
     "findings": _of(census.findings),
     "weekly_activity": _of(census.weekly_activity),
     "library_latest": _of(census.latest),
-    "offers_percent": lambda s, d: analyzed(s, d).where("offer").groupBy("depth").agg(F.count(F.lit(1)).alias("messages")),
+    "offers_percent": lambda s, d: analyzed(s, d).where("primary.type = '%off'").groupBy("depth").agg(F.count(F.lit(1)).alias("messages")),
     "seasonality": lambda s, d: analyzed(s, d).groupBy("occasion").agg(F.count(F.lit(1)).alias("messages")),
+    "seasonality_evidence": lambda s, d: analyzed(s, d).select("id", F.col("season.occasion").alias("occasion"), F.col("season.source").alias("source"), F.col("season.confidence").alias("confidence")),
     "dedupe_l1_source": lambda s, d: dedupe.first_of(messages(s, d), "id").select("id"),
     "dedupe_l2_message_id": lambda s, d: dedupe.first_of(messages(s, d), "message_id").select("id", "message_id"),
     "dedupe_l3_content": lambda s, d: dedupe.by_content(_hashed(s, d)),
-    "dedupe_l4_campaign": lambda s, d: dedupe.by_campaign(messages(s, d)),
+    "dedupe_l4_campaign": lambda s, d: dedupe.by_campaign(messages(s, d).where("campaign_id IS NOT NULL")),
     "dedupe_report": lambda s, d: dedupe.report(messages(s, d), dedupe.first_of(messages(s, d), "message_id")),
     "content_hash": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang")).alias("content_hash")),
     "content_hash_documents": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("content_hash")),
@@ -195,28 +254,40 @@ _ORACLE = {
     "occasion_counts": "SELECT occasion, count(*) AS messages FROM b SEMI JOIN (SELECT brand FROM rollup_rows WHERE seasonal_eligible) e USING (brand) WHERE occasion IS NOT NULL GROUP BY 1",
     "seasonal_planner": "SELECT count(*) FILTER (seasonal_eligible) AS eligible_brands, count(*) AS brands, coalesce(sum(broadcast) FILTER (seasonal_eligible), 0)::BIGINT AS eligible_messages FROM rollup_rows",
     "early_gate": "SELECT sum(broadcast)::BIGINT AS total, bool_or(broadcast >= 15 AND observed_days >= 45) AS brand_ok, sum(broadcast) >= 300 AND bool_or(broadcast >= 15 AND observed_days >= 45) AS passed, (SELECT brand FROM rollup_rows ORDER BY least(broadcast / 15, observed_days / 45) DESC, lower(brand) LIMIT 1) AS closest_brand FROM rollup_rows",
-    "coverage_table": ", g AS (SELECT CASE WHEN grouping(brand) = 1 THEN 'TOTAL' ELSE brand END AS brand, grouping(brand) AS total, count(*) AS messages, count(*) FILTER (scope = 'broadcast') AS broadcast, count(*) FILTER (scope = 'lifecycle') AS lifecycle, count(*) FILTER (scope = 'uncertain') AS uncertain, "
+    "coverage_table": ", v AS (SELECT CASE WHEN grouping(brand) = 1 THEN 'TOTAL' ELSE brand END AS brand, grouping(brand) AS total, count(*) AS messages, 0::BIGINT AS unclassified, count(*) FILTER (scope = 'broadcast') AS broadcast, count(*) FILTER (scope = 'lifecycle') AS lifecycle, count(*) FILTER (scope = 'uncertain') AS uncertain, "
     "CASE WHEN count(*) FILTER (scope = 'broadcast') > 0 THEN min(observed) FILTER (scope = 'broadcast') ELSE min(observed) END AS first_day, CASE WHEN count(*) FILTER (scope = 'broadcast') > 0 THEN max(observed) FILTER (scope = 'broadcast') ELSE max(observed) END AS last_day, "
     + ", ".join(f"count(*) FILTER (scope = 'broadcast' AND quadrant = {q(x)}) AS {_SLUG[x]}" for x in R.QUADRANTS)
-    + " FROM m GROUP BY ROLLUP (brand)) SELECT * EXCLUDE (total), coalesce(last_day - first_day + 1, 0)::BIGINT AS observed_days, CASE WHEN total = 1 THEN 'summary' WHEN broadcast >= 30 AND last_day - first_day + 1 >= 90 THEN 'eligible' WHEN broadcast >= 15 AND last_day - first_day + 1 >= 45 THEN 'within_50_percent' ELSE 'insufficient' END AS hook_gate FROM g",
-    "cross_foot": "SELECT unnest(['scopes_equal_messages', 'quadrants_equal_broadcasts', 'promotion_axes_reconcile', 'seasonal_axes_reconcile']) AS name, true AS passed FROM (SELECT 1 FROM m LIMIT 1)",
+    + " FROM m GROUP BY ROLLUP (brand)) SELECT * EXCLUDE (total), coalesce(last_day - first_day + 1, 0)::BIGINT AS observed_days, CASE WHEN total = 1 THEN 'summary' WHEN broadcast >= 30 AND last_day - first_day + 1 >= 90 THEN 'eligible' WHEN broadcast >= 15 AND last_day - first_day + 1 >= 45 THEN 'within_50_percent' ELSE 'insufficient' END AS hook_gate FROM v",
+    "cross_foot": """, p AS (SELECT count(*) AS parsed, count(DISTINCT message_id) AS kept FROM raw), e AS (SELECT brand, broadcast FROM rollup_rows WHERE seasonal_eligible), o AS (SELECT count(*) AS n FROM b SEMI JOIN e USING (brand) WHERE occasion IS NOT NULL),
+        c AS (SELECT (SELECT count(*) FROM m) AS n, (SELECT count(*) FROM b) AS sent, (SELECT count(*) FROM m WHERE observed IS NULL) AS failed)
+        SELECT name, l::BIGINT AS left_side, r::BIGINT AS right_side, CASE WHEN name LIKE 'seasonal_occasions%' THEN l <= r ELSE l = r END AS passed FROM (
+            SELECT 'raw_equals_failures_plus_parsed' AS name, n AS l, failed + (SELECT count(*) FROM m WHERE observed IS NOT NULL) AS r FROM c
+            UNION ALL SELECT 'parsed_equals_collapsed_plus_distinct', n, kept FROM c, p UNION ALL SELECT 'distinct_equals_scopes', n, (SELECT count(*) FROM m WHERE scope IN ('broadcast', 'lifecycle', 'uncertain')) FROM c
+            UNION ALL SELECT 'broadcast_equals_quadrants', sent, (SELECT count(quadrant) FROM b) FROM c UNION ALL SELECT 'brand_broadcasts_equal_global', sent, (SELECT sum(broadcast) FROM rollup_rows) FROM c
+            UNION ALL SELECT 'monthly_broadcasts_equal_global', sent, (SELECT count(observed) FROM b) FROM c
+            UNION ALL SELECT 'promotion_axes_reconcile', (SELECT count(*) FROM b WHERE offer), (SELECT count(*) FROM b WHERE quadrant LIKE '%promotion') FROM c
+            UNION ALL SELECT 'seasonal_axes_reconcile', (SELECT count(*) FROM b WHERE seasonal), (SELECT count(*) FROM b WHERE quadrant LIKE 'Seasonal%') FROM c
+            UNION ALL SELECT 'seasonal_planner_brand_count_matches', (SELECT count(*) FROM e), (SELECT count(DISTINCT brand) FROM e) FROM c
+            UNION ALL SELECT 'seasonal_planner_messages_equal_eligible_brands', coalesce((SELECT sum(broadcast) FROM e), 0), (SELECT count(*) FROM b SEMI JOIN e USING (brand)) FROM c
+            UNION ALL SELECT 'seasonal_occasions_within_eligible_messages', (SELECT n FROM o), coalesce((SELECT sum(broadcast) FROM e), 0) FROM c)""",
     "findings": ", c AS (SELECT count(*) AS n, count(*) FILTER (quadrant = 'Evergreen content') AS q0, count(*) FILTER (quadrant = 'Everyday promotion') AS q1, count(*) FILTER (quadrant = 'Seasonal promotion') AS q2, count(*) FILTER (quadrant = 'Seasonal content') AS q3 FROM b), "
     "f AS (SELECT 'Evergreen content share' AS label, q0 AS numerator, n AS denominator FROM c UNION ALL SELECT 'Promotion share', q1 + q2, n FROM c UNION ALL SELECT 'Seasonal share', q2 + q3, n FROM c UNION ALL SELECT 'Seasonal messages carrying an offer', q2, q2 + q3 FROM c "
     "UNION ALL SELECT 'Brands with cadence and mix coverage', count(*) FILTER (hook_eligible), count(*) FROM rollup_rows) SELECT *, CASE WHEN denominator > 0 THEN numerator / denominator ELSE 0 END::DOUBLE AS share FROM f",
     "weekly_activity": ", e AS (SELECT min(received) AS f, max(received) AS l, max(received) - min(received) + 1 AS span FROM b), k AS (SELECT least(51, ((received - f) * 52) // span) AS bucket, count(*) AS n FROM b, e GROUP BY 1), "
     "w AS (SELECT i AS bucket, (f + ((i * span) // 52)::INT)::DATE AS start_day, least(l, f + greatest((i * span) // 52, ((i + 1) * span) // 52 - 1)::INT)::DATE AS end_day, coalesce(n, 0) AS messages FROM e, range(52) r(i) LEFT JOIN k ON k.bucket = r.i) "
     "SELECT *, CASE WHEN messages = 0 THEN 0 ELSE greatest(1, least(4, ceil(messages * 4 / max(messages) OVER ()))) END::INT AS level FROM w",
-    "library_latest": ", k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY observed DESC NULLS LAST, brand DESC, id DESC)::INT AS place FROM m) SELECT scope, place, id, brand, observed, subject FROM k WHERE place <= 6",
-    "offers_percent": "SELECT depth, count(*) AS messages FROM m WHERE offer GROUP BY 1",
+    "library_latest": ", k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY observed DESC NULLS LAST, brand DESC, id DESC)::INT AS place FROM m) SELECT scope, place, id, brand, observed, coalesce(subject, '') AS subject, quadrant, intent, coalesce(occasion, '') AS occasion, coalesce(type, '') AS offer_type, reason AS scope_reason FROM k WHERE place <= 6",
+    "offers_percent": "SELECT depth, count(*) AS messages FROM m WHERE type = '%off' GROUP BY 1",
     "seasonality": "SELECT occasion, count(*) AS messages FROM m GROUP BY 1",
+    "seasonality_evidence": "SELECT id, coalesce(occasion, '') AS occasion, occasion_source AS source, occasion_confidence AS confidence FROM m",
     "dedupe_l1_source": "SELECT DISTINCT id FROM raw",
     "dedupe_l2_message_id": ", k AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY received, id) AS place FROM raw) SELECT id, message_id FROM k WHERE place = 1",
     "dedupe_report": "SELECT count(*) AS input, count(DISTINCT message_id) AS distinct, count(*) - count(DISTINCT message_id) AS collapsed FROM raw",
 }
-_RECURSIVE = MESSAGES.replace("WITH raw", "WITH RECURSIVE raw")
+_RECURSIVE = MESSAGES.replace("WITH tpl", "WITH RECURSIVE tpl")
 ORACLE_SQL = {k: MESSAGES + v for k, v in _ORACLE.items()} | {
-    "dedupe_l3_content": _RECURSIVE + _leaders_sql("brand, content_hash", r", x AS (SELECT *, sha256(trim(regexp_replace(lower(subject || chr(10) || visible_text), '\s+', ' ', 'g'))) AS content_hash FROM raw)", R.CONTENT_DAYS),
-    "dedupe_l4_campaign": _RECURSIVE + _leaders_sql("brand, campaign_id", ", x AS (SELECT * FROM raw)", R.CAMPAIGN_DAYS),
+    "dedupe_l3_content": _RECURSIVE + _leaders_sql("brand, content_hash", r", x AS (SELECT *, sha256(trim(regexp_replace(lower(coalesce(subject, '') || chr(10) || coalesce(preheader, '') || chr(10) || coalesce(visible_text, '')), '\s+', ' ', 'g'))) AS content_hash FROM raw)", R.CONTENT_DAYS),
+    "dedupe_l4_campaign": _RECURSIVE + _leaders_sql("brand, campaign_id", ", x AS (SELECT * FROM raw WHERE campaign_id IS NOT NULL)", R.CAMPAIGN_DAYS),
     "content_hash": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang)), '\s+', ' ', 'g'))) AS content_hash FROM documents",
     "content_hash_documents": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang, text)), '[\t\n\x0B\f\r ]+', ' ', 'g'))) AS content_hash FROM documents",
     "normalize_domain": r"SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)', 1), '^www\.', ''), '\.+$', '') AS domain FROM pages",

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from campaignry import message_queries as M
-from campaignry.functions import offers, privacy, scoring
+from campaignry.functions import offers, privacy, scoring, spots
 from campaignry.operators import census, gallery, store
+from campaignry.plans import messages as P
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +28,7 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v.isoformat()[:10] if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", ["offer_primary", "scope_classify", "intent_scores", "intent_with_offers", "pii_detect", "brand_aliases", "brand_ledger", "gallery_states", "freeze_metrics", "hook_selection", "uid_batches"])
+@pytest.mark.parametrize("name", ["offer_primary", "offer_support_violations", "coverage_violations", "verify_recompute", "manifest_accounting", "scope_classify", "intent_scores", "intent_with_offers", "pii_detect", "brand_aliases", "brand_ledger", "gallery_states", "freeze_metrics", "hook_selection", "uid_batches"])
 def test_equals_duckdb(spark, duck, name):
     df = M.QUERIES[name](spark, SF)
     found = duck.execute(M.ORACLE_SQL[name])
@@ -37,14 +38,7 @@ def test_equals_duckdb(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=str) == want
 
 
-@pytest.mark.parametrize("name", ["offer_support_violations", "coverage_violations", "verify_recompute"])
-def test_nothing_is_violated(spark, name):
-    assert M.QUERIES[name](spark, SF).count() == 0
-
-
-@pytest.mark.parametrize(
-    ("field", "text", "want"),
-    [
+CASES = [
         ("subject", "Save 25% today", [("%off", 25.0)]),
         ("subject", "20% more protein", []),
         ("subject", "Save 20% more water", []),
@@ -58,10 +52,66 @@ def test_nothing_is_violated(spark, name):
         ("visible_text", "savings", []),
         ("visible_text", "x" * 2400 + " 20% off", []),
         ("subject", None, []),
+        ("preheader", "Save up to 40% market share", []),
+        ("subject", "Get 15%!", [("%off", 15.0)]),
+        ("subject", "0% off and 100% off", []),
+        ("subject", "Ends tonight: free tote", [("gift", None)]),
+        ("visible_text", "Ends tonight: free tote", []),
+        ("subject", "Free shipping is not available", []),
+        ("visible_text", "Sale cannot be combined", []),
+        ("visible_text", "All sales are final", []),
+        ("visible_text", "x\nFree shipping & easy returns\ny", []),
+        ("visible_text", "x " * 300 + "free delivery", []),
+        ("visible_text", "x " * 300 + "free delivery with code A1", [("free_shipping", None)]),
+        ("subject", "\U0001f600\U0001f600 Sale \U0001f600 30% off", [("%off", 30.0)]),
+]
+
+
+def test_offers_of_a_field(spark):
+    columns = {f: [] for f in offers.SOURCES}
+    rows = spark.createDataFrame([(i, *[t if f == s else None for s in columns]) for i, (f, t, _) in enumerate(CASES)], "i int, subject string, preheader string, visible_text string")
+    got = {r["i"]: [(o["type"], o["depth"]) for o in r["offers"]] for r in offers.with_offers(rows, *map(F.col, columns)).collect()}
+    assert {i: got[i] for i in got} == {i: want for i, (*_, want) in enumerate(CASES)}
+
+
+def test_places_and_words_of_matches(spark):
+    rows = spark.createDataFrame([("\U0001f600 a1 b22\nc333",), ("none",), ("",)], "t string")
+    got = [[tuple(x) for x in r["s"]] for r in rows.select(spots.spots(F.col("t"), r"(?i)[A-Z]\d+").alias("s")).collect()]
+    assert got == [[(2, "a1"), (5, "b22"), (9, "c333")], [], []]
+    assert [tuple(r["s"]) for r in rows.select(spots.first_and_count(F.col("t"), r"\d+").alias("s")).collect()] == [(3, 3), (0, 4), (0, 0)]
+
+
+def test_claims_need_evidence_that_gives_them_again(spark):
+    rows = [("%off", 20.0, "subject", "20% off", "Take 20% OFF", None), ("%off", 25.0, "subject", "20% off", "Take 20% off", None), ("%off", 20.0, "body", "20% off", "20% off", None), ("$off", 5.0, "preheader", "$5 off", "x", "now $5 off"), ("%off", 20.0, "subject", "", "20% off", None), ("%off", 20.0, "subject", "20% off", None, "20% off")]
+    df = spark.createDataFrame([(i, *r, "") for i, r in enumerate(rows)], "i int, type string, depth double, source string, evidence string, subject string, preheader string, visible_text string")
+    assert sorted(r["i"] for r in offers.unsupported(df).collect()) == [1, 2, 4, 5]
+
+
+@pytest.mark.parametrize(
+    ("texts", "month", "want"),
+    [
+        (("Ring in 2026", "", ""), 6, ("New Year", "subject", "Ring in 2026", 1.0)),
+        (("", "Season\u2019s greetings", ""), 1, ("Holiday gifting", "preheader", "Season\u2019s greetings", 1.0)),
+        (("Mothers' Day and Black Friday", "", ""), 1, ("Black Friday", "subject", "Black Friday", 1.0)),
+        (("Gifts for mom", "", ""), 5, ("Mother's Day", "subject", "Gifts for mom", 0.9)),
+        (("Gifts for mom", "the gift guide", ""), 11, ("", "", "", 1.0)),
+        (("", "the gift guide", ""), 11, ("Holiday gifting", "preheader", "gift guide", 0.9)),
+        (("Autumn sale", "", ""), 9, ("Fall", "subject", "Autumn", 0.9)),
+        (("Summer then winter sale", "", ""), 1, ("", "", "", 1.0)),
+        (("Spring sale", "", "The winter sale"), 1, ("Winter", "visible_text", "winter", 0.9)),
+        (("Spring sale", "", ""), None, ("", "", "", 1.0)),
+        ((None, None, None), 1, ("", "", "", 1.0)),
     ],
 )
-def test_offers_of_a_field(field, text, want):
-    assert [(o["type"], o["depth"]) for o in offers.field_offers(field, text)] == want
+def test_seasonality(spark, texts, month, want):
+    row = spark.createDataFrame([(*texts, month)], "a string, b string, c string, m int").select(scoring.seasonality(scoring.season_hints(F.col("a"), F.col("b"), F.col("c")), F.col("m")).alias("s")).first()["s"]
+    assert (row["occasion"], row["source"], row["evidence"], row["confidence"]) == want and row["seasonal"] == bool(want[0])
+
+
+def test_classifying_texts_once_changes_nothing(spark):
+    rows = P.messages(spark, SF)
+    a, b = (P.classified(rows.fillna("", list(P.S.FIELDS)), once).select("id", "scope", "offer", "depth", "occasion", "intent", "intent_confidence", "quadrant") for once in (True, False))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == rows.count()
 
 
 def test_offers_are_ranked_and_stand_once(spark):
@@ -108,6 +158,6 @@ def test_gallery_shows_each_image_once(spark):
 
 
 def test_a_broken_coverage_table_is_found(spark):
-    columns = "brand string, messages long, broadcast long, lifecycle long, uncertain long, evergreen_content long, everyday_promotion long, seasonal_promotion long, seasonal_content long"
-    rows = [("A", 3, 2, 1, 0, 1, 1, 0, 0), ("B", 2, 1, 0, 0, 1, 0, 0, 0), ("TOTAL", 5, 3, 2, 0, 2, 1, 0, 0)]
-    assert [tuple(r) for r in census.coverage_cross_foot(spark.createDataFrame(rows, columns)).collect()] == [("B", "row")]
+    columns = "brand string, messages long, broadcast long, lifecycle long, uncertain long, unclassified long, evergreen_content long, everyday_promotion long, seasonal_promotion long, seasonal_content long"
+    rows = [("A", 3, 2, 1, 0, 0, 1, 1, 0, 0), ("B", 2, 1, 0, 0, 0, 1, 0, 0, 0), ("C", 2, 2, 0, 0, 1, 1, 0, 0, 0), ("TOTAL", 7, 5, 2, 0, 1, 3, 1, 0, 0)]
+    assert [tuple(r) for r in census.coverage_cross_foot(spark.createDataFrame(rows, columns)).collect()] == [("B", "scopes"), ("C", "unclassified"), ("TOTAL", "unclassified")]
