@@ -117,7 +117,23 @@ NEAR_CHARS, POLICY_FROM, BOGO_NEAR, CAMPAIGN_AROUND, DEALS_AROUND = 90, 500, 120
 OFFER_TYPES = ("%off", "$off", "bogo", "gift", "bundle", "free_shipping", "other")
 
 # Gallery and label thresholds.
-GALLERY_KEPT, GALLERY_READY = 5, 3
+GALLERY_KEPT, GALLERY_READY, GALLERY_BYTES = 5, 3, 32_000_000
+GALLERY_LABELS = {
+    "evergreen": "Evergreen content",
+    "evergreen content": "Evergreen content",
+    "everyday_promotion": "Everyday promotion",
+    "everyday promotion": "Everyday promotion",
+    "seasonal_content": "Seasonal content",
+    "seasonal content": "Seasonal content",
+    "seasonal_promotion": "Seasonal promotion",
+    "seasonal promotion": "Seasonal promotion",
+    "synthetic editorial preview": "Synthetic editorial preview",
+    "synthetic offer preview": "Synthetic offer preview",
+    "synthetic seasonal preview": "Synthetic seasonal preview",
+}
+GALLERY_LABEL_CHARS, GALLERY_NO_LABEL = 64, "Safe creative preview"
+SYNTHETIC_CATEGORIES = ("editorial", "offer", "seasonal")
+SKEW_DAYS, BRAND_CHARS, NO_BRAND = 7, 120, "Unknown brand"
 # Rules of secret_scan_documents over the bytes of a text; \b is a border of ASCII words.
 SECRET_EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}\b"
 SECRET_RULES = (

@@ -5,9 +5,6 @@ These rows are fixtures: no ratio found in them says anything about real mail.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions.offers import CANDIDATE, with_offers
 from ..functions.text import quadrant_of
+from ..shared import hadoop, written
 
 LONG = "Every piece is measured twice and cut once by hand in a quiet room near the river. " * 6
 #: Subject, preheader and body; {p} is the part's name, {n} the line's percentage.
@@ -145,22 +143,11 @@ _STORES: dict[tuple, str] = {}
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classified messages, from a store that is written once for each session and state of the input; reports read the columns they need."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     state = []
     for name in ("lineitem", "part"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-        status = path.getFileSystem(conf).getFileStatus(path)
-        state += [status.getModificationTime(), status.getLen()]
+        fs, path = hadoop(spark, f"{sf_dir}/{name}.parquet")
+        state += [fs.getFileStatus(path).getModificationTime(), fs.getFileStatus(path).getLen()]
     key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _STORES:
-        where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-        if not where:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            where = "file://" + tempfile.mkdtemp(prefix="campaignry-")
-        folder = f"{where.rstrip('/')}/classified-{uuid.uuid4().hex}"
-        classified(messages(spark, sf_dir)).write.parquet(folder)
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).deleteOnExit(path)
-        _STORES[key] = folder
+        _STORES[key] = written(classified(messages(spark, sf_dir)), "classified")
     return spark.read.parquet(_STORES[key])
