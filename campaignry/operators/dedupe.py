@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CAMPAIGN_DAYS, CONTENT_DAYS
 
+DAY = 86_400_000_000
+
 
 def first_of(df: DataFrame, *keys: str) -> DataFrame:
-    """The earliest row of each key; rows that lack the key stay."""
-    lacking = " OR ".join(f"{k} IS NULL" for k in keys)
+    """The earliest row of each key; rows that lack the key stay, and none of them moves."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy("received", "id"))
-    return df.withColumn("_at", at).where(f"_at = 1 OR {lacking}").drop("_at")
+    lacking = reduce(or_, [F.col(k).isNull() for k in keys])
+    return df.where(~lacking).withColumn("_at", at).where("_at = 1").drop("_at").unionByName(df.where(lacking))
 
 
 def leaders(df: DataFrame, keys: list[str], days: int) -> DataFrame:
-    """keys, leader (day), variants: a row leads if it is more than days after its key's last leader.
+    """keys (brand in lower case), leader (time), variants: a row leads if it is more than days after its key's last leader.
 
-    Rows are first counted by key and day, so the sorted fold over a key holds at most one entry for each day.
+    Rows are counted by key and time, then each task passes over its keys in time with the last leader as state.
     """
-    by_day = df.groupBy(*keys, F.datediff("received", F.lit("1970-01-01").cast("date")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    entry = F.struct("day", "n")
-    start = F.expr("cast(array() as array<struct<day:int,n:bigint>>)")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["day"].alias("day"), (last["n"] + x["n"]).alias("n"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["day"] - last["day"] <= days, joined).otherwise(F.array_append(acc, x))
-
-    folded = by_day.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("days")).select(*keys, F.explode(F.aggregate("days", start, step)).alias("lead"))
-    return folded.select(*keys, F.date_add(F.lit("1970-01-01").cast("date"), F.col("lead.day")).alias("leader"), F.col("lead.n").alias("variants"))
+    brand = [F.lower(k).alias(k) if k == "brand" else F.col(k) for k in keys]
+    counted = df.select(*brand, F.unix_micros("received_at").alias("at")).groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.withColumn("key", F.to_json(F.struct(*keys))).repartition("key").sortWithinPartitions("key", "at")
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last leader's row; its count may grow in the next batch
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if held is not None and held["key"] == r.key and r.at - held["at"] <= days * DAY:
+                    held["n"] += r.n
+                else:
+                    out += [held] if held is not None else []
+                    held = r._asdict()
+            yield pd.DataFrame(out, columns=[*keys, "at", "n", "key"])[[*keys, "at", "n"]]
+        if held is not None:
+            yield pd.DataFrame([held])[[*keys, "at", "n"]]
+
+    led = rows.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "at long", "n long"]))
+    return led.select(*keys, F.timestamp_micros("at").alias("leader"), F.col("n").alias("variants"))
 
 
 def by_content(df: DataFrame) -> DataFrame:

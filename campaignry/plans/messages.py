@@ -5,6 +5,8 @@ These rows are fixtures: no ratio found in them says anything about real mail.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,13 +143,18 @@ def classified(rows: DataFrame, once: bool = True) -> DataFrame:
 _STORES: dict[tuple, str] = {}
 
 
-def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classified messages, from a store that is written once for each session and state of the input; reports read the columns they need."""
+def stored_once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """made(), from a table that is written once for each session, name and state of the message tables under sf_dir."""
     state = []
     for name in ("lineitem", "part"):
         fs, path = hadoop(spark, f"{sf_dir}/{name}.parquet")
         state += [fs.getFileStatus(path).getModificationTime(), fs.getFileStatus(path).getLen()]
-    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    key = (spark.sparkContext.applicationId, sf_dir, name, *state)
     if key not in _STORES:
-        _STORES[key] = written(classified(messages(spark, sf_dir)), "classified")
+        _STORES[key] = written(made(), name)
     return spark.read.parquet(_STORES[key])
+
+
+def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classified messages, written once; reports read the columns they need."""
+    return stored_once(spark, sf_dir, "classified", lambda: classified(messages(spark, sf_dir)))

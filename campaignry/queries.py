@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions import text as X
-from .operators import census, dedupe
+from .operators import census, dedupe, resend
 from .plans.demo import demo_census
-from .plans.messages import TEMPLATES, analyzed, messages, spread
+from .plans.messages import TEMPLATES, analyzed, messages, spread, stored_once
 from .sources.mail import visible_pages
 
 
@@ -147,6 +147,15 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(hits)).select("doc_id", "rule", F.explode("hits").alias("hit")).groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("matches"), F.min(F.substring(F.sha2("hit", 256), 1, 16)).alias("first_hash"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    rows = _hashed(spark, d).withColumn("source_completeness", F.when(F.col("source_type") == "curated_export", "curated_export").otherwise("complete"))
+    return rows.withColumns({"source_key": F.concat_ws(":", "source_type", "id"), "variant_ids": F.array().cast("array<string>"), "parse_errors": F.when(F.col("subject").isNull(), F.array(F.lit("empty")))})
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    return stored_once(spark, d, "assigned", lambda: resend.deduplicated(_records(spark, d)))
+
+
 ASCII_BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
@@ -207,6 +216,10 @@ QUERIES = {
     "dedupe_l2_message_id": lambda s, d: dedupe.first_of(messages(s, d), "message_id").select("id", "message_id"),
     "dedupe_l3_content": lambda s, d: dedupe.by_content(_hashed(s, d)),
     "dedupe_l4_campaign": lambda s, d: dedupe.by_campaign(messages(s, d).where("campaign_id IS NOT NULL")),
+    "dedupe_full": lambda s, d: _assigned(s, d).select("id", "canonical_id", "level"),
+    "dedupe_fuzzy": lambda s, d: _assigned(s, d).where(F.col("level") == resend.LEVELS[4]).select("id", "canonical_id"),
+    "dedupe_merged": lambda s, d: resend.merged(_records(s, d), _assigned(s, d)),
+    "dedupe_report_full": lambda s, d: resend.report(_records(s, d), _assigned(s, d)),
     "dedupe_report": lambda s, d: dedupe.report(messages(s, d), dedupe.first_of(messages(s, d), "message_id")),
     "content_hash": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang")).alias("content_hash")),
     "content_hash_documents": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("content_hash")),
@@ -224,15 +237,17 @@ QUERIES = {
 
 
 def _leaders_sql(keys: str, source: str, days: int) -> str:
+    names = [k.strip() for k in keys.split(",")]
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in names)
     return f"""
-        {source}, RECURSIVE_DAYS AS (SELECT {keys}, received, count(*) AS n FROM x GROUP BY ALL),
+        {source}, counted AS (SELECT {keys}, received_at, count(*) AS n FROM x GROUP BY ALL),
         l AS (
-            SELECT {keys}, min(received) AS leader FROM RECURSIVE_DAYS GROUP BY {keys}
+            SELECT {keys}, min(received_at) AS leader FROM counted GROUP BY {keys}
             UNION ALL
-            SELECT {keys}, next FROM (SELECT l.*, (SELECT min(received) FROM RECURSIVE_DAYS r WHERE {" AND ".join(f"r.{k.strip()} = l.{k.strip()}" for k in keys.split(","))} AND r.received > l.leader + {days}) AS next FROM l) WHERE next IS NOT NULL
+            SELECT {keys}, next FROM (SELECT l.*, (SELECT min(received_at) FROM counted r WHERE {same("r", "l")} AND r.received_at > l.leader + INTERVAL {days} DAY) AS next FROM l) WHERE next IS NOT NULL
         )
-        SELECT {", ".join(f"l.{k.strip()}" for k in keys.split(","))}, l.leader, sum(r.n)::BIGINT AS variants FROM l JOIN RECURSIVE_DAYS r
-        ON {" AND ".join(f"r.{k.strip()} = l.{k.strip()}" for k in keys.split(","))} AND r.received BETWEEN l.leader AND l.leader + {days} GROUP BY ALL
+        SELECT {", ".join(f"l.{k}" for k in names)}, l.leader, sum(r.n)::BIGINT AS variants FROM l JOIN counted r
+        ON {same("r", "l")} AND r.received_at BETWEEN l.leader AND l.leader + INTERVAL {days} DAY GROUP BY ALL
     """
 
 
@@ -286,8 +301,8 @@ _ORACLE = {
 }
 _RECURSIVE = MESSAGES.replace("WITH tpl", "WITH RECURSIVE tpl")
 ORACLE_SQL = {k: MESSAGES + v for k, v in _ORACLE.items()} | {
-    "dedupe_l3_content": _RECURSIVE + _leaders_sql("brand, content_hash", r", x AS (SELECT *, sha256(trim(regexp_replace(lower(coalesce(subject, '') || chr(10) || coalesce(preheader, '') || chr(10) || coalesce(visible_text, '')), '\s+', ' ', 'g'))) AS content_hash FROM raw)", R.CONTENT_DAYS),
-    "dedupe_l4_campaign": _RECURSIVE + _leaders_sql("brand, campaign_id", ", x AS (SELECT * FROM raw WHERE campaign_id IS NOT NULL)", R.CAMPAIGN_DAYS),
+    "dedupe_l3_content": _RECURSIVE + _leaders_sql("brand, content_hash", r", x AS (SELECT * REPLACE (lower(brand) AS brand), sha256(trim(regexp_replace(lower(coalesce(subject, '') || chr(10) || coalesce(preheader, '') || chr(10) || coalesce(visible_text, '')), '\s+', ' ', 'g'))) AS content_hash FROM raw)", R.CONTENT_DAYS),
+    "dedupe_l4_campaign": _RECURSIVE + _leaders_sql("brand, campaign_id", ", x AS (SELECT * REPLACE (lower(brand) AS brand) FROM raw WHERE campaign_id IS NOT NULL)", R.CAMPAIGN_DAYS),
     "content_hash": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang)), '\s+', ' ', 'g'))) AS content_hash FROM documents",
     "content_hash_documents": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang, text)), '[\t\n\x0B\f\r ]+', ' ', 'g'))) AS content_hash FROM documents",
     "normalize_domain": r"SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)', 1), '^www\.', ''), '\.+$', '') AS domain FROM pages",

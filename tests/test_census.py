@@ -2,7 +2,7 @@
 
 import glob
 import os
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
@@ -48,8 +48,10 @@ def test_a_broadcast_without_a_date_is_an_error(spark):
 
 def test_leader_window_is_measured_from_the_leader(spark):
     days = [date(2026, 1, 1) + timedelta(d) for d in (0, 1, 2, 3, 30)]
-    rows = spark.createDataFrame([("A", "x", d) for d in days], "brand string, content_hash string, received date")
+    rows = spark.createDataFrame([("aA"[d.day % 2], "x", datetime(d.year, d.month, d.day, 12)) for d in days], "brand string, content_hash string, received_at timestamp")
     assert sorted((r["leader"].day, r["variants"]) for r in dedupe.by_content(rows).collect()) == [(1, 2), (3, 2), (31, 1)]
+    later = spark.createDataFrame([("a", "x", datetime(2026, 1, 1, 12)), ("a", "x", datetime(2026, 1, 2, 12)), ("a", "x", datetime(2026, 1, 2, 12, 1)), (None, "x", datetime(2026, 1, 2)), (None, None, datetime(2026, 1, 2))], "brand string, content_hash string, received_at timestamp")
+    assert sorted((str(r["brand"]), str(r["content_hash"]), r["leader"].day, r["variants"]) for r in dedupe.by_content(later).collect()) == [("None", "None", 2, 1), ("None", "x", 2, 1), ("a", "x", 1, 2), ("a", "x", 2, 1)]
 
 
 def test_early_gate_ties_go_to_the_first_brand(spark):
