@@ -146,8 +146,8 @@ _STORES: dict[tuple, str] = {}
 def stored_once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
     """made(), from a table that is written once for each session, name and state of the message tables under sf_dir."""
     state = []
-    for name in ("lineitem", "part"):
-        fs, path = hadoop(spark, f"{sf_dir}/{name}.parquet")
+    for table in ("lineitem", "part"):
+        fs, path = hadoop(spark, f"{sf_dir}/{table}.parquet")
         state += [fs.getFileStatus(path).getModificationTime(), fs.getFileStatus(path).getLen()]
     key = (spark.sparkContext.applicationId, sf_dir, name, *state)
     if key not in _STORES:
