@@ -16,6 +16,8 @@ ignored. Votes of 2**32 or more in one task's copies of a text raise an error.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def successors(ids: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame) -> list[DataFrame]:
-    """id, text, text_hash, edited, n_chars, next_id of the rows with an id, and of those without. edited: the last quarter of text is replaced by the beginning of the next text."""
+    """id, text, text_hash, edited, n_chars, next_id of the rows with an id, and, if there are any, of those without. edited: the last quarter of text is replaced by the beginning of the next text."""
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("text_hash"))
     needs = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
@@ -53,16 +55,26 @@ def with_edited(docs: DataFrame) -> list[DataFrame]:
     named, nameless = rows.where("id IS NOT NULL"), rows.where("id IS NULL")
     earlier = F.lag(F.lit(True)).over(Window.partitionBy("id").orderBy("text_hash"))  # a limit on row_number would keep Spark from reusing the exchange of texts
     one = named.withColumn("earlier", earlier).where("earlier IS NULL").select("id", "text")
-    one = one.union(nameless.agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "text_hash").alias("text")).where("n > 0").select(F.lit(None).cast("long").alias("id"), "text"))
-    heads = one.join(wanted, one["id"].eqNullSafe(wanted["of"])).select("by", "next_id", F.expr("left(text, need)").alias("head"))
+    heads = one.join(wanted.where("by IS NOT NULL"), one["id"] == wanted["of"]).select("by", "next_id", F.expr("left(text, need)").alias("head"))
+
+    def head_of(link) -> DataFrame:
+        """by, next_id, head: one row, for a link from or to rows without an id, which are too many to be joined by it."""
+        least = rows.where(rows["id"].eqNullSafe(F.lit(link["of"]))).agg(F.min_by("text", "text_hash").alias("whole"))
+        return least.select(F.lit(link["by"]).cast("long").alias("by"), F.lit(link["of"]).cast("long").alias("next_id"), F.left("whole", F.lit(link["need"])).alias("head"))
+
+    for link in wanted.where("by IS NOT NULL AND of IS NULL").collect():  # the last id, or none
+        heads = heads.union(head_of(link))
     quarter = F.floor(F.length("text") / 4).cast("int")
 
     def edited(both: DataFrame) -> DataFrame:
         both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("_quarter", quarter)
         return both.select("id", "text", "text_hash", F.expr("concat(left(text, cast(n_chars as int) - _quarter), left(head, _quarter))").alias("edited"), "n_chars", "next_id")
 
-    last = F.broadcast(heads.where("by IS NULL"))  # one row at most
-    return [edited(named.join(heads.where("by IS NOT NULL"), named["id"] == heads["by"])), edited(nameless.join(last, nameless["id"].eqNullSafe(last["by"])))]
+    parts = [edited(named.join(heads, named["id"] == heads["by"]))]
+    for link in wanted.where("by IS NULL").collect():  # the null id, or none
+        head = head_of(link)
+        parts.append(edited(nameless.join(F.broadcast(head), nameless["id"].eqNullSafe(head["by"]))))
+    return parts
 
 
 def votes(weight: Column, term_hash: Column) -> list[Column]:
@@ -116,8 +128,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         found = text_fingerprints(both, [*keys, "kind"], "words")
         return found.groupBy(*keys).agg(*[F.sum(F.when(F.col("kind") == 0, F.col("copies"))).alias("copies"), *[F.max(F.when(F.col("kind") == k, F.col("fp"))).alias(n) for k, n in enumerate(("fp", "edited_fp"))]])
 
-    named, nameless = map(voted_pairs, with_edited(docs))
-    pairs = materialize(named.unionByName(nameless), "fingerprints")
+    pairs = materialize(reduce(DataFrame.unionByName, map(voted_pairs, with_edited(docs))), "fingerprints")
     nexts = pairs.groupBy("id").agg(F.min(F.struct("text_hash", "fp"))["fp"].alias("next_fp")).withColumnRenamed("id", "of")
     groups = materialize(components(pairs.select("id", "fp"), block_tables()), "groups")
     near = pairs.join(nexts, pairs["next_id"].eqNullSafe(nexts["of"]))
