@@ -164,9 +164,9 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.symbols = "".join(chr(b) if b < 127 else c for b, c in enumerate(byte_symbols()))
-        self.words = Memo(self.merge, most=150_000)
-        self.plain = Memo(self.plain_chunks)
-        self.other = Memo(self.other_chunks, most=100_000)
+        self.words = Memo(self.merge, most=100_000)
+        self.plain = Memo(self.plain_chunks, most=120_000, chars=1 << 23)
+        self.other = Memo(self.other_chunks, most=50_000, chars=1 << 22)
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of pre-tokens."""
