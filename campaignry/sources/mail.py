@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MESSAGE = "path string, place long, source_uid string, message_id string, list_id string, subject string, sender string, sender_domain string, received timestamp, received_source string, trusted boolean, visible_text string, error string"
-# Where a receipt time is looked for, in this order; the last one is the sender's own word.
-RECEIPT_HEADERS = ("X-Delivery-Time", "Delivery-Date", "Received", "X-Received")
-UNTRUSTED_HEADER = "Date"
+# Where a receipt time is looked for, in this order, and its names; those of UNTRUSTED are anybody's word.
+DELIVERY_HEADERS = (("X-Delivery-Time", "x_delivery_time"), ("Delivery-Date", "delivery_date"))
+RECEIVED_HEADERS, RECEIVED = ("Received", "X-Received"), "received_header"
+SEPARATOR, MESSAGE_DATE, FILE_TIME = "mbox_separator", "message_date_untrusted", "file_mtime_untrusted"
 SKIPPED_TAGS = ("head", "script", "style", "svg", "template", "noscript")
-BLOCK_TAGS = ("address", "article", "blockquote", "br", "div", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "ol", "p", "section", "table", "td", "th", "tr", "ul")
+BLOCK_TAGS = ("address", "article", "aside", "blockquote", "br", "div", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "nav", "p", "section", "table", "td", "th", "tr")
 
 
 def html_text(html: str | None) -> str:
@@ -27,12 +29,12 @@ def html_text(html: str | None) -> str:
 
         def handle_starttag(self, tag, attrs):
             self.hidden += tag in SKIPPED_TAGS
-            if tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS and not self.hidden:
                 self.out.append("\n")
 
         def handle_endtag(self, tag):
             self.hidden -= tag in SKIPPED_TAGS and self.hidden > 0
-            if tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS and not self.hidden:
                 self.out.append("\n")
 
         def handle_data(self, data):
@@ -46,29 +48,38 @@ def html_text(html: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def receipt_time(message) -> tuple[object, str, bool]:
-    """UTC time, header that gave it, and whether it can be trusted. Epochs of 1e10 and more are milliseconds."""
-    from datetime import UTC, datetime
+def timestamp(text: object):
+    """A time in UTC from an epoch (of 1e10 and more in milliseconds) or a mail date, else None."""
+    import re
+    from datetime import UTC
     from email.utils import parsedate_to_datetime
 
-    for name in (*RECEIPT_HEADERS, UNTRUSTED_HEADER):
-        text = str(message.get(name) or "").rpartition(";")[2].strip()
-        try:
-            if text.isdigit() and 9 <= len(text) <= 16:
-                n = int(text)
-                found = datetime.fromtimestamp(n / 1000 if n >= 10**10 else n, UTC)
-            elif text:
-                found = parsedate_to_datetime(text)
-            else:
-                continue
-        except (TypeError, ValueError, OverflowError):
-            continue
-        found = found if found.tzinfo else found.replace(tzinfo=UTC)
-        return found.astimezone(UTC).replace(tzinfo=None), name, name != UNTRUSTED_HEADER
-    return None, "", False
-
-
-def parsed(raw: bytes) -> dict:
+    text = str(text or "").strip()
+    try:
+        if re.fullmatch(r"\d{9,16}(?:\.\d+)?", text):
+            n = float(text)
+            return datetime.fromtimestamp(n / 1000 if n >= 10**10 else n, UTC)
+        found = parsedate_to_datetime(text) if text else None
+    except (TypeError, ValueError, OverflowError, OSError):
+        return None
+    return found and (found if found.tzinfo else found.replace(tzinfo=UTC)).astimezone(UTC)
+
+
+def receipt_time(message, separator: str = "", file_time=None) -> tuple[object, str, bool]:
+    """UTC time, what gave it, and whether it can be trusted: delivery headers, the last part of received ones, the line that separates messages, the sender's date, the file's time."""
+    tried = [(name, [message.get(header)], True) for header, name in DELIVERY_HEADERS]
+    tried.append((RECEIVED, [str(v).rpartition(";")[2] for h in RECEIVED_HEADERS for v in message.get_all(h, [])], True))
+    words = separator.split()
+    tried.append((SEPARATOR, [" ".join(words[i:]) for i in range(1, len(words))], True))
+    tried.append((MESSAGE_DATE, [message.get("Date")], False))
+    for name, texts, trusted in tried:
+        found = next((t for t in map(timestamp, texts) if t), None)
+        if found:
+            return found.replace(tzinfo=None), name, trusted
+    return file_time, FILE_TIME if file_time is not None else "", False
+
+
+def parsed(raw: bytes, separator: str = "", file_time=None) -> dict:
     """Columns of one message; a message that can't be parsed has only its error."""
     import email
     import hashlib
@@ -84,7 +95,7 @@ def parsed(raw: bytes) -> dict:
                 continue
             {"text/plain": plain, "text/html": html}.get(part.get_content_type(), []).append(part.get_content() if part.get_content_maintype() == "text" else "")
         sender = parseaddr(str(message.get("From") or ""))
-        received, source, trusted = receipt_time(message)
+        received, source, trusted = receipt_time(message, separator, file_time)
         row |= {"message_id": message.get("Message-ID"), "list_id": message.get("List-ID"), "subject": str(message.get("Subject") or ""), "sender": sender[0], "sender_domain": sender[1].rpartition("@")[2].lower()}
         row |= {"received": received, "received_source": source, "trusted": trusted, "visible_text": "\n".join(plain).strip() or html_text("\n".join(html))}
     except Exception as e:  # whatever a broken message raises becomes its row's error
@@ -95,23 +106,27 @@ def parsed(raw: bytes) -> dict:
 def read_mbox(spark: SparkSession, path: str, since: str | None = None, domains: tuple[str, ...] = ()) -> DataFrame:
     """Messages of the mbox files under path. since drops older trusted rows only; domains keeps senders of those domains and their subdomains.
 
-    Spark reads each file as lines that begin at `From ` separators, so a large file is split over tasks.
+    Spark reads each file as lines that begin at `From ` separators, so a large file is split over tasks. Texts stay
+    bytes until their own charset is known. source_uid is a message's place in its file and a hash of it.
     """
-    raw = spark.read.option("lineSep", "\nFrom ").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    raw = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.unix_micros("_metadata.file_modification_time").alias("changed"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in MESSAGE.split(", ")]
-        at = 0
+        names = [c.split()[0] for c in (MESSAGE + ", block long").split(", ")]
+        of, at = None, 0
         for batch in batches:
             rows = []
-            for text, file, block in zip(batch["value"], batch["path"], batch["block"]):
-                body = text.partition("\n")[2]
-                if body.strip():
-                    rows.append(dict.fromkeys(names) | {"path": file, "place": block * 1_000_000 + at} | parsed(body.encode()))
-                    at += 1
+            for data, file, block, changed in zip(batch["value"], batch["path"], batch["block"], batch["changed"]):
+                of, at = (file, block), at + 1 if (file, block) == of else 0
+                line, _, body = data.removeprefix(b"From ").partition(b"\n")
+                rows.append(dict.fromkeys(names) | {"path": file, "place": at, "block": block} | parsed(body, line.decode("ascii", "replace"), datetime(1970, 1, 1) + timedelta(microseconds=changed)))
             yield pd.DataFrame(rows, columns=names).astype({"received": "datetime64[us]", "trusted": "boolean"})
 
-    found = raw.mapInPandas(run, MESSAGE)
+    sizes = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))  # a row for each part of a file
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("path", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = raw.mapInPandas(run, MESSAGE + ", block long").join(starts, ["path", "block"]).withColumn("place", F.col("place") + F.col("before"))
+    found = placed.withColumn("source_uid", F.concat_ws(":", F.col("place").cast("string"), "source_uid")).select(*[c.split()[0] for c in MESSAGE.split(", ")])
     if since:
         found = found.where(~F.coalesce("trusted", F.lit(False)) | (F.col("received") >= F.lit(since).cast("timestamp")))
     if domains:
@@ -120,6 +135,12 @@ def read_mbox(spark: SparkSession, path: str, since: str | None = None, domains:
     return found
 
 
+def records_and_failures(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The messages that were parsed, and a ledger of those that were not: source_type, source_uid, error_code, brand."""
+    bad = messages.where("error IS NOT NULL").select(F.lit("mbox").alias("source_type"), "source_uid", F.col("error").alias("error_code"), F.lit("Unassigned").alias("brand"))
+    return messages.where("error IS NULL").drop("error"), bad
+
+
 def visible_pages(pages: DataFrame) -> DataFrame:
     """page_id and visible text of HTML pages."""
 
