@@ -93,3 +93,14 @@ def test_merge_adds_each_identity_once(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
         merge_stream(spark, landing, schema, store, mark, ["uid", "validity"])
     assert sorted(r["uid"] for r in spark.read.parquet(store).collect()) == ["1", "2", "3"]
+
+
+def test_merge_reads_only_the_days_of_a_batch(spark, tmp_path):
+    landing, store, mark = (str(tmp_path / x) for x in ("landing", "store", "mark"))
+    schema = "uid string, at timestamp"
+    days = [datetime(2026, 1, d, 5) for d in (1, 2, 3)]
+    for rows in ([("a", days[0]), ("b", days[1]), ("c", None)], [("b", days[1]), ("d", days[2]), ("c", None)], [("a", days[0]), ("d", days[2]), ("e", days[2])]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        merge_stream(spark, landing, schema, store, mark, ["uid", "at"], "at")
+    assert sorted(r["uid"] for r in spark.read.parquet(store).collect()) == ["a", "b", "c", "d", "e"]
+    assert sorted(x for x in os.listdir(store) if x.startswith("received_day")) == ["received_day=1970-01-01", "received_day=2026-01-01", "received_day=2026-01-02", "received_day=2026-01-03"]
