@@ -132,6 +132,16 @@ GALLERY_LABELS = {
     "synthetic seasonal preview": "Synthetic seasonal preview",
 }
 GALLERY_LABEL_CHARS, GALLERY_NO_LABEL = 64, "Safe creative preview"
+PAYLOAD_CHARS = (500, 800, 4000)
+NUMBER = r"(?<![A-Za-z0-9])(?:\$)?\d[\d,]*(?:\.\d+)?%?(?![A-Za-z0-9])"
+IDENTIFIER_SPANS = (
+    r"(?i)https?://[^\s<>()\[\]{}]+",
+    r"(?i)\b\d{1,2}:\d{2}\s*(?:AM|PM)\b",
+    r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{40}(?![0-9A-Fa-f])",
+    r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64}(?![0-9A-Fa-f])",
+    r"(?i)\bv\d+(?:\.\d+){1,3}\b",
+    r"(?i)\bSHA-\d+\b",
+)
 SYNTHETIC_CATEGORIES = ("editorial", "offer", "seasonal")
 SKEW_DAYS, BRAND_CHARS, NO_BRAND = 7, 120, "Unknown brand"
 # Rules of secret_scan_documents over the bytes of a text; \b is a border of ASCII words.

@@ -1,4 +1,4 @@
-"""Queries of the release ledger, each with DuckDB SQL."""
+"""Queries of the release ledger, with DuckDB SQL but where that lacks lookarounds."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import rules as R
 from .functions.spots import searchable, spots
-from .message_queries import _ITEMS, _NEWEST, _items, _table, failures
+from .message_queries import _ITEMS, _NEWEST, _items, _sanitize_sql, _table, failures
 from .operators import census, gallery, ledger, store
 from .plans.messages import analyzed, messages
 from .queries import MESSAGES, q, secret_scan_documents
@@ -121,6 +121,21 @@ def uncovered_numbers(s: SparkSession, d: str) -> DataFrame:
     return ledger.uncovered_spans(span(NUMBER), span(CLAIM), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("numbers"))
 
 
+def numeric_occurrences(s: SparkSession, d: str) -> DataFrame:
+    """Numbers of each document in one spelling, but those inside links, clock times, hashes and versions, with how often they stand there."""
+    rows = _table(s, d, "documents").select("doc_id", searchable(F.col("text")).alias("t"))
+    spans = lambda p: F.transform(spots(F.col("t"), p), lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))
+    each = lambda array: rows.select("doc_id", F.inline(array))
+    outside = ledger.uncovered_spans(each(spans(R.NUMBER)), each(F.concat(*map(spans, R.IDENTIFIER_SPANS))), "doc_id")
+    return outside.groupBy("doc_id", ledger.number_token(F.col("found")).alias("token")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def classifier_payload(s: SparkSession, d: str) -> DataFrame:
+    """The hashes of what a classifier outside may see of each document: source and text, redacted and cut."""
+    fields = ledger.classifier_payload(F.col("source"), F.lit(None).cast("string"), F.col("text"))
+    return _table(s, d, "documents").select("doc_id", fields.alias("p")).select("doc_id", F.md5("p.subject").alias("subject_md5"), F.md5("p.visible_text").alias("text_md5"))
+
+
 def failures_by_brand(s: SparkSession, d: str) -> DataFrame:
     return store.unique_failures(failures(s, d)).groupBy("brand").agg(F.count(F.lit(1)).alias("failures"))
 
@@ -159,7 +174,7 @@ def gallery_budget(s: SparkSession, d: str, most: int = 900) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (census_binding, coverage_gate, coverage_quadrants, coverage_window, batch_check, occasion_gaps, brands_beyond, brand_order, coverage_order, top_occasions, nested_round_trip, confidences, gallery_labels, brand_labels, date_skews, month_bounds, gallery_synthetic, uncovered_numbers, failures_by_brand, audit_rollup, record_normalization, new_variants, completeness_of_census, gallery_budget)
+    for f in (census_binding, coverage_gate, coverage_quadrants, coverage_window, batch_check, occasion_gaps, brands_beyond, brand_order, coverage_order, top_occasions, nested_round_trip, confidences, gallery_labels, brand_labels, date_skews, month_bounds, gallery_synthetic, uncovered_numbers, numeric_occurrences, classifier_payload, failures_by_brand, audit_rollup, record_normalization, new_variants, completeness_of_census, gallery_budget)
 }
 
 _FAILED = "subject IS NULL AND trusted IS NULL AND campaign_id IS NULL"
@@ -188,6 +203,7 @@ ORACLE_SQL = {k: MESSAGES + v for k, v in {
     "confidences": "SELECT event_id, CASE WHEN event_type = 'error' THEN 0.8 ELSE greatest(0, least(1, (props::JSON ->> '$.k')::DOUBLE / 50 - 0.5)) END::DOUBLE AS confidence FROM events",
     "brand_labels": r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(lang, '\s+', ' ', 'g')), ''), left(nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), ''), 120), 'Unknown brand') AS brand FROM documents",
     "month_bounds": "SELECT o_orderkey, (o_orderdate - INTERVAL 3 MONTH)::TIMESTAMP AS since FROM orders",
+    "classifier_payload": "SELECT doc_id, " + ", ".join(f"md5(replace(replace(left({_sanitize_sql(f'coalesce({c}, chr(0))').replace('chr(0)', q(''))}, {n}), '[email]', '[redacted email]'), '[url]', '[redacted url]')) AS {a}" for c, n, a in (("source", R.PAYLOAD_CHARS[0], "subject_md5"), ("text", R.PAYLOAD_CHARS[2], "text_md5"))) + " FROM documents",
     "uncovered_numbers": rf"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '{CLAIM}', ' ', 'g'), '{NUMBER}')) AS numbers FROM documents WHERE numbers > 0",
 }
 ORACLE_SQL["gallery_budget"] = ORACLE_SQL["gallery_budget"].replace("WITH tpl", "WITH RECURSIVE tpl")

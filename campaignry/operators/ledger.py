@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.privacy import sanitized
 
 
 def bind_coverage(census: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -132,6 +133,22 @@ def uncovered_spans(tokens: DataFrame, claims: DataFrame, key: str) -> DataFrame
     return tokens.join(cover, (tokens[key] == cover["_key"]) & (tokens["start"] >= cover["_start"]) & (tokens["end"] <= cover["_end"]), "left_anti")
 
 
+def number_token(found: Column) -> Column:
+    """A number without thousands' commas and trailing zeros of a fraction, with its sign of dollars or else of percent."""
+    bare = F.regexp_replace(found, "[$,%]", "")
+    short = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(F.regexp_replace(bare, "0+$", ""), r"\.$", "")).otherwise(bare)
+    return F.when(F.startswith(found, F.lit("$")), F.concat(F.lit("$"), short)).when(F.endswith(found, F.lit("%")), F.concat(short, F.lit("%"))).otherwise(short)
+
+
+def classifier_payload(subject: Column, preheader: Column, body: Column) -> Column:
+    """struct(subject, preheader, visible_text), redacted, cut, with placeholders that a reader outside understands: all that may leave."""
+    out = []
+    for name, text, most in zip(("subject", "preheader", "visible_text"), (subject, preheader, body), R.PAYLOAD_CHARS):
+        cut = F.left(sanitized(F.coalesce(text, F.lit(""))), F.lit(most))
+        out.append(F.replace(F.replace(cut, F.lit("[email]"), F.lit("[redacted email]")), F.lit("[url]"), F.lit("[redacted url]")).alias(name))
+    return F.struct(*out)
+
+
 def normalized_records(rows: DataFrame) -> DataFrame:
     """Stored records (id, source_type, trusted, source_completeness, variant_ids) as they are loaded.
 

@@ -2,6 +2,8 @@
 
 import glob
 import os
+import re
+from collections import Counter
 from datetime import datetime
 
 import duckdb
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from campaignry import ledger_queries as L
 from campaignry import shared
+from campaignry.functions import rules as R
 from campaignry.operators import ledger
 
 SF = "/root/testdata/sf0.001"
@@ -81,3 +84,22 @@ def test_a_store_keeps_the_last_whole_save(spark, tmp_path):
     with pytest.raises(Exception, match="no good"):
         shared.save_store(spark.range(3).select(F.raise_error(F.lit("no good")).alias("id")), root)
     assert shared.load_store(spark, root).count() == 7
+
+
+def plain_numbers(text):
+    """Numbers of a text by Python's own patterns."""
+    spans = [m.span() for p in R.IDENTIFIER_SPANS for m in re.finditer(p, text)]
+    for m in re.finditer(R.NUMBER, text):
+        if not any(a <= m.start() and m.end() <= b for a, b in spans):
+            bare = m[0].replace(",", "").strip("$%")
+            bare = bare.rstrip("0").rstrip(".") if "." in bare else bare
+            yield "$" + bare if m[0].startswith("$") else bare + "%" * m[0].endswith("%")
+
+
+def test_numeric_occurrences_equal_brute_force(spark, tmp_path):
+    rows = duckdb.execute(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    rows += [(-1, "In 2025, $1,200.50 or 12.0% (1.5x) at 9:30 PM, v1.2.3, see https://a.example/12?x=34 and SHA-256; a12 12b 7, 8 " + "1" * 40 + " \U0001f600 5"), (-2, None), (-3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in L.QUERIES["numeric_occurrences"](spark, str(tmp_path)).select("doc_id", "token", "times").collect())
+    assert got == sorted((i, token, n) for i, t in rows for token, n in Counter(plain_numbers(t or "")).items())
+    assert {t for i, t, _ in got if i == -1} == {"2025", "$1200.5", "12%", "1", "7", "8", "5"}
