@@ -136,6 +136,12 @@ def classifier_payload(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "documents").select("doc_id", fields.alias("p")).select("doc_id", F.md5("p.subject").alias("subject_md5"), F.md5("p.visible_text").alias("text_md5"))
 
 
+def safe_payload(s: SparkSession, d: str) -> DataFrame:
+    """What a classifier outside may see of each document by the full rules; no SQL, as RE2 has no lookarounds."""
+    fields = ledger.safe_payload(F.col("source"), F.lit(None).cast("string"), F.col("text"))
+    return _table(s, d, "documents").select("doc_id", fields.alias("p")).select("doc_id", "p.subject", "p.visible_text")
+
+
 def failures_by_brand(s: SparkSession, d: str) -> DataFrame:
     return store.unique_failures(failures(s, d)).groupBy("brand").agg(F.count(F.lit(1)).alias("failures"))
 
@@ -174,7 +180,7 @@ def gallery_budget(s: SparkSession, d: str, most: int = 900) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (census_binding, coverage_gate, coverage_quadrants, coverage_window, batch_check, occasion_gaps, brands_beyond, brand_order, coverage_order, top_occasions, nested_round_trip, confidences, gallery_labels, brand_labels, date_skews, month_bounds, gallery_synthetic, uncovered_numbers, numeric_occurrences, classifier_payload, failures_by_brand, audit_rollup, record_normalization, new_variants, completeness_of_census, gallery_budget)
+    for f in (census_binding, coverage_gate, coverage_quadrants, coverage_window, batch_check, occasion_gaps, brands_beyond, brand_order, coverage_order, top_occasions, nested_round_trip, confidences, gallery_labels, brand_labels, date_skews, month_bounds, gallery_synthetic, uncovered_numbers, numeric_occurrences, classifier_payload, safe_payload, failures_by_brand, audit_rollup, record_normalization, new_variants, completeness_of_census, gallery_budget)
 }
 
 _FAILED = "subject IS NULL AND trusted IS NULL AND campaign_id IS NULL"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import offers as O
 from .functions import privacy as P
 from .functions import rules as R
+from .functions import safe
 from .functions import scoring as S
 from .functions import text as X
 from .operators import census, gallery, store
@@ -87,6 +88,28 @@ def deny_terms(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "customer").select("c_custkey", F.array_join(P.deny_terms(address), " ").alias("terms"))
 
 
+def sanitize_documents(s: SparkSession, d: str) -> DataFrame:
+    """Every whole text without direct identifiers; no SQL, as RE2 has no lookarounds (tests/test_safe.py holds its cases)."""
+    return _table(s, d, "documents").select("doc_id", safe.safe_text(F.col("text")).alias("safe_text"))
+
+
+def identifiers_documents(s: SparkSession, d: str) -> DataFrame:
+    """What shows that a document holds an identifier, a row for each reason."""
+    return _table(s, d, "documents").select("doc_id", F.explode(safe.direct_identifiers(F.col("text"))).alias("reason"))
+
+
+def recipient_terms(s: SparkSession, d: str) -> DataFrame:
+    header = F.concat(F.lit('"'), "c_name", F.lit('" <'), F.replace(F.lower("c_name"), F.lit("#"), F.lit(".")), F.lit("+news@x.example>, info@y.example"))
+    return _table(s, d, "customer").select("c_custkey", F.array_join(safe.recipient_terms(F.array(header)), "|").alias("terms"))
+
+
+def safe_brands(s: SparkSession, d: str) -> DataFrame:
+    """Names of suppliers as senders write them; every third has none and is named by its domain."""
+    name = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.replace("s_name", F.lit("#"), F.lit("* ")), F.lit(" Newsletter")))
+    domain = F.concat(F.lit("news.house-"), F.col("s_suppkey").cast("string"), F.lit(".example"))
+    return _table(s, d, "supplier").select("s_suppkey", safe.safe_brand(name, domain).alias("brand"))
+
+
 def identifiers(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "pages").select("page_id", store.identifier("list", F.col("url")).alias("list_key"))
 
@@ -182,7 +205,7 @@ def anaphora(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (offer_primary, offer_support_violations, offers_dollar, offers_semantic, offers_semantic_plain, scope_classify, intent_scores, intent_documents, intent_with_offers, pii_detect, sanitize_core, deny_terms, identifiers, unseen_sources, brand_aliases, pipeline_counts, brand_ledger, failures_unique, source_completeness, uid_batches, gallery_newest, gallery_states, manifest_accounting, coverage_violations, verify_recompute, metric_tokens, anaphora)
+    for f in (offer_primary, offer_support_violations, offers_dollar, offers_semantic, offers_semantic_plain, scope_classify, intent_scores, intent_documents, intent_with_offers, pii_detect, sanitize_core, sanitize_documents, identifiers_documents, deny_terms, recipient_terms, safe_brands, identifiers, unseen_sources, brand_aliases, pipeline_counts, brand_ledger, failures_unique, source_completeness, uid_batches, gallery_newest, gallery_states, manifest_accounting, coverage_violations, verify_recompute, metric_tokens, anaphora)
 } | {
     "quadrant_table": lambda s, d: census.quadrant_table(analyzed(s, d)),
     "freeze_metrics": lambda s, d: census.freeze_metrics(analyzed(s, d)),
@@ -260,6 +283,8 @@ ORACLE_SQL = {k: MESSAGES + v for k, v in {
     "unseen_sources": "SELECT DISTINCT event_type, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.value > 90 AND s.event_type = e.event_type AND s.user_id = e.user_id)",
     "brand_aliases": "SELECT s_suppkey, CASE WHEN s_acctbal > 5000 THEN s_name || ' Direct' WHEN n_regionkey < 3 THEN n_name || ' Group' ELSE lower(n_name) END AS canonical_brand FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "failures_unique": "SELECT source_type, count(*) AS failures FROM (SELECT DISTINCT event_type AS source_type, user_id, floor(value / 50) AS e FROM events) GROUP BY 1",
+    "recipient_terms": "SELECT c_custkey, replace(lower(c_name), '#', ' ') || '|' || lower(c_name) AS terms FROM customer",
+    "safe_brands": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'House ' || s_suppkey ELSE replace(s_name, '#', ' ') END AS brand FROM supplier",
     "uid_batches": "SELECT o_custkey AS uid, (row_number() OVER (ORDER BY o_custkey) - 1) // 200 AS batch FROM (SELECT DISTINCT o_custkey FROM orders)",
     "anaphora": r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(regexp_extract(x, '^\s*([A-Za-z]+ [A-Za-z]+)', 1))), lambda x: x <> '') AS p FROM documents),
         r AS (SELECT doc_id, len(list_filter(range(3, len(p) + 1), lambda i: p[i] = p[i - 1] AND p[i] = p[i - 2])) AS runs FROM p) SELECT doc_id, runs FROM r WHERE runs > 0""",

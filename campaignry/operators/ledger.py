@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions import safe_rules
 from ..functions.privacy import sanitized
+from ..functions.safe import safe_text
 
 
 def bind_coverage(census: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -149,6 +151,15 @@ def classifier_payload(subject: Column, preheader: Column, body: Column) -> Colu
     return F.struct(*out)
 
 
+def safe_payload(subject: Column, preheader: Column, body: Column) -> Column:
+    """The same by the full rules: no field holds a direct identifier, and a cut opens no wrapper."""
+    out = []
+    for name, text, most in zip(("subject", "preheader", "visible_text"), (subject, preheader, body), R.PAYLOAD_CHARS):
+        cut = safe_text(text, most=most)
+        out.append(F.replace(F.replace(cut, F.lit(safe_rules.ADDRESS), F.lit("[redacted email]")), F.lit(safe_rules.LINK), F.lit("[redacted url]")).alias(name))
+    return F.struct(*out)
+
+
 def normalized_records(rows: DataFrame) -> DataFrame:
     """Stored records (id, source_type, trusted, source_completeness, variant_ids) as they are loaded.
 
