@@ -12,6 +12,7 @@ from .functions import offers as O
 from .functions import privacy as P
 from .functions import rules as R
 from .functions import safe
+from .functions.lint import lint
 from .functions import scoring as S
 from .functions import text as X
 from .operators import census, gallery, store
@@ -203,9 +204,14 @@ def anaphora(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size(runs).cast("long").alias("runs")).where("runs > 0")
 
 
+def text_lint(s: SparkSession, d: str) -> DataFrame:
+    """Issues of every document by rule and line; no SQL, as RE2 has no lookarounds (tests/test_lint.py has it in plain Python)."""
+    return _table(s, d, "documents").select("doc_id", F.inline(lint(F.col("text"), plain=True)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (offer_primary, offer_support_violations, offers_dollar, offers_semantic, offers_semantic_plain, scope_classify, intent_scores, intent_documents, intent_with_offers, pii_detect, sanitize_core, sanitize_documents, identifiers_documents, deny_terms, recipient_terms, safe_brands, identifiers, unseen_sources, brand_aliases, pipeline_counts, brand_ledger, failures_unique, source_completeness, uid_batches, gallery_newest, gallery_states, manifest_accounting, coverage_violations, verify_recompute, metric_tokens, anaphora)
+    for f in (offer_primary, offer_support_violations, offers_dollar, offers_semantic, offers_semantic_plain, scope_classify, intent_scores, intent_documents, intent_with_offers, pii_detect, sanitize_core, sanitize_documents, identifiers_documents, deny_terms, recipient_terms, safe_brands, text_lint, identifiers, unseen_sources, brand_aliases, pipeline_counts, brand_ledger, failures_unique, source_completeness, uid_batches, gallery_newest, gallery_states, manifest_accounting, coverage_violations, verify_recompute, metric_tokens, anaphora)
 } | {
     "quadrant_table": lambda s, d: census.quadrant_table(analyzed(s, d)),
     "freeze_metrics": lambda s, d: census.freeze_metrics(analyzed(s, d)),

@@ -14,7 +14,7 @@ from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions.offers import CANDIDATE, with_offers
 from ..functions.text import quadrant_of
-from ..shared import hadoop, written
+from ..shared import hadoop, kept, load_store, save_store, written
 
 LONG = "Every piece is measured twice and cut once by hand in a quiet room near the river. " * 6
 #: Subject, preheader and body; {p} is the part's name, {n} the line's percentage.
@@ -140,6 +140,8 @@ def classified(rows: DataFrame, once: bool = True) -> DataFrame:
     return rows.withColumn("quadrant", quadrant_of(F.col("offer"), F.col("seasonal"))).drop("scope_wording", "season_hints", "content", "thesis")
 
 
+#: What classified adds to a message.
+ANALYSIS = ("offers", "primary", "scope_evidence", "season", "observed", "offer", "scope", "depth", "seasonal", "occasion", "intent", "intent_confidence", "quadrant")
 _STORES: dict[tuple, str] = {}
 
 
@@ -158,3 +160,19 @@ def stored_once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[],
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classified messages, written once; reports read the columns they need."""
     return stored_once(spark, sf_dir, "classified", lambda: classified(messages(spark, sf_dir)))
+
+
+def reanalyzed(spark: SparkSession, root: str) -> DataFrame:
+    """Classify all messages of the last save under root anew, and save them as its next version, which is returned.
+
+    What an earlier analysis added goes first. The store must have messages, and the quadrants of the new version must
+    add up to its broadcasts, else nothing is saved.
+    """
+    rows = load_store(spark, root)
+    if rows is None or rows.isEmpty():
+        raise ValueError(f"{root} has no messages")
+    made = kept(classified(rows.drop(*ANALYSIS)), "reanalyzed")
+    known = made.where(F.col("quadrant").isin(*R.QUADRANTS))
+    if known.count() != rows.count():
+        raise ValueError("messages were lost or have no quadrant")
+    return spark.read.parquet(save_store(made, root))
