@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, language_id, mixing, sentencepiece_sa, sharding, simhash_dedup, token_counts, token_io, topk
+from . import chat, divergence, fingerprints, language_id, mixing, phrases, sentencepiece_sa, sharding, simhash_dedup, token_counts, token_io, topk, toxicity
 from .common import delete_at_exit, fresh_path, table
 
 
@@ -65,13 +65,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_dedup, op3_exact_top_k, op4_token_files, op5_fingerprints, op6_sentencepiece, op7_sharding, op8_language_id, op9_mixing, op10_chat, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash_dedup, op3_exact_top_k, op4_token_files, op5_fingerprints, op6_sentencepiece, op7_sharding, op8_language_id, op9_mixing, op10_chat, op11_toxicity, op12_collocations, op13_divergence, pipeline)}
 
 ORACLE_SQL = {
     "op3_exact_top_k": """
@@ -116,4 +128,50 @@ ORACLE_SQL = {
                string_agg('<|turn_start|>' || replace(t.role, '<|turn_', '<turn_') || chr(10) || replace(t.text, '<|turn_', '<turn_') || '<|turn_end|>' || chr(10), '' ORDER BY t.place) AS rendered
         FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY 1, 2
     """,
+    "op12_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]'), lambda w: w <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, k.k, array_to_string(w[i.i : i.i + k.k - 1], ' ') AS phrase FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) k, LATERAL (SELECT unnest(range(1, len(w) - k.k + 2)) AS i) i),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.a, t.t, l.f AS l, r.f AS r, (c.a::HUGEINT * 2000000) // (l.f + r.f) AS score
+            FROM c, LATERAL (SELECT unnest(range(1, c.k)) AS t) t
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : t.t], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[t.t + 1 : c.k], ' ')
+        ),
+        lowest AS (SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, t) = 1),
+        inner_parts AS (
+            SELECT c.lang, array_to_string(c.w[i.i : i.i + m.m - 1], ' ') AS phrase, max(c.a) AS longer
+            FROM c, LATERAL (SELECT unnest(range(2, c.k)) AS m) m, LATERAL (SELECT unnest(range(1, c.k - m.m + 2)) AS i) i GROUP BY ALL
+        ),
+        ranked AS (
+            SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, l.phrase) AS rank
+            FROM lowest l LEFT JOIN inner_parts x ON x.lang = l.lang AND x.phrase = l.phrase WHERE x.longer IS NULL OR 100 * x.longer < 80 * l.a
+        )
+        SELECT r.lang, rank, phrase, a, l, r, n.n::BIGINT AS n, score::BIGINT AS score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+    """,
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        c AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t SEMI JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+        g AS (SELECT g.lang, g.source, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) s USING (lang, source)),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.n + v.v) AS p
+            FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ),
+        whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c) + 1)) // (sum(sum(c)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM p GROUP BY lang, term),
+        pair AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+            ) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        ),
+        term AS (SELECT p.lang, p.source, p.term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN whole w ON w.lang = p.lang AND w.term = p.term WHERE c > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pair
+        UNION ALL
+        SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM term QUALIFY rank <= 200
+    """,
 }
