@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CAMPAIGN_DAYS, CONTENT_DAYS
+from ..shared import kept
+from . import windows
 
 DAY = 86_400_000_000
 
@@ -23,31 +23,12 @@ def first_of(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def leaders(df: DataFrame, keys: list[str], days: int) -> DataFrame:
-    """keys (brand in lower case), leader (time), variants: a row leads if it is more than days after its key's last leader.
-
-    Rows are counted by key and time, then each task passes over its keys in time with the last leader as state.
-    """
+    """keys (brand in lower case), leader (time), variants: a row leads if it is more than days after its key's last leader."""
     brand = [F.lower(k).alias(k) if k == "brand" else F.col(k) for k in keys]
     counted = df.select(*brand, F.unix_micros("received_at").alias("at")).groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.withColumn("key", F.to_json(F.struct(*keys))).repartition("key").sortWithinPartitions("key", "at")
-    types = dict(df.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last leader's row; its count may grow in the next batch
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if held is not None and held["key"] == r.key and r.at - held["at"] <= days * DAY:
-                    held["n"] += r.n
-                else:
-                    out += [held] if held is not None else []
-                    held = r._asdict()
-            yield pd.DataFrame(out, columns=[*keys, "at", "n", "key"])[[*keys, "at", "n"]]
-        if held is not None:
-            yield pd.DataFrame([held])[[*keys, "at", "n"]]
-
-    led = rows.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "at long", "n long"]))
-    return led.select(*keys, F.timestamp_micros("at").alias("leader"), F.col("n").alias("variants"))
+    rows = kept(counted.withColumn("key", F.to_json(F.struct(*keys))), "counted")
+    led = windows.leaders(rows.select("key", "at"), days * DAY)
+    return rows.join(led, ["key", "at"]).groupBy(*keys, "leader").agg(F.sum("n").alias("variants")).withColumn("leader", F.timestamp_micros("leader"))
 
 
 def by_content(df: DataFrame) -> DataFrame:

@@ -39,6 +39,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that kept() wrote and nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        fs, path = hadoop(df.sparkSession, folder)
+        fs.delete(path, True)
+
+
 def load_store(spark: SparkSession, root: str) -> DataFrame | None:
     """The rows of the last save under root, or None."""
     fs, root_path = hadoop(spark, root)
