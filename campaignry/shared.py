@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def hadoop(spark: SparkSession, path: str) -> tuple:
@@ -39,6 +40,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
+def numbered(df: DataFrame, start: int, name: str) -> tuple[DataFrame, int]:
+    """df, written once, with its rows numbered from start without gaps, and how many there are. Only a count for each file part goes through one window."""
+    rows = kept(df.withColumn(name, F.monotonically_increasing_id()), name)  # 33 bits of place after the part's number
+    parts = rows.groupBy(F.shiftright(name, 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = kept(parts.select("_part", (before + start - F.col("_first")).alias("_shift"), "_n"), "parts")
+    out = rows.withColumn("_part", F.shiftright(name, 33)).join(parts.drop("_n"), "_part").withColumn(name, F.col(name) + F.col("_shift"))
+    return out.select(*rows.columns), parts.agg(F.sum("_n")).first()[0] or 0
+
+
 def discard(df: DataFrame) -> None:
     """Delete the folder of a table that kept() wrote and nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
