@@ -36,13 +36,14 @@ SCALE = 2_000_000
 #: Bytes of text for each cell of a row of counters.
 BYTES_A_CELL = 64
 #: Words of a chunk, candidates of a block of slots, and bytes of the keys that mappers hold at once.
-CHUNK, KEYS, GROUP_BYTES = 1 << 19, 1 << 16, 48 << 20
+CHUNK, KEYS, GROUP_BYTES = 1 << 18, 1 << 16, 96 << 20
 #: Bytes of a piece that are split into words at once.
 PART = 1 << 22
 BREAK = b"\n"
 #: A to Z in lower case; what divides pieces is a line feed, what divides words a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 SALTS = 64
+BLOCK_ROW = "block long, sizes array<long>, bits binary, keys binary, ends binary, bytes long"
 
 
 def chunks(texts: Iterable[str | None]) -> Iterator[tuple[list[bytes], int]]:
@@ -68,12 +69,14 @@ def chunks(texts: Iterable[str | None]) -> Iterator[tuple[list[bytes], int]]:
         yield words, again
 
 
-def by_language(batch, lang: int, text: int) -> Iterator[tuple[str, list]]:
+def by_language(batch, lang: int, text: int) -> Iterator[tuple[str, Iterator[str]]]:
     """The texts of an Arrow batch by language."""
-    held: dict[str, list] = {}
-    for g, t in zip(batch.column(lang).to_pylist(), batch.column(text).to_pylist()):
-        held.setdefault(g, []).append(t)
-    yield from held.items()
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for g in pc.unique(batch.column(lang)).to_pylist():
+        of = batch.column(text).filter(pc.equal(batch.column(lang), pa.scalar(g, batch.column(lang).type)))
+        yield g, (t.as_py() for t in of)
 
 
 def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
@@ -88,49 +91,48 @@ def longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     return perfect_hash.mixed(prefix, 77) ^ word
 
 
+def cell_of(h: np.ndarray, width: int) -> np.ndarray:
+    return (h & np.uint64(width - 1)).astype(np.int64)
+
+
 class Phrases:
-    """The distinct phrases of a chunk by length: hash, count, alive (see keep), and the places of their words in dictionary."""
+    """The distinct phrases of a chunk by length: hash, count, and the places of their words in dictionary.
+
+    With bits of counters only those phrases are here whose own cell and those of all parts reach the least frequency.
+    """
 
-    def __init__(self, words: list[bytes], again: int, lang: str):
+    def __init__(self, words: list[bytes], again: int, lang: str, bits: np.ndarray | None = None, width: int = 0):
         import pyarrow as pa
 
         coded = pa.array(words, pa.binary()).dictionary_encode()
         self.lang, self.dictionary = lang, coded.dictionary
         code = coded.indices.to_numpy().astype(np.int64)
         distinct = self.dictionary.to_pylist()
-        h = word_hashes(distinct, lang)
         many = len(distinct)
         sound = code != (distinct.index(BREAK) if BREAK in distinct else -1)
         counted = np.arange(len(code)) >= again  # by the last word
         self.n_words = int((sound & counted).sum())
-        at, starts = code, np.flatnonzero(sound)
-        # of each length: hash, count, words (places), prefix and suffix (numbers in the length before)
-        self.hash, self.count = [h], [np.bincount(code[sound & counted], minlength=many)]
-        self.words, self.prefix, self.suffix = [np.arange(many)[:, None]], [None], [None]
+        self.hash, self.count, self.words, self.alive = [], [], [], []
+
+        def found(h: np.ndarray, count: np.ndarray, places: np.ndarray) -> np.ndarray:
+            live = reaches(bits[len(self.hash)], cell_of(h, width)) if bits is not None else np.ones(len(h), bool)
+            self.hash.append(h)
+            self.count.append(count)
+            self.words.append(places)
+            self.alive.append(np.flatnonzero(live & (count > 0)))
+            return live
+
+        h = word_hashes(distinct, lang)
+        live = found(h, np.bincount(code[sound & counted], minlength=many), np.arange(many)[:, None])
+        at = np.where(sound & live[code], code, -1)  # number of the phrase that begins here, of the length before
         for n in range(2, LONGEST + 1):
-            starts = starts[starts + n - 1 < len(code)]
-            starts = starts[sound[starts + n - 1]]
+            starts = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
             number, key = pd.factorize(at[starts] * many + code[starts + n - 1])
-            first = np.empty(len(key), np.int64)
-            first[number[::-1]] = starts[::-1]
             prefix, last = np.divmod(key, many)
-            self.hash.append(longer(self.hash[-1][prefix], h[last]))
-            self.count.append(np.bincount(number[counted[starts + n - 1]], minlength=len(key)))
-            self.words.append(np.concatenate((self.words[-1][prefix], last[:, None]), axis=1))
-            self.prefix.append(prefix)
-            self.suffix.append(at[first + 1])
-            at = at.copy() if at is code else at
-            at[starts] = number
-
-    def keep(self, bits: np.ndarray, width: int) -> list[np.ndarray]:
-        """Numbers, by length, of the phrases whose cell and those of all parts reach the least frequency."""
-        alive: list[np.ndarray] = []
-        for i, h in enumerate(self.hash):
-            live = reaches(bits[i], (h & np.uint64(width - 1)).astype(np.int64))
-            if i:
-                live &= alive[-1][self.prefix[i]] & alive[-1][self.suffix[i]]
-            alive.append(live)
-        return [np.flatnonzero(live & (count > 0)) for live, count in zip(alive, self.count)]
+            count = np.bincount(number[counted[starts + n - 1]], minlength=len(key))
+            live = found(longer(self.hash[-1][prefix], h[last]), count, np.concatenate((self.words[-1][prefix], last[:, None]), axis=1))
+            at = np.full(len(code), -1, np.int64)
+            at[starts] = np.where(live[number], number, -1)
 
     def keys(self, i: int, numbers: np.ndarray):
         """Arrow array of the stored form of phrases of i + 1 words: language, tab, words with spaces."""
@@ -176,7 +178,7 @@ def possible_phrases(docs: DataFrame, width: int, least: int) -> np.ndarray:
                 for words, again in chunks(texts):
                     found = Phrases(words, again, lang)
                     for i, (h, n) in enumerate(zip(found.hash, found.count)):
-                        counters.add(i, (h & np.uint64(width - 1)).astype(np.int64), n)
+                        counters.add(i, cell_of(h, width), n)
         for block, cells in counters.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([cells], pa.binary())], names=["block", "cells"])
 
@@ -192,15 +194,23 @@ def candidates(docs: DataFrame, bits, width: int) -> DataFrame:
         for batch in batches:
             for lang, texts in by_language(batch, 0, 1):
                 for words, again in chunks(texts):
-                    found = Phrases(words, again, lang)
-                    for i, numbers in enumerate(found.keep(bits.value, width)):
+                    found = Phrases(words, again, lang, bits.value, width)
+                    for i, numbers in enumerate(found.alive):
                         yield pa.RecordBatch.from_arrays([found.keys(i, numbers)], names=["key"])
 
     return docs.mapInArrow(run, "key binary").distinct()
 
 
+def stored_keys(keys: bytes, ends: bytes):
+    """Arrow array of the keys of a block."""
+    import pyarrow as pa
+
+    offsets = np.concatenate(([np.int32(0)], np.frombuffer(ends, np.int32)))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys)])
+
+
 def hashed_blocks(keys: DataFrame, blocks: int) -> DataFrame:
-    """block, sizes, bits, keys (by slot), bytes: the perfect hash, a row for each block."""
+    """block, sizes, bits, keys (one after the other, by slot), ends (of each, 32 bits), bytes: the perfect hash, a row for each block."""
 
     def number(batches):
         import pyarrow as pa
@@ -214,28 +224,29 @@ def hashed_blocks(keys: DataFrame, blocks: int) -> DataFrame:
         sizes, bits, slot = perfect_hash.build(rows["h"].to_numpy().view(np.uint64))
         keys = np.empty(len(rows), object)
         keys[slot] = rows["key"].to_numpy()
-        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "sizes": [sizes], "bits": [bits], "keys": [keys], "bytes": [sum(map(len, keys)) + 16 * len(keys)]})
+        ends = np.cumsum([len(k) for k in keys], dtype=np.int32)
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "sizes": [sizes], "bits": [bits], "keys": [b"".join(keys)], "ends": [ends.tobytes()], "bytes": [int(ends[-1]) + 16 * len(keys)]})
 
-    return keys.mapInArrow(number, "key binary, h long, block long").groupBy("block").applyInPandas(built, "block long, sizes array<long>, bits binary, keys array<binary>, bytes long")
+    return keys.mapInArrow(number, "key binary, h long, block long").groupBy("block").applyInPandas(built, BLOCK_ROW)
 
 
 class Group:
     """The blocks of a group, for lookups, and, once they are summed, their counts."""
 
     def __init__(self, rows: list, blocks: int, counts: dict[int, bytes] | None = None):
-        self.rows, self.blocks = [(r["block"], list(r["sizes"]), bytes(r["bits"]), [bytes(k) for k in r["keys"]]) for r in rows], blocks
+        self.rows, self.blocks = [(r["block"], list(r["sizes"]), bytes(r["bits"]), bytes(r["keys"]), bytes(r["ends"])) for r in rows], blocks
         self.counts = counts
         self.slots: dict[int, perfect_hash.Slots] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"slots": {}}
 
-    def find(self, h: np.ndarray, keys) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(block, numbers of the keys found in it, their slots)."""
+    def find(self, h: np.ndarray, asked) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(block, numbers of the asked keys found in it, their slots)."""
         import pyarrow as pa
 
         if not self.slots:
-            self.slots = {b: perfect_hash.Slots(sizes, bits, pa.array(k, pa.binary())) for b, sizes, bits, k in self.rows}
+            self.slots = {b: perfect_hash.Slots(sizes, bits, stored_keys(keys, ends)) for b, sizes, bits, keys, ends in self.rows}
             self.rows = []
         block = block_of(h, self.blocks)
         order = np.argsort(block, kind="stable")
@@ -243,7 +254,7 @@ class Group:
         for b in self.slots:
             here = order[edges[b] : edges[b + 1]] if edges is not None else order[np.searchsorted(block[order], b) : np.searchsorted(block[order], b, "right")]
             if len(here):
-                slot = self.slots[b].find(h[here], keys.take(pa.array(here)))
+                slot = self.slots[b].find(h[here], asked.take(pa.array(here)))
                 yield b, here[slot >= 0], slot[slot >= 0]
 
 
@@ -257,9 +268,9 @@ def group_counts(docs: DataFrame, bits, width: int, group) -> DataFrame:
         for batch in batches:
             for lang, texts in by_language(batch, 0, 1):
                 for words, again in chunks(texts):
-                    found = Phrases(words, again, lang)
+                    found = Phrases(words, again, lang, bits.value, width)
                     n_words[lang] = n_words.get(lang, 0) + found.n_words
-                    for i, numbers in enumerate(found.keep(bits.value, width)):
+                    for i, numbers in enumerate(found.alive):
                         n = found.count[i][numbers]
                         for b, which, slot in known.find(found.hash[i][numbers], found.keys(i, numbers)):
                             if b not in held:
@@ -294,14 +305,14 @@ def frequent(hashed: DataFrame, counts: DataFrame, least: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for keys, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for keys, ends, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 n = np.frombuffer(zlib.decompress(data), np.int64)
                 at = np.flatnonzero(n >= least)
-                split = [keys[i].rpartition(b"\t") for i in at.tolist()]
+                split = [k.rpartition(b"\t") for k in stored_keys(keys, ends).take(pa.array(at)).to_pylist()]
                 columns = [pa.array([s[i] for s in split], pa.binary()).cast(pa.string()) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n[at])], names=["lang", "phrase", "a"])
 
-    return hashed.join(counts.where("block IS NOT NULL").select("block", "counts"), "block").select("keys", "counts").mapInArrow(run, "lang string, phrase string, a long")
+    return hashed.join(counts.where("block IS NOT NULL").select("block", "counts"), "block").select("keys", "ends", "counts").mapInArrow(run, "lang string, phrase string, a long")
 
 
 def read_by_slot(parts: DataFrame, group) -> DataFrame:
