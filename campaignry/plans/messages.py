@@ -6,6 +6,8 @@ These rows are fixtures: no ratio found in them says anything about real mail.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +109,8 @@ def named(value: Column, names: tuple[str, ...]) -> Column:
 def classified(rows: DataFrame, once: bool = True) -> DataFrame:
     """rows with scope, offers, seasonality, intent, quadrant and observed (the trusted date).
 
+    Bulk are messages with list headers (bulk, list_id); where a table has no such columns, those with a campaign id. A message
+    that holds others of which none is surely its own (ambiguous) has an uncertain scope.
     once: equal texts, as the copies of one campaign are, are searched once and joined back; else each row by itself.
     Curated exports keep their scope, and what they say of offers (without numbers), occasions and intents counts where
     the texts give nothing.
@@ -123,9 +127,14 @@ def classified(rows: DataFrame, once: bool = True) -> DataFrame:
     occasion = named(F.col("curated_occasion"), (*(o for o, _ in R.OCCASIONS), "Spring", "Summer", "Fall", "Winter"))
     given = F.struct(F.lit(True).alias("seasonal"), occasion.alias("occasion"), F.lit("curated_export").alias("source"), F.lit("").alias("evidence"), F.lit(0.8).alias("confidence"))
     kept = F.struct(F.lit("broadcast").alias("scope"), F.lit("curated_export").alias("reason"), F.lit(1.0).alias("confidence"))
-    bulk = F.col("campaign_id").isNotNull()
+    listed = [F.col(c).isNotNull() for c in ("campaign_id", "list_id") if c in rows.columns and not ("bulk" in rows.columns and c == "campaign_id")]
+    bulk = reduce(or_, [*([F.coalesce("bulk", F.lit(False))] if "bulk" in rows.columns else []), *listed])
+    unclear = F.struct(F.lit("uncertain").alias("scope"), F.lit("embedded_message_ambiguous").alias("reason"), F.lit(0.99).alias("confidence"))
+    worded = S.scope_of(F.col("scope_wording"), bulk)
+    if "ambiguous" in rows.columns:
+        worded = F.when(F.col("ambiguous"), unclear).otherwise(worded)
     rows = rows.withColumns({
-        "scope_evidence": F.when(curated, kept).otherwise(S.scope_of(F.col("scope_wording"), bulk)), "primary": F.coalesce("primary", fallback),
+        "scope_evidence": F.when(curated, kept).otherwise(worded), "primary": F.coalesce("primary", fallback),
         "season": S.seasonality(F.col("season_hints"), F.month("received")), "observed": F.when(F.coalesce("trusted", F.col("source_type") != "mbox"), F.col("received")),
     })
     rows = rows.withColumns({"season": F.when(curated & ~F.col("season.seasonal") & occasion.isNotNull(), given).otherwise(F.col("season")), "offer": F.col("primary").isNotNull()})
