@@ -24,7 +24,7 @@ from .common import free_name
 from .ragged import NONE, Memo, every_other, grouped, pieces, word_starts
 
 SPACE = "▁"
-CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
+CUT = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")  # no run of what becomes spaces is torn
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+\\Z")
 UNSIGNED = np.dtype("<u4")
 
