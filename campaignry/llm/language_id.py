@@ -3,7 +3,7 @@
 Filters of several widths slide over the bytes of fixed-length windows; each filter's greatest answer in a window goes
 through a softmax layer. As the input is one byte of 256, a filter is a table of a weight for each byte and place. The
 network is trained in numpy on windows of a bounded, hash-chosen sample of labelled documents, about PER_LANGUAGE of
-each language, WINDOWS_A_DOCUMENT windows of each. Prediction covers every window of a text; a document's score is the
+each language (fewer where that would be more than MOST_DOCUMENTS in all), WINDOWS_A_DOCUMENT windows of each. Prediction covers every window of a text; a document's score is the
 mean probability of its language over them, by their bytes.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; without any labelled document all are; a short
@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-PER_LANGUAGE, WINDOWS_A_DOCUMENT, MOST_LANGUAGES = 300, 4, 500
+PER_LANGUAGE, WINDOWS_A_DOCUMENT, MOST_DOCUMENTS = 300, 4, 60_000
+#: The table of languages is broadcast only up to so many.
+BROADCAST_LANGUAGES = 10_000
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 #: Windows that go through the network at once.
 AT_ONCE = 128
@@ -123,24 +125,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train_network(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNetwork:
-    """A network from labelled documents that aren't held out; the sample is about per_language documents of each language."""
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    """A network from labelled documents that aren't held out; the sample is about per_language documents of each language, MOST_DOCUMENTS in all."""
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).withColumn("_of", F.col("lang"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("_of").count().collect()}
     languages = sorted(counts)
     if not languages:
         return ByteNetwork([])
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))]), F.col("lang"))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)).where(F.col("text").isNotNull())
+    per_language = max(1, min(per_language, MOST_DOCUMENTS // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "_of string, _share double")
+    known = labelled.select("doc_id", "text", "lang", "_of").join(F.broadcast(shares) if len(languages) <= BROADCAST_LANGUAGES else shares, "_of")
+    chosen = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 20)) < F.col("_share") * (1 << 20)).where(F.col("text").isNotNull())
     last = F.greatest(F.length("text") - WINDOW, F.lit(0))
     spots = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_A_DOCUMENT - 1)), lambda i: F.substr("text", (F.lit(1) + last * i / max(1, WINDOWS_A_DOCUMENT - 1)).cast("int"), F.lit(WINDOW)))
-    rows = chosen.select("lang", F.array_distinct(spots).alias("spots")).limit(4 * per_language * len(languages)).collect()
+    rows = chosen.select("lang", F.array_distinct(spots).alias("spots")).limit(4 * max(per_language * len(languages), MOST_DOCUMENTS // 4)).collect()
     texts = sorted((r["lang"], t) for r in rows for t in r["spots"] if LETTER.search(t))
     if not texts:
         return ByteNetwork([])
     x = np.stack([np.frombuffer(t.encode("utf-8", "surrogatepass")[:WINDOW].ljust(WINDOW, b"\0"), np.uint8) for _, t in texts])
-    return ByteNetwork(languages).train(x, np.array([languages.index(g) for g, _ in texts]))
+    place = {g: i for i, g in enumerate(languages)}
+    return ByteNetwork(languages).train(x, np.array([place[g] for g, _ in texts]))
 
 
 def predict_languages(docs: DataFrame, network: ByteNetwork) -> DataFrame:
