@@ -5,6 +5,7 @@ group: it scores all its pairs by a matrix product. Each pass counts, per query,
 equal bins; the sums over all cells show in which bin the k-th greatest score lies, which becomes the next range. When
 every range is a single value, a last pass keeps what reaches it, with ties to the smaller id.
 
+Equal rows are collapsed before they are dealt, to k copies at most, so a row repeated very often is no large cell.
 A cell sends only the counts of its own k greatest scores of the range: no lower one can be the k-th of all.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part; only vectors of equal length
@@ -102,7 +103,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     def spread(of: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
 
-    candidates = rows.select(F.col("dim").alias("c_dim"), spread(query_blocks).alias("c_query_block"), block(blocks, "vec_id", "embedding").alias("c_block"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"))
+    once = rows.groupBy("dim", "vec_id", "embedding").agg(F.count(F.lit(1)).alias("copies"))  # more than k copies of a row can't rank
+    once = once.select("dim", "vec_id", "embedding", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    candidates = once.select(F.col("dim").alias("c_dim"), spread(query_blocks).alias("c_query_block"), block(blocks, "vec_id", "embedding").alias("c_block"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"))
     least = rows.where("is_query").groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("v"))
     queries = materialize(least.select("vec_id", "v.dim", "v.embedding"), "queries")
     reach = F.aggregate(F.transform("embedding", size), F.lit(0.0), lambda a, x: a + x) * F.lit(float(most)) + 1
