@@ -11,7 +11,7 @@ Edge cases: a null text counts as an empty one, whose only term is the empty one
 zero; the successor of the last document is the first, of a single one itself; rows with equal doc_id have the same
 successor, of the next greater doc_id the row whose text has the least SHA-256; a null doc_id comes first, and its rows,
 however many, stay where they are; repeated rows give a row each; an empty table gives an empty result; other columns are
-ignored. Votes of 2**32 or more in one task's copies of a text raise an error.
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 MOST_WEIGHT = 16
 #: Two counters of 32 bits share a long.
 PAIR = 0x100000001
-MOST_VOTES = 2**32 - 1
+#: Rows of an id with more than this part of all are dealt over several tasks.
+HOT = 1000
 
 
 def block_tables() -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
@@ -47,20 +48,34 @@ def successors(ids: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame) -> list[DataFrame]:
-    """id, text, text_hash, edited, n_chars, next_id of the rows with an id, and, if there are any, of those without. edited: the last quarter of text is replaced by the beginning of the next text."""
+    """id, text, text_hash, edited, n_chars, next_id of the rows with an id, and, if there are any, of those without. edited: the last quarter of text is replaced by the beginning of the next text.
+
+    Texts move once, by id and a part of it: the rows of an id that has more than 1 / HOT of all rows are dealt over several
+    parts. Only the beginnings that are asked for move a second time.
+    """
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("text_hash"))
-    needs = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
-    wanted = successors(needs).select(F.col("next_id").alias("of"), F.col("id").alias("by"), "next_id", "need")
-    named, nameless = rows.where("id IS NOT NULL"), rows.where("id IS NULL")
-    earlier = F.lag(F.lit(True)).over(Window.partitionBy("id").orderBy("text_hash"))  # a limit on row_number would keep Spark from reusing the exchange of texts
-    one = named.withColumn("earlier", earlier).where("earlier IS NULL").select("id", "text")
-    heads = one.join(wanted.where("by IS NOT NULL"), one["id"] == wanted["of"]).select("by", "next_id", F.expr("left(text, need)").alias("head"))
+    needs = materialize(rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"), F.count(F.lit(1)).alias("n")), "needs")
+    wanted = materialize(successors(needs).select(F.col("next_id").alias("of"), F.col("id").alias("by"), "next_id", "need"), "wanted")
+    many = needs.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(needs.where((F.col("n") > 1) & F.col("id").isNotNull() & (F.col("n") * HOT > many)).select(F.col("id").alias("hot_id"), F.ceil(F.col("n") * HOT / F.lit(max(1, many))).cast("int").alias("parts")))  # HOT rows at most
+    named = rows.where("id IS NOT NULL").join(hot, F.col("id") == F.col("hot_id"), "left")
+    named = named.select("id", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")).alias("part"), "text", "text_hash")
+    nameless = rows.where("id IS NULL")
+
+    def dealt(links: DataFrame, key: str) -> DataFrame:
+        """links with a row for each part of the id in key."""
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("of_part")
+        return links.join(hot, links[key] == F.col("hot_id"), "left").select(*links.columns, parts)
+
+    asked = dealt(wanted.where("by IS NOT NULL AND of IS NOT NULL"), "of")
+    begun = named.join(asked, (named["id"] == asked["of"]) & (named["part"] == asked["of_part"]))
+    heads = begun.groupBy("by", "next_id").agg(F.min_by(F.expr("left(text, need)"), F.col("text_hash")).alias("head"))
 
     def head_of(link) -> DataFrame:
         """by, next_id, head: one row, for a link from or to rows without an id, which are too many to be joined by it."""
-        least = rows.where(rows["id"].eqNullSafe(F.lit(link["of"]))).agg(F.min_by("text", "text_hash").alias("whole"))
-        return least.select(F.lit(link["by"]).cast("long").alias("by"), F.lit(link["of"]).cast("long").alias("next_id"), F.left("whole", F.lit(link["need"])).alias("head"))
+        least = rows.where(rows["id"].eqNullSafe(F.lit(link["of"]))).agg(F.min_by(F.left("text", F.lit(link["need"])), "text_hash").alias("head"))
+        return least.select(F.lit(link["by"]).cast("long").alias("by"), F.lit(link["of"]).cast("long").alias("next_id"), "head")
 
     for link in wanted.where("by IS NOT NULL AND of IS NULL").collect():  # the last id, or none
         heads = heads.union(head_of(link))
@@ -70,7 +85,8 @@ def with_edited(docs: DataFrame) -> list[DataFrame]:
         both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("_quarter", quarter)
         return both.select("id", "text", "text_hash", F.expr("concat(left(text, cast(n_chars as int) - _quarter), left(head, _quarter))").alias("edited"), "n_chars", "next_id")
 
-    parts = [edited(named.join(heads, named["id"] == heads["by"]))]
+    heads = dealt(heads, "by")
+    parts = [edited(named.join(heads, (named["id"] == heads["by"]) & (named["part"] == heads["of_part"])))]
     for link in wanted.where("by IS NULL").collect():  # the null id, or none
         head = head_of(link)
         parts.append(edited(nameless.join(F.broadcast(head), nameless["id"].eqNullSafe(head["by"]))))
@@ -96,13 +112,13 @@ def voted() -> Column:
 def text_fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, fp, copies: the fingerprint of each group of rows with equal keys, which must have equal texts; copies: its rows.
 
-    Votes of equal texts add up to the same majorities. A row's terms are counted where the row lies, together with those
-    of its copies in the same task only, whose votes are fewer than the task's bytes.
+    Votes of equal texts are equal. A row's terms are counted by themselves where the row lies: its votes are fewer than its characters, so 32 bits hold them.
     """
-    terms = rows.withColumn("_task", F.spark_partition_id()).select("_task", *keys, F.posexplode(F.split(F.lower(text), SPACE)).alias("at", "term"))
+    terms = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keys, F.split(F.lower(text), SPACE).alias("terms"))
+    terms = terms.select("_row", *keys, F.explode("terms").alias("term"))
     weight = F.least(F.length("term"), F.lit(MOST_WEIGHT)).cast("long")
-    summed = terms.select("_task", *keys, "at", weight.alias("w"), F.xxhash64("term").alias("h")).groupBy("_task", *keys).agg(*votes(F.col("w"), F.col("h")), F.sum((F.col("at") == 0).cast("long")).alias("copies"))
-    return summed.select(*keys, F.when(F.col("total") > MOST_VOTES, F.raise_error(F.lit("too many votes for one text"))).otherwise(voted()).alias("fp"), "copies")
+    summed = terms.select("_row", *keys, weight.alias("w"), F.xxhash64("term").alias("h")).groupBy("_row", *keys).agg(*votes(F.col("w"), F.col("h")))
+    return summed.select(*keys, voted().alias("fp"), F.lit(1).cast("long").alias("copies"))
 
 
 def hex16(fp: Column) -> Column:
