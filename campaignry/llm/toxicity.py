@@ -230,7 +230,8 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for toxic, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         share = F.when(F.col("toxic") == toxic, F.lit(min(1.0, most / max(1, there.get(toxic, 0))))).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64("of", F.lit(23)), F.lit(1 << 20)) < share * (1 << 20)).limit(2 * (MOST_TOXIC + MOST_CLEAN))
-    return docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), docs["doc_id"] == chosen["of"]).select("toxic", "text").distinct()
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["of"]).select("toxic", "text").distinct()
 
 
 def word_evidence(sample: DataFrame) -> DataFrame:
