@@ -33,8 +33,8 @@ LONGEST, LEAST, REPORT = 4, 30, 2000
 #: A phrase goes if a longer one has this share of its occurrences: 80 of 100.
 SHARE = (80, 100)
 SCALE = 2_000_000
-#: Bytes of text for each cell of a row of counters.
-BYTES_A_CELL = 64
+#: Rows of counters for each length, and bytes of text for each cell of a row. A rare phrase shares a cell with a frequent one now and then, but seldom in both rows.
+DEPTH, BYTES_A_CELL = 2, 128
 #: Words of a chunk, candidates of a block of slots, and bytes of the keys that mappers hold at once.
 CHUNK, KEYS, GROUP_BYTES = 1 << 18, 1 << 16, 96 << 20
 #: Bytes of a piece that are split into words at once.
@@ -91,8 +91,9 @@ def longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     return perfect_hash.mixed(prefix, 77) ^ word
 
 
-def cell_of(h: np.ndarray, width: int) -> np.ndarray:
-    return (h & np.uint64(width - 1)).astype(np.int64)
+def cells_of(h: np.ndarray, width: int) -> list[np.ndarray]:
+    """The cell of each hash in each of the DEPTH rows of its length."""
+    return [((h >> np.uint64(32 * d)) & np.uint64(width - 1)).astype(np.int64) for d in range(DEPTH)]
 
 
 class Phrases:
@@ -115,7 +116,10 @@ class Phrases:
         self.hash, self.count, self.words, self.alive = [], [], [], []
 
         def found(h: np.ndarray, count: np.ndarray, places: np.ndarray) -> np.ndarray:
-            live = reaches(bits[len(self.hash)], cell_of(h, width)) if bits is not None else np.ones(len(h), bool)
+            live = np.ones(len(h), bool)
+            if bits is not None:
+                for row, slots in enumerate(cells_of(h, width), DEPTH * len(self.hash)):
+                    live &= reaches(bits[row], slots)
             self.hash.append(h)
             self.count.append(count)
             self.words.append(places)
@@ -167,22 +171,23 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def possible_phrases(docs: DataFrame, width: int, least: int) -> np.ndarray:
-    """Bits of the cells that reach least, a row for each length."""
+    """Bits of the cells that reach least, DEPTH rows for each length."""
 
     def run(batches):
         import pyarrow as pa
 
-        counters = Counters(LONGEST, width)
+        counters = Counters(DEPTH * LONGEST, width)
         for batch in batches:
             for lang, texts in by_language(batch, 0, 1):
                 for words, again in chunks(texts):
                     found = Phrases(words, again, lang)
                     for i, (h, n) in enumerate(zip(found.hash, found.count)):
-                        counters.add(i, cell_of(h, width), n)
+                        for row, slots in enumerate(cells_of(h, width), DEPTH * i):
+                            counters.add(row, slots, n)
         for block, cells in counters.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([cells], pa.binary())], names=["block", "cells"])
 
-    return summed_bits(docs.mapInArrow(run, "block long, cells binary"), LONGEST, width, min(least, MOST))
+    return summed_bits(docs.mapInArrow(run, "block long, cells binary"), DEPTH * LONGEST, width, min(least, MOST))
 
 
 def candidates(docs: DataFrame, bits, width: int) -> DataFrame:

@@ -6,7 +6,6 @@ cell stays under a least count has fewer occurrences for certain.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +39,12 @@ class Counters:
         here[distinct] = np.minimum(here[distinct] + np.bincount(at, counts, len(distinct)), MOST).astype(np.uint8)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
+        import zstandard
+
+        packed = zstandard.ZstdCompressor(level=5)
         flat = self.cells.reshape(-1, BLOCK)
         for i in np.flatnonzero(flat.any(axis=1)).tolist():
-            yield i, zlib.compress(flat[i].tobytes(), 1)
+            yield i, packed.compress(flat[i].tobytes())
 
 
 def summed_bits(blocks: DataFrame, rows: int, width: int, least: int) -> np.ndarray:
@@ -50,11 +52,13 @@ def summed_bits(blocks: DataFrame, rows: int, width: int, least: int) -> np.ndar
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
+        unpacked = zstandard.ZstdDecompressor()
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                here = np.frombuffer(zlib.decompress(cells), np.uint8).astype(np.uint16)
+                here = np.frombuffer(unpacked.decompress(cells), np.uint8).astype(np.uint16)
                 held[block] = np.minimum(held[block] + here, MOST).astype(np.uint8) if block in held else here.astype(np.uint8)
         for block, cells in held.items():
             if (bits := cells >= least).any():
