@@ -47,13 +47,16 @@ def offers_dollar(s: SparkSession, d: str) -> DataFrame:
 
 
 def offers_semantic(s: SparkSession, d: str) -> DataFrame:
-    """Documents and which kinds of offer without a number they state."""
-    return _table(s, d, "documents").select("doc_id", *[F.col("text").rlike(p).alias(k) for k, p in R.OFFER_SEMANTIC])
+    """Documents and which kinds of offer without a number they state, by the full rules: standing policies, denials and what lies beyond the window don't count."""
+    empty = F.lit(None).cast("string")
+    rows = O.with_offers(_table(s, d, "documents").select("doc_id", "text"), empty, empty, F.col("text"))
+    kinds = F.transform("offers", lambda o: o["type"])
+    return rows.select("doc_id", *[F.array_contains(kinds, k).alias(k) for k, _ in R.OFFER_SEMANTIC])
 
 
 def offers_semantic_plain(s: SparkSession, d: str) -> DataFrame:
-    """The kinds of which RE2 can state the pattern."""
-    return offers_semantic(s, d).drop("gift")
+    """Whether a document has the plain wording of each kind, of those whose pattern RE2 can state."""
+    return _table(s, d, "documents").select("doc_id", *[F.col("text").rlike(p).alias(k) for k, p in R.OFFER_SEMANTIC if k != "gift"])
 
 
 def scope_classify(s: SparkSession, d: str) -> DataFrame:

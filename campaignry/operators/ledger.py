@@ -11,6 +11,7 @@ from ..functions import rules as R
 from ..functions import safe_rules
 from ..functions.privacy import sanitized
 from ..functions.safe import safe_text
+from ..shared import kept, numbered
 
 
 def bind_coverage(census: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -187,21 +188,39 @@ def within_budget(items: DataFrame, most: int = R.GALLERY_BYTES) -> DataFrame:
     """The items (brand, place, bytes, ...) that fit into a budget of bytes in all.
 
     Brands come by name in lower case, items by place; an item that no longer fits ends its brand, and later brands may
-    still fit. The sum depends on the order, so one row of a few numbers for each item is folded in one task; items are
-    the newest ones of each brand (newest_items), so they don't grow with the messages.
+    still fit. Up to the first item that doesn't fit, sums by ranges decide. What is left of the budget then only shrinks, so
+    of the rest only brands whose first item fits into it are looked at, one after the other, with two numbers as state.
     """
-    line = F.struct(F.lower("brand").alias("key"), F.col("brand").alias("brand"), F.col("place").cast("long").alias("place"), F.col("bytes").cast("long").alias("bytes"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("string").alias("ended"), F.array().cast("array<struct<brand:string,place:bigint>>").alias("kept"))
-
-    def step(state: Column, item: Column) -> Column:
-        over = state["total"] + item["bytes"] > most
-        done = F.coalesce(state["ended"] == item["brand"], F.lit(False))
-        added = F.struct((state["total"] + item["bytes"]).alias("total"), state["ended"].alias("ended"), F.array_append(state["kept"], F.struct(item["brand"].alias("brand"), item["place"].alias("place"))).alias("kept"))
-        ended = F.struct(state["total"].alias("total"), item["brand"].alias("ended"), state["kept"].alias("kept"))
-        return F.when(done, state).when(over, ended).otherwise(added)
-
-    kept = items.agg(F.array_sort(F.collect_list(line)).alias("all")).select(F.inline(F.aggregate("all", start, step)["kept"]))
-    return items.join(kept, ["brand", "place"], "left_semi")
+    line = items.select(F.lower("brand").alias("key"), "brand", F.col("place").cast("long").alias("place"), F.col("bytes").cast("long").alias("bytes"))
+    rows, _ = numbered(line.repartitionByRange("key", "brand", "place").sortWithinPartitions("key", "brand", "place"), 0, "at")
+    cuts = F.floor(F.col("at") / 10_000)  # sums go through a window of one row for each so many items
+    sums = rows.groupBy(cuts.alias("cut")).agg(F.sum("bytes").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("bytes").over(Window.partitionBy("cut").orderBy("at"))
+    summed = kept(rows.withColumn("cut", cuts).withColumn("within", within).join(sums.select("cut", before.alias("before")), "cut").withColumn("total", F.col("before") + F.col("within")), "summed")
+    over = summed.where(F.col("total") > most).agg(F.min("at").alias("at"), F.min_by("brand", "at").alias("brand")).first()
+    first = summed.where(F.col("at") < over["at"]) if over["at"] is not None else summed
+    names = ["brand", "place"]
+    if over["at"] is None:
+        return items.join(first.select(*names), names, "left_semi")
+    left = most - (first.agg(F.max("total")).first()[0] or 0)
+    later = summed.where((F.col("at") > over["at"]) & ~F.col("brand").eqNullSafe(F.lit(over["brand"])))
+    openings = later.groupBy("brand").agg(F.min_by("bytes", "at").alias("opening")).where(F.col("opening") <= left).select("brand")
+    rest = later.join(openings, "brand", "left_semi").select("at", "brand", "place", "bytes").coalesce(1).sortWithinPartitions("at")
+
+    def fill(batches):
+        room, ended = left, None
+        for batch in batches:
+            fits = []
+            for r in batch.itertuples(index=False):
+                if r.brand != ended and r.bytes > room:
+                    ended = r.brand
+                fits.append(r.brand != ended)
+                room -= r.bytes if fits[-1] else 0
+            yield batch[fits][names]
+
+    more = rest.mapInPandas(fill, "brand string, place long")
+    return items.join(first.select(*names).union(more), names, "left_semi")
 
 
 def running_ids(*lists: Column) -> Column:

@@ -155,11 +155,15 @@ _STORES: dict[tuple, str] = {}
 
 
 def stored_once(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
-    """made(), from a table that is written once for each session, name and state of the message tables under sf_dir."""
+    """made(), from a table that is written once for each session, name and state of the files (path, size, time) of the message tables under sf_dir."""
     state = []
     for table in ("lineitem", "part"):
         fs, path = hadoop(spark, f"{sf_dir}/{table}.parquet")
-        state += [fs.getFileStatus(path).getModificationTime(), fs.getFileStatus(path).getLen()]
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            file = files.next()
+            state.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    state.sort()
     key = (spark.sparkContext.applicationId, sf_dir, name, *state)
     if key not in _STORES:
         _STORES[key] = written(made(), name)

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from .functions import rules as R
 from .functions import text as X
 from .operators import census, dedupe, resend
-from .plans.demo import demo_census
 from .plans.messages import TEMPLATES, analyzed, messages, spread, stored_once
-from .sources.mail import visible_pages
+from .functions.html import visible_text
 
 
 def q(text: str) -> str:
@@ -221,18 +220,17 @@ QUERIES = {
     "dedupe_merged": lambda s, d: resend.merged(_records(s, d), _assigned(s, d)),
     "dedupe_report_full": lambda s, d: resend.report(_records(s, d), _assigned(s, d)),
     "dedupe_report": lambda s, d: dedupe.report(messages(s, d), dedupe.first_of(messages(s, d), "message_id")),
-    "content_hash": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang")).alias("content_hash")),
+    "content_hash": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("content_hash")),
     "content_hash_documents": lambda s, d: _documents(s, d).select("doc_id", X.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("content_hash")),
     "normalize_domain": lambda s, d: _pages(s, d).select("page_id", X.normal_domain(F.col("url")).alias("domain")),
     "normalize_url": lambda s, d: _pages(s, d).select("page_id", X.normal_url(F.col("url")).alias("normal_url")),
     "redact_email_url": lambda s, d: _documents(s, d).select("doc_id", F.md5(X.redacted(F.col("text"))).alias("redacted_md5")),
     "strip_payload_lines": lambda s, d: _documents(s, d).select("doc_id", F.md5(X.without_payload_lines(F.col("text"))).alias("kept_md5")),
     "numeric_tokens": lambda s, d: _documents(s, d).select("doc_id", F.array_join(X.numeric_tokens(F.col("text")), " ").alias("numbers")),
-    "secret_scan": lambda s, d: secret_scan(_documents(s, d)),
+    "secret_scan_three_rules": lambda s, d: secret_scan(_documents(s, d)),
     "secret_scan_documents": lambda s, d: secret_scan_documents(_documents(s, d)),
-    "html_visible_text": lambda s, d: visible_pages(_pages(s, d)),
+    "html_visible_text": lambda s, d: _pages(s, d).select("page_id", visible_text(F.col("html")).alias("visible_text")),
     "capped_levels": capped_levels,
-    "demo_census": lambda s, d: demo_census(s),
 }
 
 
@@ -303,7 +301,7 @@ _RECURSIVE = MESSAGES.replace("WITH tpl", "WITH RECURSIVE tpl")
 ORACLE_SQL = {k: MESSAGES + v for k, v in _ORACLE.items()} | {
     "dedupe_l3_content": _RECURSIVE + _leaders_sql("brand, content_hash", r", x AS (SELECT * REPLACE (lower(brand) AS brand), sha256(trim(regexp_replace(lower(coalesce(subject, '') || chr(10) || coalesce(preheader, '') || chr(10) || coalesce(visible_text, '')), '\s+', ' ', 'g'))) AS content_hash FROM raw)", R.CONTENT_DAYS),
     "dedupe_l4_campaign": _RECURSIVE + _leaders_sql("brand, campaign_id", ", x AS (SELECT * REPLACE (lower(brand) AS brand) FROM raw WHERE campaign_id IS NOT NULL)", R.CAMPAIGN_DAYS),
-    "content_hash": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang)), '\s+', ' ', 'g'))) AS content_hash FROM documents",
+    "content_hash": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang, text)), '[\t\n\x0B\f\r ]+', ' ', 'g'))) AS content_hash FROM documents",
     "content_hash_documents": r"SELECT doc_id, sha256(trim(regexp_replace(lower(concat_ws(chr(10), source, lang, text)), '[\t\n\x0B\f\r ]+', ' ', 'g'))) AS content_hash FROM documents",
     "normalize_domain": r"SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)', 1), '^www\.', ''), '\.+$', '') AS domain FROM pages",
     "normalize_url": r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '[.,;:!?)]+$', ''), '#.*$', ''), '/+$', '') AS u FROM pages),
@@ -311,9 +309,8 @@ ORACLE_SQL = {k: MESSAGES + v for k, v in _ORACLE.items()} | {
     "redact_email_url": f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, {q(R.URL)}, '[url]', 'g'), {q(R.EMAIL)}, '[email]', 'g')) AS redacted_md5 FROM documents",
     "strip_payload_lines": r"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) < 1000 AND NOT regexp_matches(x, '^\s*[.#@]?[a-zA-Z0-9_, -]+\{[^}]*\}\s*$')), chr(10))) AS kept_md5 FROM documents",
     "numeric_tokens": r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '\$?\d[\d,]*(?:\.\d+)?%?'), lambda x: regexp_replace(x, '[$,]', '', 'g')), ' ') AS numbers FROM documents",
-    "secret_scan": rf"""WITH h AS (SELECT doc_id, 'address' AS rule, unnest(regexp_extract_all(text, {q(R.EMAIL)})) AS hit FROM documents
+    "secret_scan_three_rules": rf"""WITH h AS (SELECT doc_id, 'address' AS rule, unnest(regexp_extract_all(text, {q(R.EMAIL)})) AS hit FROM documents
         UNION ALL SELECT doc_id, 'hex_token', unnest(regexp_extract_all(text, '\b[0-9a-f]{{40}}\b')) FROM documents UNION ALL SELECT doc_id, 'long_number', unnest(regexp_extract_all(text, '\b[0-9]{{16}}\b')) FROM documents)
         SELECT doc_id, rule, count(*) AS matches, min(substr(sha256(hit), 1, 16)) AS first_hash FROM h GROUP BY 1, 2""",
     "capped_levels": "WITH c AS (SELECT event_type AS level, count(*) AS n FROM events GROUP BY 1), k AS (SELECT *, floor(sum(n) OVER () / 3)::BIGINT AS cap, coalesce(sum(n) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM c) SELECT level, n, greatest(0, least(n, cap - prior))::BIGINT AS capped FROM k",
-    "demo_census": "SELECT CASE WHEN i < 580 THEN 'Evergreen content' WHEN i < 1071 THEN 'Everyday promotion' WHEN i < 1210 THEN 'Seasonal promotion' ELSE 'Seasonal content' END AS quadrant, count(*) AS messages, count(DISTINCT i % 10) AS brands, count(DISTINCT (i * 37) % 365) AS days FROM range(1260) r(i) GROUP BY 1",
 }

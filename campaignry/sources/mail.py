@@ -284,13 +284,3 @@ def records_and_failures(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The messages that were parsed, and a ledger of those that were not: source_type, source_uid, error_code, brand."""
     bad = messages.where("error IS NOT NULL").select(F.lit("mbox").alias("source_type"), "source_uid", F.col("error").alias("error_code"), F.lit("Unassigned").alias("brand"))
     return messages.where("error IS NULL").drop("error"), bad
-
-
-def visible_pages(pages: DataFrame) -> DataFrame:
-    """page_id and visible text of HTML pages."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "visible_text": b["html"].map(html_text)})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, visible_text string")

@@ -25,7 +25,7 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v.isoformat()[:10] if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", ["brand_rollup", "cross_foot", "library_latest", "seasonality_evidence", "quadrant_census", "coverage_table", "brand_posture", "findings", "weekly_activity", "dedupe_l3_content", "secret_scan", "normalize_url", "demo_census"])
+@pytest.mark.parametrize("name", ["brand_rollup", "cross_foot", "library_latest", "seasonality_evidence", "quadrant_census", "coverage_table", "brand_posture", "findings", "weekly_activity", "dedupe_l3_content", "secret_scan_three_rules", "normalize_url"])
 def test_equals_duckdb(spark, duck, name):
     df = C.QUERIES[name](spark, SF)
     found = duck.execute(C.ORACLE_SQL[name])
