@@ -1,13 +1,13 @@
 """Mining of phrase collocations by counting on a minimal perfect hash.
 
-Three passes read the texts. The first sums phrases of 1 to 4 words into count-min counters, which never underestimate.
-The second gathers the candidates: phrases whose own cell and, by Apriori, those of all their parts reach the least
-frequency. A minimal perfect hash gives each candidate a slot, with the candidate stored there. In the third pass mappers look up the phrases
-of their texts, verify the stored key and bincount into numpy arrays, which are summed by block of slots. The parts of
+Four passes read the texts. The first sums words and pairs into count-min counters, which never underestimate, the second
+phrases of 3 and 4 words all of whose pairs may reach the least frequency. The third gathers the candidates: phrases whose own
+cell and, by Apriori, those of all their parts reach it. A minimal perfect hash gives each candidate a slot, with the
+candidate stored there. In the fourth pass mappers look up the phrases of their texts, verify the stored key and bincount into numpy arrays, which are summed by block of slots. The parts of
 each frequent phrase are then looked up again, and their counts read by slot, to score its cuts.
 
 What mappers hold is bounded: counters have at most sketch.MOST_WIDTH cells a row, and slots come in groups of
-GROUP_BYTES of stored keys; more candidates mean more runs of the third pass.
+GROUP_BYTES of stored keys; more candidates mean more runs of the fourth pass.
 
 Edge cases: a null text counts as an empty one, a null language as `und`; words of the least frequency or more that no
 phrase has are counted, but not returned; repeated rows count each; a very long text is split in parts that share three words,
@@ -34,7 +34,9 @@ LONGEST, LEAST, REPORT = 4, 30, 2000
 SHARE = (80, 100)
 SCALE = 2_000_000
 #: Rows of counters for each length, and bytes of text for each cell of a row. A rare phrase shares a cell with a frequent one now and then, but seldom in both rows.
-DEPTH, BYTES_A_CELL = 2, 128
+DEPTH, BYTES_A_CELL = 2, 64
+#: Lengths of phrases that each pass over the texts sums.
+STEPS = ((1, 2), (3, 4))
 #: Words of a chunk, candidates of a block of slots, and bytes of the keys that mappers hold at once.
 CHUNK, KEYS, GROUP_BYTES = 1 << 18, 1 << 16, 96 << 20
 #: Bytes of a piece that are split into words at once.
@@ -43,6 +45,8 @@ BREAK = b"\n"
 #: A to Z in lower case; what divides pieces is a line feed, what divides words a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 SALTS = 64
+#: Distinct candidates that a task holds before it sends them.
+HELD = 600_000
 BLOCK_ROW = "block long, sizes array<long>, bits binary, keys binary, ends binary, bytes long"
 
 
@@ -99,10 +103,10 @@ def cells_of(h: np.ndarray, width: int) -> list[np.ndarray]:
 class Phrases:
     """The distinct phrases of a chunk by length: hash, count, and the places of their words in dictionary.
 
-    With bits of counters only those phrases are here whose own cell and those of all parts reach the least frequency.
+    With bits of counters, of the shorter lengths or all, only those phrases are here whose own cell and those of all parts reach the least frequency.
     """
 
-    def __init__(self, words: list[bytes], again: int, lang: str, bits: np.ndarray | None = None, width: int = 0):
+    def __init__(self, words: list[bytes], again: int, lang: str, bits: np.ndarray | None = None, width: int = 0, longest: int = LONGEST):
         import pyarrow as pa
 
         coded = pa.array(words, pa.binary()).dictionary_encode()
@@ -117,7 +121,7 @@ class Phrases:
 
         def found(h: np.ndarray, count: np.ndarray, places: np.ndarray) -> np.ndarray:
             live = np.ones(len(h), bool)
-            if bits is not None:
+            if bits is not None and DEPTH * len(self.hash) < len(bits):
                 for row, slots in enumerate(cells_of(h, width), DEPTH * len(self.hash)):
                     live &= reaches(bits[row], slots)
             self.hash.append(h)
@@ -129,7 +133,7 @@ class Phrases:
         h = word_hashes(distinct, lang)
         live = found(h, np.bincount(code[sound & counted], minlength=many), np.arange(many)[:, None])
         at = np.where(sound & live[code], code, -1)  # number of the phrase that begins here, of the length before
-        for n in range(2, LONGEST + 1):
+        for n in range(2, longest + 1):
             starts = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
             number, key = pd.factorize(at[starts] * many + code[starts + n - 1])
             prefix, last = np.divmod(key, many)
@@ -172,38 +176,83 @@ def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
 
 def possible_phrases(docs: DataFrame, width: int, least: int) -> np.ndarray:
     """Bits of the cells that reach least, DEPTH rows for each length."""
+    spark, bits = docs.sparkSession, np.zeros((0, width // 8), np.uint8)
+    for lengths in STEPS:
+        shorter = spark.sparkContext.broadcast(bits)
 
-    def run(batches):
-        import pyarrow as pa
+        def run(batches, lengths=lengths, shorter=shorter):
+            import pyarrow as pa
 
-        counters = Counters(DEPTH * LONGEST, width)
-        for batch in batches:
-            for lang, texts in by_language(batch, 0, 1):
-                for words, again in chunks(texts):
-                    found = Phrases(words, again, lang)
-                    for i, (h, n) in enumerate(zip(found.hash, found.count)):
-                        for row, slots in enumerate(cells_of(h, width), DEPTH * i):
-                            counters.add(row, slots, n)
-        for block, cells in counters.blocks():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([cells], pa.binary())], names=["block", "cells"])
+            counters = Counters(DEPTH * len(lengths), width)
+            for batch in batches:
+                for lang, texts in by_language(batch, 0, 1):
+                    for words, again in chunks(texts):
+                        found = Phrases(words, again, lang, shorter.value, width, lengths[-1])
+                        for i, n in enumerate(lengths):
+                            which = found.alive[n - 1]
+                            for row, slots in enumerate(cells_of(found.hash[n - 1][which], width), DEPTH * i):
+                                counters.add(row, slots, found.count[n - 1][which])
+            for block, cells in counters.blocks():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([cells], pa.binary())], names=["block", "cells"])
+
+        bits = np.concatenate((bits, summed_bits(docs.mapInArrow(run, "block long, cells binary"), DEPTH * len(lengths), width, min(least, MOST))))
+        shorter.unpersist()
+    return bits
+
+
+def packed(keys: list[bytes]) -> bytes:
+    """Sorted keys as one compressed string: how many, their ends, and themselves."""
+    import zstandard
+
+    ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=6).compress(np.int64(len(keys)).tobytes() + ends.tobytes() + b"".join(keys))
 
-    return summed_bits(docs.mapInArrow(run, "block long, cells binary"), DEPTH * LONGEST, width, min(least, MOST))
 
+def unpacked(data: bytes) -> list[bytes]:
+    import zstandard
 
-def candidates(docs: DataFrame, bits, width: int) -> DataFrame:
-    """key: the stored form of each candidate, once."""
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(whole, np.int64, 1)[0])
+    ends = np.frombuffer(whole, np.int64, n, 8).tolist()
+    body = whole[8 + 8 * n :]
+    return [body[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def candidates(docs: DataFrame, bits, width: int, parts: int) -> DataFrame:
+    """key: the stored form of each candidate, once. Each task sends what it has met, packed by parts of the hashes."""
 
     def run(batches):
         import pyarrow as pa
 
+        held: dict[int, set] = {}
+
+        def flush():
+            for part, keys in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([packed(sorted(keys))], pa.binary())], names=["part", "keys"])
+            held.clear()
+
         for batch in batches:
             for lang, texts in by_language(batch, 0, 1):
                 for words, again in chunks(texts):
                     found = Phrases(words, again, lang, bits.value, width)
                     for i, numbers in enumerate(found.alive):
-                        yield pa.RecordBatch.from_arrays([found.keys(i, numbers)], names=["key"])
+                        for part, key in zip(block_of(found.hash[i][numbers], parts).tolist(), found.keys(i, numbers).to_pylist()):
+                            held.setdefault(part, set()).add(key)
+                    if sum(map(len, held.values())) > HELD:
+                        yield from flush()
+        yield from flush()
+
+    def once(batches):
+        import pyarrow as pa
+
+        held: dict[int, set] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(part, set()).update(unpacked(data))
+        for keys in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.binary())], names=["key"])
 
-    return docs.mapInArrow(run, "key binary").distinct()
+    return docs.mapInArrow(run, "part long, keys binary").repartition("part").mapInArrow(once, "key binary")
 
 
 def stored_keys(keys: bytes, ends: bytes):
@@ -346,7 +395,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = REPORT) -> Dat
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     width = width_for(size / BYTES_A_CELL)
     bits = spark.sparkContext.broadcast(possible_phrases(rows, width, least))
-    keys = materialize(candidates(rows, bits, width), "candidates")
+    keys = materialize(candidates(rows, bits, width, min(1 << 16, max(64, size >> 26))), "candidates")
     blocks = max(1, -(-keys.count() // KEYS))
     hashed = materialize(hashed_blocks(keys, blocks), "perfect-hash")
     groups: list[list[int]] = [[]]
