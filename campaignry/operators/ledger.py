@@ -130,10 +130,57 @@ def synthetic_items(brands: DataFrame) -> DataFrame:
     return rows.select("brand", F.col("c.index").cast("long").alias("place"), F.coalesce(F.date_format("last_observed", "yyyy-MM-dd"), F.lit("")).alias("date"), F.concat(F.lit("Synthetic "), "c.name", F.lit(" preview")).alias("category"), F.sha2(F.concat("brand", F.lit("|"), F.col("c.index").cast("string")), 256).alias("seed"))
 
 
+def interval_cells(start: Column, end: Column) -> tuple[Column, Column]:
+    """The length class of a span, and the cells of that class's width that it lies in: two at most, so a long text is cut into many."""
+    size = F.ceil(F.log2(F.greatest(F.lit(1), end - start).cast("double"))).cast("int")
+    width = F.pow(F.lit(2), size).cast("long")
+    return size, F.array_distinct(F.array(F.floor(start / width), F.floor((F.greatest(end, start + 1) - 1) / width)))
+
+
 def uncovered_spans(tokens: DataFrame, claims: DataFrame, key: str) -> DataFrame:
-    """The spans (key, start, end) of tokens that no span of claims contains."""
-    cover = claims.select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    return tokens.join(cover, (tokens[key] == cover["_key"]) & (tokens["start"] >= cover["_start"]) & (tokens["end"] <= cover["_end"]), "left_anti")
+    """The spans (key, start, end) of tokens that no span of claims contains.
+
+    Claims lie in cells of their length's class; a token asks the cell of its start in each class that there is. In a cell,
+    in order of start, a token is covered if the greatest end so far reaches its own: no pair of token and claim is formed.
+    """
+    size, at = interval_cells(F.col("start"), F.col("end"))
+    spans = claims.select(F.col(key).alias("_key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where(F.col("_key").isNotNull()).withColumn("size", size).withColumn("cell", F.explode(at))
+    sizes = [r[0] for r in spans.select("size").distinct().collect()]  # 63 classes at most
+    asked = tokens.select(F.col(key).alias("_key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).where(F.col("_key").isNotNull()).distinct()
+    asked = asked.withColumn("size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("cell", F.floor(F.col("start") / F.pow(F.lit(2), F.col("size"))))
+    names = ["_key", "size", "cell", "start", "end"]
+    both = spans.select(*names, F.lit(0).alias("asks")).unionByName(asked.select(*names, F.lit(1).alias("asks")))
+    reach = F.max(F.when(F.col("asks") == 0, F.col("end"))).over(Window.partitionBy("_key", "size", "cell").orderBy("start", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    covered = both.withColumn("reach", reach).where((F.col("asks") == 1) & (F.col("reach") >= F.col("end"))).select("_key", F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
+    return tokens.join(covered, (tokens[key] == covered["_key"]) & (tokens["start"] == covered["_start"]) & (tokens["end"] == covered["_end"]), "left_anti")
+
+
+def contained_pairs(tokens: DataFrame, claims: DataFrame, key: str, claim: str) -> DataFrame:
+    """claim and token of every token inside a span of claims (key, start, end, claim); claims and tokens meet in cells of the claim's length."""
+    size, at = interval_cells(F.col("start"), F.col("end"))
+    spans = kept(claims.select(F.col(key).alias("_key"), claim, F.col("start").alias("_start"), F.col("end").alias("_end"), size.alias("size"), F.explode(at).alias("cell")), "spans")
+    sizes = [r[0] for r in spans.select("size").distinct().collect()]  # 63 classes at most
+    asked = tokens.select(F.col(key).alias("_key"), "start", "end", "token", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("size")).withColumn("cell", F.floor(F.col("start") / F.pow(F.lit(2), F.col("size"))))
+    met = asked.join(spans, ["_key", "size", "cell"]).where((F.col("_start") <= F.col("start")) & (F.col("end") <= F.col("_end")))
+    return met.select(claim, "start", "token")
+
+
+def bound_claims(tokens: DataFrame, claims: DataFrame, metrics: DataFrame, key: str) -> DataFrame:
+    """claim, metric, state of claims (key, claim, start, end, metric) against the frozen metrics (metric, token).
+
+    bound: a number in the claim is the token of its metric; stale: the metric is known but no number there is its token; missing: no number
+    stands there; unknown: the metric isn't frozen. A claim that names no metric is bound to the only metric of one of its
+    numbers, ambiguous if several metrics have them, unbound if none has.
+    """
+    pairs = contained_pairs(tokens, claims, key, "claim")
+    frozen = metrics.select(F.col("metric").alias("_metric"), F.col("token").alias("_token")).distinct()
+    of = pairs.join(frozen, F.col("token") == F.col("_token"), "left").groupBy("claim").agg(F.count("token").alias("numbers"), F.array_sort(F.collect_set("_metric")).alias("metrics"))  # of the numbers of one claim
+    known = frozen.select(F.col("_metric")).distinct()
+    rows = claims.select("claim", "metric").join(of, "claim", "left").join(known, F.col("metric") == F.col("_metric"), "left")
+    named = F.when(F.col("_metric").isNull(), "unknown").when(F.array_contains("metrics", F.col("metric")), "bound").otherwise("stale")
+    free = F.when(F.size("metrics") == 0, "unbound").when(F.size("metrics") == 1, "bound").otherwise("ambiguous")
+    state = F.when(F.coalesce("numbers", F.lit(0)) == 0, "missing").when(F.col("metric").isNotNull(), named).otherwise(free)
+    return rows.select("claim", F.coalesce("metric", F.when(free == "bound", F.get("metrics", F.lit(0)))).alias("metric"), state.alias("state"))
 
 
 def number_token(found: Column) -> Column:

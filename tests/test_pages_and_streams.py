@@ -116,3 +116,26 @@ def test_queries_equal_their_sql(spark, name):
 def test_incremental_dedupe_equals_the_whole(spark):
     got = sorted(map(tuple, catalog.QUERIES["incremental_dedupe"](spark, SF).collect()))
     assert got == sorted(map(tuple, catalog.QUERIES["dedupe_full"](spark, SF).collect())) and len(got) > 1000
+
+
+def test_spans_and_claims_equal_a_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    spans = lambda n, most: sorted({(rng.choice("ab"), s, s + rng.randrange(0, most)) for s in (rng.randrange(300) for _ in range(n))})
+    tokens = [(*x, str(rng.randrange(9))) for x in spans(120, 6)] + [(None, 1, 2, "1")]
+    claims = spans(40, 70)
+    t = spark.createDataFrame(tokens, "k string, start long, end long, token string")
+    c = spark.createDataFrame([(*x, i, rng.choice([None, "m0", "m1", "m9"])) for i, x in enumerate(claims)], "k string, start long, end long, claim long, metric string").cache()
+    inside = lambda x, y: x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2]
+    got = ledger.uncovered_spans(t, c, "k").select("k", "start", "end").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(x[:3]) for x in tokens if not any(inside(x, y) for y in claims))
+    frozen = [("m0", "0"), ("m1", "1"), ("m2", "2"), ("m3", "2")]
+    want = []
+    for r in c.collect():
+        here = {x[3] for x in tokens if inside(x, (r["k"], r["start"], r["end"]))}
+        named = sorted({m for m, v in frozen if v in here})
+        state = "missing" if not here else ("unknown" if r["metric"] == "m9" else "bound" if r["metric"] in named else "stale") if r["metric"] else ("unbound", "bound", "ambiguous")[min(2, len(named))]
+        want.append((r["claim"], r["metric"] or (named[0] if len(named) == 1 else None), state))
+    got = ledger.bound_claims(t, c, spark.createDataFrame(frozen, "metric string, token string"), "k").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len({w[2] for w in want}) == 6
