@@ -217,3 +217,37 @@ def hook_selection(df: DataFrame, priority: tuple[str, ...] = ()) -> DataFrame:
     counts = broadcasts(df).groupBy("brand", "quadrant").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("brand").agg(F.max(F.struct("n", "quadrant")).alias("top"))
     return first.join(top, "brand").select("brand", F.col("broadcast").alias("denominator"), F.col("top.quadrant").alias("quadrant"), F.col("top.n").alias("numerator"), F.round(F.col("top.n") * 100.0 / F.col("broadcast"), 1).alias("percent"))
+
+
+def reconciled(coverage: DataFrame, census: DataFrame) -> DataFrame:
+    """check, coverage, census (as text) and same for each column of coverage, a table of one row, against that of census; a column that census lacks is null there."""
+    told = lambda df, side: df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*[F.col(c).cast("string") for c in df.columns]))).alias("check", side))
+    both = told(coverage, "coverage").join(told(census.select(*[c for c in coverage.columns if c in census.columns]), "census"), "check", "left")
+    return both.select("check", "coverage", "census", F.col("coverage").eqNullSafe(F.col("census")).alias("same"))
+
+
+def _slug(name: str) -> str:
+    return name.lower().replace(" ", "_")
+
+
+def coverage_side(df: DataFrame, failures: DataFrame) -> DataFrame:
+    """What the source ledger says in all: counters, dates, quadrants, gate, in one row."""
+    total = coverage_table(df).where("brand = 'TOTAL'").select(F.col("messages").alias("distinct_messages"), F.col("broadcast").alias("qualified_broadcasts"), "lifecycle", "uncertain", F.col("first_day").alias("first_observed"), F.col("last_day").alias("last_observed"), "observed_days", *map(_slug, R.QUADRANTS))
+    counts = df.agg(F.count_distinct("message_id").alias("parsed_input")).join(failures.agg(F.count(F.lit(1)).alias("parse_failures")))
+    gate = early_gate(df).select(F.col("total").alias("gate_broadcasts"), F.col("passed").alias("gate_passed"))
+    brands = coverage_table(df).where("brand <> 'TOTAL'").agg(F.count(F.lit(1)).alias("brands"))
+    rows = total.join(counts).join(gate).join(brands)  # a row each
+    return rows.withColumns({"raw_fetched": F.col("parsed_input") + F.col("parse_failures"), "variants_collapsed": F.col("distinct_messages") - F.col("parsed_input")})
+
+
+def census_side(df: DataFrame, failures: DataFrame) -> DataFrame:
+    """The same from the census, each number on its own way through the data."""
+    pivot = lambda rows, key, names: rows.agg(*[F.max(F.when(F.col(key) == n, F.col("messages"))).alias(alias) for n, alias in names])
+    scopes = pivot(scope_counts(df), "scope", [(s, "qualified_broadcasts" if s == "broadcast" else s) for s in R.SCOPES])
+    quadrants = pivot(quadrant_census(df), "quadrant", [(q, _slug(q)) for q in R.QUADRANTS])
+    window = observed_window(df).select("first_observed", "last_observed", "observed_days")
+    rollup = brand_rollup(df).agg(F.sum("distinct_messages").alias("distinct_messages"), F.count(F.lit(1)).alias("brands"), F.sum("broadcast").alias("gate_broadcasts"), F.max(F.least(F.col("broadcast") / R.GATE_BRAND, F.col("observed_days") / R.GATE_DAYS)).alias("_near"))
+    ids = df.select("message_id").distinct().agg(F.count("message_id").alias("parsed_input")).join(failures.agg(F.count(F.lit(1)).alias("parse_failures")))
+    rows = scopes.join(quadrants).join(window).join(rollup).join(ids)  # a row each
+    passed = (F.col("gate_broadcasts") >= R.GATE_TOTAL) & (F.col("_near") >= 1)
+    return rows.withColumns({"gate_passed": passed, "raw_fetched": F.col("parsed_input") + F.col("parse_failures"), "variants_collapsed": F.col("distinct_messages") - F.col("parsed_input")}).drop("_near")
