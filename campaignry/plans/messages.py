@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import scoring as S
 from ..functions.offers import CANDIDATE, with_offers
+from ..functions.spots import searchable
 from ..functions.text import quadrant_of
-from ..shared import hadoop, kept, load_store, save_store, written
+from ..shared import hadoop, load_store, save_store, written
 
 LONG = "Every piece is measured twice and cut once by hand in a quiet room near the river. " * 6
 #: Subject, preheader and body; {p} is the part's name, {n} the line's percentage.
@@ -175,17 +176,25 @@ def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_once(spark, sf_dir, "classified", lambda: classified(messages(spark, sf_dir)))
 
 
+def analysis_rules() -> dict[str, Column]:
+    """Breaches that stop a save of classified messages: a broadcast without a quadrant, or one against its axes, and a number that no text supports."""
+    known = F.coalesce(F.col("quadrant").isin(*R.QUADRANTS), F.lit(False))
+    field = F.coalesce(*[F.when(F.col("primary.source") == n, searchable(F.coalesce(F.col(n), F.lit("")))) for n in S.FIELDS], F.lit(""))
+    numeric = F.col("primary.depth").isNotNull() & (F.col("primary.source") != "curated_export")
+    return {
+        "no quadrant": ~known, "a quadrant against its axes": known & (F.col("quadrant") != quadrant_of(F.col("offer"), F.col("seasonal"))),
+        "a depth that its field doesn't state": F.coalesce(numeric & ~F.contains(F.lower(field), F.lower("primary.evidence")), F.lit(False)),
+        "an offer without a kind": F.col("offer") != F.col("primary").isNotNull(),
+    }
+
+
 def reanalyzed(spark: SparkSession, root: str) -> DataFrame:
     """Classify all messages of the last save under root anew, and save them as its next version, which is returned.
 
-    What an earlier analysis added goes first. The store must have messages, and the quadrants of the new version must
-    add up to its broadcasts, else nothing is saved.
+    What an earlier analysis added goes first. The store must have messages; if one is lost on the way, or one breaks analysis_rules,
+    nothing is saved.
     """
     rows = load_store(spark, root)
     if rows is None or rows.isEmpty():
         raise ValueError(f"{root} has no messages")
-    made = kept(classified(rows.drop(*ANALYSIS)), "reanalyzed")
-    known = made.where(F.col("quadrant").isin(*R.QUADRANTS))
-    if known.count() != rows.count():
-        raise ValueError("messages were lost or have no quadrant")
-    return spark.read.parquet(save_store(made, root))
+    return spark.read.parquet(save_store(classified(rows.drop(*ANALYSIS)), root, rules=analysis_rules(), rows=rows.count()))

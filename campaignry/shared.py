@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,23 @@ def discard(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+class Unsound(ValueError):
+    """Rows that break a rule, or rows that were lost; nothing of them was published."""
+
+
+def write_sound(df: DataFrame, folder: str, rules: dict[str, Column] | None = None, by: tuple[str, ...] = (), rows: int | None = None) -> None:
+    """Write df into folder. Rows that break a rule (true is a breach) are counted by the writing itself; if there is one, or the rows are not so many, the folder goes again."""
+    seen = Observation(f"sound-{uuid.uuid4().hex}")
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(F.when(broken, 1)).alias(f"rule {name}") for name, broken in (rules or {}).items()])
+    (watched.write.partitionBy(*by) if by else watched.write).parquet(folder)
+    bad = [f"{n} rows with {k.removeprefix('rule ')}" for k, n in sorted(seen.get.items()) if k.startswith("rule ") and n]
+    bad += [f"{seen.get['rows']} rows instead of {rows}"] if rows is not None and seen.get["rows"] != rows else []
+    if bad:
+        fs, path = hadoop(df.sparkSession, folder)
+        fs.delete(path, True)
+        raise Unsound(", ".join(bad))
+
+
 def load_store(spark: SparkSession, root: str) -> DataFrame | None:
     """The rows of the last save under root, or None."""
     fs, root_path = hadoop(spark, root)
@@ -66,9 +83,11 @@ def load_store(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{max(done)}") if done else None
 
 
-def save_store(df: DataFrame, root: str, keep: int = 2) -> str:
+def save_store(df: DataFrame, root: str, keep: int = 2, rules: dict[str, Column] | None = None, rows: int | None = None) -> str:
     """Save df as the next version under root: written aside, then renamed in one step, so a failed save leaves the last one.
 
+    A row that breaks a rule, or a number of rows other than given, stops the save (see write_sound).
+
     Versions beyond the keep newest go; df may read from the last one.
     """
     fs, root_path = hadoop(df.sparkSession, root)
@@ -76,7 +95,7 @@ def save_store(df: DataFrame, root: str, keep: int = 2) -> str:
     names = sorted(s.getPath().getName() for s in fs.listStatus(root_path) if s.getPath().getName().startswith("v"))
     number = int(names[-1][1:]) + 1 if names else 1
     aside, final = f"{root}/.new-{uuid.uuid4().hex}", f"{root}/v{number:08}"
-    df.write.parquet(aside)
+    write_sound(df, aside, rules, rows=rows)
     if not fs.rename(hadoop(df.sparkSession, aside)[1], hadoop(df.sparkSession, final)[1]):
         raise RuntimeError(f"{final} is there already: another save came first")
     for old in [*names, f"v{number:08}"][:-keep]:

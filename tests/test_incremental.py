@@ -1,5 +1,6 @@
 """The incremental store against one deduplication of all rows, and faults at every step of its commits."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -126,3 +127,21 @@ def test_one_brand_with_one_content_every_day(spark):
     assert got.where("level = 'level_3_content'").count() == 200
     several = frame(spark, rows[:5]).withColumn("campaign_id", F.lit("c")).withColumn("content_hash", F.concat(F.lit("h"), F.pmod(F.substr("id", F.lit(3)).cast("int"), F.lit(2)).cast("string")))
     assert outcome(resend.deduplicated(several).collect()) == [("id0", "id0", ""), ("id1", "id0", "level_4_campaign"), ("id2", "id0", "level_3_content"), ("id3", "id0", "level_4_campaign"), ("id4", "id0", "level_4_campaign")]
+
+
+def test_an_unsound_analysis_is_not_saved(spark, tmp_path):
+    from campaignry import shared
+    from campaignry.plans import messages as M
+
+    root = f"file://{tmp_path}/classified"
+    primary = "primary struct<type: string, depth: double, source: string, evidence: string>"
+    one = [("Save 20% off", "Seasonal promotion", True, True, ("%off", 20.0, "subject", "20% OFF")), ("News", "Evergreen content", False, False, None), (None, "Everyday promotion", True, False, ("%off", 9.0, "curated_export", "")), ("A gift", "Everyday promotion", True, False, ("gift", None, "subject", "gift"))]
+    rows = spark.createDataFrame(one, f"subject string, quadrant string, offer boolean, seasonal boolean, {primary}").withColumns({"preheader": F.lit(None).cast("string"), "visible_text": F.lit("x")})
+    shared.save_store(rows, root, rules=M.analysis_rules(), rows=4)
+    broken = {"no quadrant": ("quadrant", F.lit(None).cast("string")), "against its axes": ("seasonal", ~F.col("seasonal")), "doesn't state": ("subject", F.when(F.col("primary.depth").isNull(), F.col("subject")).otherwise("x")), "without a kind": ("offer", F.lit(True))}
+    for said, (column, value) in broken.items():
+        with pytest.raises(shared.Unsound, match=said):
+            shared.save_store(rows.withColumn(column, value), root, rules=M.analysis_rules())
+    with pytest.raises(shared.Unsound, match="4 rows instead of 5"):
+        shared.save_store(rows, root, rows=5)
+    assert [p for p in os.listdir(tmp_path / "classified") if p.startswith(("v", ".new"))] == ["v00000001"]
