@@ -1,8 +1,9 @@
 """Leader windows: a time leads if it is more than a span after its key's last leader.
 
 Which times lead depends on the ones before, but the leader that would follow any time does not. So each time points to
-the first one beyond its span, and those that lead are what the first one reaches: pointers are doubled until none is
-left, in as many rounds as the logarithm of the leaders of a key. Times are cut into slots of one span, so no key is one task.
+the first one beyond its span, and those that lead are what the beginnings of runs reach, where a run ends at a gap of more than a span:
+pointers are doubled until none is left, in as many rounds as the logarithm of the leaders of a run. Times are cut into
+slots of one span, so no key is one task.
 """
 
 from __future__ import annotations
@@ -28,15 +29,22 @@ def followers(points: DataFrame, span: int) -> DataFrame:
     return found.join(ahead, ["key", "slot"]).select("key", "at", F.coalesce("next", "beyond").alias("next")).where("next IS NOT NULL")
 
 
+def marked(points: DataFrame, span: int) -> DataFrame:
+    """key, at, slot, starts of distinct points: a point more than span after the one before it leads, whatever came earlier."""
+    slotted = points.select("key", "at", F.floor(F.col("at") / span).alias("slot"))
+    before = slotted.groupBy("key", (F.col("slot") + 1).alias("slot")).agg(F.max("at").alias("last"))  # two slots earlier is too far anyway
+    inside = slotted.withColumn("prev", F.lag("at").over(Window.partitionBy("key", "slot").orderBy("at"))).join(before, ["key", "slot"], "left")
+    prev = F.coalesce("prev", "last")
+    return inside.select("key", "at", "slot", (prev.isNull() | (F.col("at") - prev > span)).alias("starts"))
+
+
 def leaders(points: DataFrame, span: int) -> DataFrame:
     """key, at, leader of distinct points (key, at), longs: the time that leads the window in which the point lies."""
-    points = kept(points, "points")
-    ends = points.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    short = F.col("last") - F.col("first") <= span  # one window holds the key
-    one = points.join(ends.where(short), "key").select("key", "at", F.col("first").alias("leader"))
-    chained = kept(points.join(ends.where(~short).select("key"), "key", "left_semi"), "chained")
-    jump = kept(followers(chained, span), "jumps")
-    reached = kept(chained.groupBy("key").agg(F.min("at").alias("at")), "leaders")
+    known = kept(marked(points, span), "points")
+    starts = known.where("starts").select("key", "at")
+    within = followers(known.select("key", "at"), span).join(starts.select("key", F.col("at").alias("next")), ["key", "next"], "left_anti")
+    jump = kept(within.select("key", "at", "next"), "jumps")
+    reached = starts
     while True:
         more = kept(reached.join(jump, ["key", "at"]).select("key", F.col("next").alias("at")), "leaders")
         if more.isEmpty():
@@ -45,9 +53,7 @@ def leaders(points: DataFrame, span: int) -> DataFrame:
         twice = jump.join(jump.select("key", F.col("at").alias("next"), F.col("next").alias("beyond")), ["key", "next"]).select("key", "at", F.col("beyond").alias("next"))
         jump, old = kept(twice, "jumps"), jump
         discard(old)
-    slot = F.floor(F.col("at") / span)
     led = reached.select("key", F.col("at").alias("leader")).withColumn("slot", F.explode(F.array(F.floor(F.col("leader") / span), F.floor(F.col("leader") / span) + 1)))
-    both = chained.select("key", slot.alias("slot"), "at", F.lit(None).cast("long").alias("leader")).union(led.select("key", "slot", F.col("leader").alias("at"), "leader"))
+    both = known.select("key", "slot", "at", F.lit(None).cast("long").alias("leader")).union(led.select("key", "slot", F.col("leader").alias("at"), "leader"))
     last = Window.partitionBy("key", "slot").orderBy("at", F.col("leader").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    known = both.withColumn("of", F.last("leader", ignorenulls=True).over(last)).where("leader IS NULL")
-    return one.union(known.select("key", "at", F.col("of").alias("leader")))
+    return both.withColumn("of", F.last("leader", ignorenulls=True).over(last)).where("leader IS NULL").select("key", "at", F.col("of").alias("leader"))
