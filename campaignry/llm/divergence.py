@@ -79,7 +79,7 @@ def possible_terms(docs: DataFrame, width: int, least: int) -> np.ndarray:
                 if sum(map(len, held.values())) > HELD:
                     flush()
         flush()
-        for block, cells in counters.blocks():
+        for block, cells in counters.blocks(1):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([cells], pa.binary())], names=["block", "cells"])
 
     return summed_bits(docs.mapInArrow(run, SCHEMA), DEPTH, width, min(least, MOST))

@@ -38,10 +38,11 @@ class Counters:
         here = self.cells[row]
         here[distinct] = np.minimum(here[distinct] + np.bincount(at, counts, len(distinct)), MOST).astype(np.uint8)
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
+    def blocks(self, level: int = 5) -> Iterator[tuple[int, bytes]]:
+        """(number, packed cells) of the blocks that hold anything; a higher level packs tighter and takes longer."""
         import zstandard
 
-        packed = zstandard.ZstdCompressor(level=5)
+        packed = zstandard.ZstdCompressor(level=level)
         flat = self.cells.reshape(-1, BLOCK)
         for i in np.flatnonzero(flat.any(axis=1)).tolist():
             yield i, packed.compress(flat[i].tobytes())
