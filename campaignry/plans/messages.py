@@ -17,8 +17,10 @@ from ..functions import scoring as S
 from ..functions.offers import CANDIDATE, with_offers
 from ..functions.spots import searchable
 from ..functions.text import quadrant_of
-from ..shared import hadoop, load_store, save_store, written
+from ..shared import hadoop, kept, load_store, save_store, written
 
+#: Bytes of distinct texts and their wording that may go to all tasks, and bytes of a wording as taken for that.
+SENT_BYTES, TEXT_BYTES = 64_000_000, 700
 LONG = "Every piece is measured twice and cut once by hand in a quiet room near the river. " * 6
 #: Subject, preheader and body; {p} is the part's name, {n} the line's percentage.
 TEMPLATES = (
@@ -102,6 +104,22 @@ def wording(texts: DataFrame) -> DataFrame:
     return rows.withColumn("thesis", S.content_thesis(*fields, F.col("content"), F.col("primary")))
 
 
+def worded_once(rows: DataFrame) -> DataFrame:
+    """rows with the wording of their texts, each distinct text searched once.
+
+    The distinct texts are written; few of them go to all tasks, so no row is shuffled however many share them. Else rows
+    meet them on two hashes, and the texts themselves come back with the wording.
+    """
+    key = [F.xxhash64(*S.FIELDS).alias("_text"), F.xxhash64(F.lit(1), *S.FIELDS).alias("_again")]
+    texts = rows.select(*S.FIELDS).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = kept(wording(texts).select("*", *key), "wording")
+    if (known.agg(F.sum(F.length(F.concat(*S.FIELDS)) + TEXT_BYTES)).first()[0] or 0) <= SENT_BYTES:
+        known = F.broadcast(known)
+    names = [c for c in rows.columns if c not in S.FIELDS]
+    made = [c for c in known.columns if c not in ("_text", "_again", *S.FIELDS)]
+    return rows.select(*names, *key).join(known, ["_text", "_again"]).select(*rows.columns, *made)
+
+
 def named(value: Column, names: tuple[str, ...]) -> Column:
     """The name that value spells, whatever its case, else null."""
     return F.coalesce(*[F.when(F.lower(F.trim(value)) == n.lower(), F.lit(n)) for n in names])
@@ -117,10 +135,7 @@ def classified(rows: DataFrame, once: bool = True) -> DataFrame:
     the texts give nothing.
     """
     if once:
-        filled = rows.fillna("", list(S.FIELDS))
-        texts = filled.select(*S.FIELDS).distinct()
-        known = wording(texts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *S.FIELDS))
-        rows = filled.join(known, list(S.FIELDS))
+        rows = worded_once(rows.fillna("", list(S.FIELDS)))
     else:
         rows = wording(rows)
     curated = F.col("source_type") == "curated_export"

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from campaignry.functions.spots import spots
 from campaignry.ingest_queries import NUMBERED_LINE
+from campaignry.plans import messages as M
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_lines_with_numbers_read_each_character_once(spark):
@@ -18,3 +21,13 @@ def test_lines_with_numbers_read_each_character_once(spark):
     assert time.time() - began < 20  # a pattern that is tried at each character takes minutes
     want = [[(m.start(), m.group()) for m in re.finditer(r"[^\n]*\d[^\n]*", t)] for t in cases]
     assert got == [*want, [], [(len(long) + 1, "1")]]
+
+
+def test_rows_of_few_texts_are_not_shuffled_by_them(spark, monkeypatch):
+    rows = M.messages(spark, SF)
+    few = M.classified(rows)
+    assert "hashpartitioning(subject" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(M, "SENT_BYTES", 0)
+    many, single = M.classified(rows), M.classified(rows.fillna("", list(M.S.FIELDS)), once=False)
+    as_text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*sorted(few.columns)))).collect())
+    assert as_text(few) == as_text(many) == as_text(single)
