@@ -1,13 +1,16 @@
 """Work that must grow with the input alone: long lines, many small folders, keys of one time, rows of few texts."""
 
+import glob
 import re
 import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from campaignry.functions.spots import spots
 from campaignry.ingest_queries import NUMBERED_LINE
 from campaignry.plans import messages as M
+from campaignry.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +34,14 @@ def test_rows_of_few_texts_are_not_shuffled_by_them(spark, monkeypatch):
     many, single = M.classified(rows), M.classified(rows.fillna("", list(M.S.FIELDS)), once=False)
     as_text = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*sorted(few.columns)))).collect())
     assert as_text(few) == as_text(many) == as_text(single)
+
+
+def test_a_commit_writes_few_files(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(f"id{i}", f"s{i}", None, "b", f"c{i}", None, start + timedelta(days=i % 200), True, f"word{i}", None, "", [], "complete", None) for i in range(600)]
+    root = f"file://{tmp_path}/store"
+    incremental.ingest(spark, root, lambda since: (spark.createDataFrame(rows, incremental.RECORD).repartition(4), None), "2026-01-05 00:00:00", rules={})
+    files = lambda table: len(glob.glob(f"{tmp_path}/store/tables/{table}/**/*.parquet", recursive=True))
+    folders = lambda table: len(glob.glob(f"{tmp_path}/store/tables/{table}/commit=*/**/part=*", recursive=True))
+    assert files("records") <= 16 and files("keys") == folders("keys")  # a folder for each fortnight, one file in each
+    assert incremental.records(spark, root).count() == 600 and incremental.records(spark, root).where("day IS NULL").count() == 0
