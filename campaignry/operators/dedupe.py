@@ -26,7 +26,7 @@ def leaders(df: DataFrame, keys: list[str], days: int) -> DataFrame:
     """keys (brand in lower case), leader (time), variants: a row leads if it is more than days after its key's last leader."""
     brand = [F.lower(k).alias(k) if k == "brand" else F.col(k) for k in keys]
     counted = df.select(*brand, F.unix_micros("received_at").alias("at")).groupBy(*keys, "at").agg(F.count(F.lit(1)).alias("n"))
-    rows = kept(counted.withColumn("key", F.to_json(F.struct(*keys))), "counted")
+    rows = kept(counted.withColumn("key", F.unhex(F.md5(F.to_json(F.struct(*keys))))), "counted")
     led = windows.leaders(rows.select("key", "at"), days * DAY)
     return rows.join(led, ["key", "at"]).groupBy(*keys, "leader").agg(F.sum("n").alias("variants")).withColumn("leader", F.timestamp_micros("leader"))
 

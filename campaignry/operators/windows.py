@@ -38,12 +38,32 @@ def marked(points: DataFrame, span: int) -> DataFrame:
     return inside.select("key", "at", "slot", (prev.isNull() | (F.col("at") - prev > span)).alias("starts"))
 
 
+def led_by(points: DataFrame, heads: DataFrame, span: int) -> DataFrame:
+    """points (key, at, slot) with leader, the last of heads (key, at) in the slot of a point or the one before it, not after the point; else null."""
+    at = F.floor(F.col("at") / span)
+    led = heads.select("key", "at", F.col("at").alias("leader"), F.explode(F.array(at, at + 1)).alias("slot"))
+    both = points.select("key", "slot", "at", F.lit(None).cast("long").alias("leader")).unionByName(led)
+    last = Window.partitionBy("key", "slot").orderBy("at", F.col("leader").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("of", F.last("leader", ignorenulls=True).over(last)).where("leader IS NULL").select("key", "slot", "at", F.col("of").alias("leader"))
+
+
 def leaders(points: DataFrame, span: int) -> DataFrame:
-    """key, at, leader of distinct points (key, at), longs: the time that leads the window in which the point lies."""
-    known = kept(marked(points, span), "points")
-    starts = known.where("starts").select("key", "at")
-    within = followers(known.select("key", "at"), span).join(starts.select("key", F.col("at").alias("next")), ["key", "next"], "left_anti")
-    jump = kept(within.select("key", "at", "next"), "jumps")
+    """key, at, leader of distinct points (key, at), longs: the time that leads the window in which the point lies.
+
+    Most points lie within a span of a start, which leads them. Only the others, which are led by one another, go through
+    pointers: from them, and from starts that have such a point within two slots, as the next leader of a run is never
+    more than two spans later.
+    """
+    known = marked(points, span)
+    known = kept(led_by(known, known.where("starts").select("key", "at"), span), "points")
+    near = F.coalesce(F.col("at") - F.col("leader") <= span, F.lit(False))
+    far = known.where(~near).select("key", "at", "slot")
+    if far.isEmpty():
+        return known.select("key", "at", "leader")
+    behind = far.select("key", F.explode(F.array(F.col("slot") - 1, F.col("slot") - 2)).alias("slot")).distinct()
+    starts = kept(known.where("at = leader").select("key", "at", "slot").join(behind, ["key", "slot"], "left_semi").select("key", "at"), "starts")
+    nexts = followers(far.select("key", "at").union(starts), span).where(F.col("next") - F.col("at") <= 2 * span)
+    jump = kept(nexts.join(starts.select("key", F.col("at").alias("next")), ["key", "next"], "left_anti").select("key", "at", "next"), "jumps")
     reached = starts
     while True:
         more = kept(reached.join(jump, ["key", "at"]).select("key", F.col("next").alias("at")), "leaders")
@@ -53,7 +73,5 @@ def leaders(points: DataFrame, span: int) -> DataFrame:
         twice = jump.join(jump.select("key", F.col("at").alias("next"), F.col("next").alias("beyond")), ["key", "next"]).select("key", "at", F.col("beyond").alias("next"))
         jump, old = kept(twice, "jumps"), jump
         discard(old)
-    led = reached.select("key", F.col("at").alias("leader")).withColumn("slot", F.explode(F.array(F.floor(F.col("leader") / span), F.floor(F.col("leader") / span) + 1)))
-    both = known.select("key", "slot", "at", F.lit(None).cast("long").alias("leader")).union(led.select("key", "slot", F.col("leader").alias("at"), "leader"))
-    last = Window.partitionBy("key", "slot").orderBy("at", F.col("leader").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("of", F.last("leader", ignorenulls=True).over(last)).where("leader IS NULL").select("key", "at", F.col("of").alias("leader"))
+    chained = led_by(far, reached.join(starts, ["key", "at"], "left_anti"), span)
+    return known.where(near).select("key", "at", "leader").union(chained.select("key", "at", "leader"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from campaignry.functions.spots import spots
 from campaignry.ingest_queries import NUMBERED_LINE
+from campaignry.operators import windows
 from campaignry.plans import messages as M
 from campaignry.streaming import incremental
 
@@ -45,3 +46,14 @@ def test_a_commit_writes_few_files(spark, tmp_path):
     folders = lambda table: len(glob.glob(f"{tmp_path}/store/tables/{table}/commit=*/**/part=*", recursive=True))
     assert files("records") <= 16 and files("keys") == folders("keys")  # a folder for each fortnight, one file in each
     assert incremental.records(spark, root).count() == 600 and incremental.records(spark, root).where("day IS NULL").count() == 0
+
+
+def test_only_chained_times_go_through_pointers(spark, monkeypatch):
+    asked = []
+    real = windows.followers
+    monkeypatch.setattr(windows, "followers", lambda points, span: asked.append(points.count()) or real(points, span))
+    alone = [(f"k{i}", 100 * j + x) for i in range(20) for j in range(10) for x in (0, 4)]
+    chain = [("c", 7 * j) for j in range(6)]
+    got = {(r["key"], r["at"]): r["leader"] for r in windows.leaders(spark.createDataFrame(alone + chain, "key string, at long"), 10).collect()}
+    assert got == {(k, a): a - a % 100 for k, a in alone} | {("c", a): a - a % 14 for _, a in chain}
+    assert asked == [5]  # the start of the chain and four times beyond its window, of 406
