@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from . import lint_rules as R
 from .safe import let, says
-from .spots import searchable, spots, wide
+from .spots import folded, searchable, signed, spots, wide
 
+#: The first two words of a line in lower case; what a word has taken it doesn't give back.
+TWO_WORDS = rf"({R.LEAD_WORD}+)[^a-z]*+({R.LEAD_WORD}+)"
 ISSUES = "array<struct<rule:string,line:int>>"
 
 
@@ -20,8 +22,9 @@ def repeated_leads(text: Column) -> Column:
     """The first line of each three in a row that begin with the same two words; lines of fewer words don't count."""
 
     def lead(line: Column, i: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(F.regexp_replace(line, wide(R.LINE_LEAD), "")), F.lit(R.LEAD_WORD), F.lit(0))
-        return F.when(F.size(words) > 1, F.struct((i + 1).alias("line"), F.concat_ws(" ", F.slice(words, 1, 2)).alias("lead")))
+        low = F.lower(F.regexp_replace(line, wide(R.LINE_LEAD), ""))
+        words = lambda x: F.when(x.rlike(TWO_WORDS), F.concat_ws(" ", F.regexp_extract(x, TWO_WORDS, 1), F.regexp_extract(x, TWO_WORDS, 2)))
+        return let(let(low, words), lambda w: F.when(w.isNotNull(), F.struct((i + 1).alias("line"), w.alias("lead"))))
 
     def runs(leads: Column) -> Column:
         same = lambda x, i: (i >= R.SAME_LEADS - 1) & (F.get(leads, i - 1)["lead"] == x["lead"]) & (F.get(leads, i - 2)["lead"] == x["lead"])
@@ -39,14 +42,16 @@ def lint(text: Column, plain: bool = False) -> Column:
     alone, as null is, has the one issue empty_artifact.
     """
 
-    def judged(t: Column) -> Column:
+    def judged(x: Column) -> Column:
+        t, low = x["text"], x["low"]
+
         def places(rule: str, pattern: str) -> Column:
             found = F.transform(spots(t, pattern), lambda s: issue(rule, F.regexp_count(F.left(t, s["at"]), F.lit("\n")) + 1))
-            return F.when(says(t, pattern), found).otherwise(F.array().cast(ISSUES))
+            return F.when(signed(low, R.SIGNS[rule]) & says(t, pattern), found).otherwise(F.array().cast(ISSUES))
 
         parts = [places(*rule) for rule in (*R.PLACEHOLDERS, *R.TOKENS, *R.PHRASES)] + [repeated_leads(t)]
         if plain:
-            parts += [F.when(says(t, p), F.array(issue(rule, F.lit(None)))).otherwise(F.array().cast(ISSUES)) for rule, p in R.FORMATTING]
+            parts += [F.when(signed(low, R.SIGNS[rule]) & says(t, p), F.array(issue(rule, F.lit(None)))).otherwise(F.array().cast(ISSUES)) for rule, p in R.FORMATTING]
         return F.when(t.rlike(r"\S"), F.concat(*parts)).otherwise(F.array(issue("empty_artifact", F.lit(None))))
 
-    return let(searchable(text), judged)
+    return let(let(searchable(text), lambda t: F.struct(t.alias("text"), folded(t).alias("low"))), judged)

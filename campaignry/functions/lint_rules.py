@@ -47,3 +47,15 @@ PHRASES = (
 )
 FORMATTING = (("bold_formatting", r"\*\*|__"), ("italic_formatting", r"(?<!\*)\*(?![\s*])|(?<!_)_(?![\s_])"))
 LINE_LEAD, LEAD_WORD, SAME_LEADS = r"^\s*(?:[-*+>]|\d+[.)])\s*", r"[a-z][a-z'’]*", 3
+#: For each rule, strings of the folded text: one of each tuple must stand there, so that the rule can match.
+SIGNS = {
+    **{w: ((w,),) for w in ("tbd", "todo", "fixme", "basically", "essentially", "notably", "furthermore", "moreover", "additionally", "seamless", "robust", "unlock", "revolutionary")},
+    "placeholder_word": (("placeholder",),), "dummy_word": (("dummy",),), "unresolved_named_token": (("_url", "_link", "_id", "_gid", "_path", "_sha", "_token", "_here"),),
+    "unresolved_angle_token": (("<",), (">",)), "unresolved_brace_token": (("{",), ("}",)), "unresolved_square_token": (("[",), ("]",)),
+    "em_dash": (("—", "&mdash;", "&#8212;", "&#x2014;"),), "most_opener": (("most",),), "shift_word": (("shift",),), "heres_the_thing": (("s the thing",),),
+    "leverage": (("leverag",),), "utilize": (("utiliz",),), "game_changer": (("changer",),), "dive_deep": (("dive deep",),), "false_negative": (("s not", "isn", "wasn"),),
+    "reversal_people": (("most people think",),), "reversal_truth": (("the truth is",),), "reversal_everyone": (("everyone",), ("the real", "the truth", "actually")),
+    "asyndeton": (("no",), (".", "!", "?")), "rhetorical_setup": (("the reality", "s why", "the strategy"),), "rhetorical_question": (("?",), ("why", "what")),
+    "mechanism_contrast": (("in ways",),), "vague_authority": (("seen this play out", "i see this constantly"),), "clever_comparative": (("bad",), ("great",)),
+    "hashtag": (("#",),), "bold_formatting": (("**", "__"),), "italic_formatting": (("*", "_"),),
+}

@@ -7,6 +7,8 @@ parts between them, so a text is searched once for each pattern.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +22,17 @@ def wide(pattern: str) -> str:
     return f"(?{flags[1]}Ud){pattern[flags.end() :]}" if flags else f"(?Ud){pattern}"
 
 
+def folded(text: Column) -> Column:
+    """The text in lower case, with the four letters beyond ASCII that patterns take for one of ASCII, if case doesn't count, as that one."""
+    odd = reduce(or_, [F.contains(text, F.lit(c)) for c in "\u0130\u0131\u017f\u212a"])
+    return F.lower(F.when(odd, F.translate(text, "\u0130\u0131\u017f\u212a", "iisk")).otherwise(text))
+
+
+def signed(low: Column, signs: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a folded text holds one string of each tuple. Looking for strings takes a small part of the time of a pattern, so a rule is tried only where its signs stand."""
+    return reduce(and_, [reduce(or_, [F.contains(low, F.lit(s)) for s in any_of]) for any_of in signs], F.lit(True))
+
+
 def searchable(text: Column) -> Column:
     """The text, empty for null, with blanks for the two marks."""
     return F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")

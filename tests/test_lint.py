@@ -70,3 +70,18 @@ def test_reanalysis_saves_a_version_and_refuses_an_empty_store(spark, tmp_path):
     assert load_store(spark, root).where("quadrant = 'stale'").count() == 0
     M.reanalyzed(spark, root)
     assert {r["id"]: (r["quadrant"], r["scope"]) for r in load_store(spark, root).collect()} == want
+
+
+def test_rules_are_tried_where_their_signs_stand(spark):
+    """Every rule has signs, also for letters beyond ASCII that a pattern takes for one of ASCII."""
+    assert set(R.SIGNS) == {rule for rule, _ in (*R.PLACEHOLDERS, *R.TOKENS, *R.PHRASES, *R.FORMATTING)}
+    texts = {
+        "TBD": "tbd", "a FIXME": "fixme", "Dummy URL": "dummy_word", "MY_BIG_LINK": "unresolved_named_token", "<x>": "unresolved_angle_token", "{x}": "unresolved_brace_token", "[x y]": "unresolved_square_token",
+        "a &MDASH; b": "em_dash", "Most of it": "most_opener", "ſhifted": "shift_word", "baſically": "basically", "UTİLİZE": "utilize", "unlocKed": "unlock", "Here’s the thing": "heres_the_thing",
+        "It’s not a, it’s b": "false_negative", "This wasn't so and that was": "false_negative", "Everyone thinks, but actually": "reversal_everyone", "No a. No b. No c.": "asyndeton", "Here's why:": "rhetorical_setup",
+        "Why is it so?": "rhetorical_question", "in ways you cannot": "mechanism_contrast", "I see this constantly": "vague_authority", "bad, then GREAT": "clever_comparative", "so #Tag": "hashtag", "a **b": "bold_formatting", "a _b": "italic_formatting",
+        "don'--t so\n1) Don' T at all\n> don', t x": "anaphora", "one\none\none": "", "o'ne\no'ne\no'ne": "",
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.transform(lint(F.col("text"), plain=True), lambda x: x["rule"]).alias("rules")).collect()
+    for r in rows:
+        assert texts[r["text"]] in r["rules"] if texts[r["text"]] else r["rules"] == [], r
