@@ -58,3 +58,11 @@ def test_secret_rules_equal_brute_force(spark):
     assert {rule for _, rule, *_ in want} == set(planted)
     got = C.secret_scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_secret_rules_are_tried_where_their_signs_stand(spark):
+    assert set(R.SECRET_SIGNS) == {rule for rule, _ in R.SECRET_RULES}
+    texts = ["AUTHORIZATION: Basic abcdefghijkl", "APP_PASSWORD: 'longenough'", "Client-Secret='longenough'", "SET-COOKIE: abcdefghijklmn", "VERSION HTTPS://GIT-LFS.github.com/spec/v1", "R%3dx", "k &#61; x", "JOE@SHOP.EXAMPLE", "no sign of one"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {(r["doc_id"], r["rule"]) for r in C.secret_scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, rule) for i, t in rows for rule, _ in plain_scan(t)} and {i for i, _ in got} == set(range(8))
