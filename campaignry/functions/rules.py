@@ -142,6 +142,8 @@ IDENTIFIER_SPANS = (
     r"(?i)\bv\d+(?:\.\d+){1,3}\b",
     r"(?i)\bSHA-\d+\b",
 )
+#: A word with a digit, and the words after it that end a clock time: no number, and no match of IDENTIFIER_SPANS around one, goes beyond.
+NUMBERED_WORDS = r"(?i)(?<!\S)[^\s\d]*+\d\S*(?:\s+(?=(?:AM|PM)\b)\S+)*+"
 SYNTHETIC_CATEGORIES = ("editorial", "offer", "seasonal")
 SKEW_DAYS, BRAND_CHARS, NO_BRAND = 7, 120, "Unknown brand"
 # Rules of secret_scan_documents over the bytes of a text; \b is a border of ASCII words.

@@ -55,6 +55,27 @@ def spots(text: Column, pattern: str) -> Column:
     return F.aggregate(parts(text, pattern), start, step, lambda state: state["spots"])
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """array of struct(start, end, found): every match, with the characters before it and up to its end."""
+    return F.transform(spots(text, pattern), lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))
+
+
+def outside(tokens: Column, covers: Column) -> Column:
+    """What was found as tokens that no span of covers contains. Both are spans() of one text.
+
+    In order of start, covers first, a token is contained if the greatest end of covers so far reaches its own: no pair of both is formed.
+    """
+    tagged = lambda array, tag: F.transform(array, lambda x: F.struct(x["start"].alias("start"), F.lit(tag).alias("tag"), x["end"].alias("end"), x["found"].alias("found")))
+    begin = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<string>").alias("left"))
+
+    def step(state: Column, x: Column) -> Column:
+        wider = F.struct(F.greatest(state["reach"], x["end"]).alias("reach"), state["left"].alias("left"))
+        more = F.struct(state["reach"].alias("reach"), F.array_append(state["left"], x["found"]).alias("left"))
+        return F.when(x["tag"] == 0, wider).when(x["end"] <= state["reach"], state).otherwise(more)
+
+    return F.aggregate(F.array_sort(F.concat(tagged(covers, 0), tagged(tokens, 1))), begin, step, lambda state: state["left"])
+
+
 def first_and_count(text: Column, pattern: str) -> Column:
     """struct(n, at): how many matches, and the characters before the first one."""
     return F.aggregate(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rules as R
-from .functions.spots import searchable, spots
+from .functions.spots import outside, searchable, spans, spots, wide
 from .message_queries import _ITEMS, _NEWEST, _items, _sanitize_sql, _table, failures
 from .operators import census, gallery, ledger, store
 from .plans.messages import analyzed, messages
@@ -122,12 +125,17 @@ def uncovered_numbers(s: SparkSession, d: str) -> DataFrame:
 
 
 def numeric_occurrences(s: SparkSession, d: str) -> DataFrame:
-    """Numbers of each document in one spelling, but those inside links, clock times, hashes and versions, with how often they stand there."""
-    rows = _table(s, d, "documents").select("doc_id", searchable(F.col("text")).alias("t"))
-    spans = lambda p: F.transform(spots(F.col("t"), p), lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))
-    each = lambda array: rows.select("doc_id", F.inline(array))
-    outside = ledger.uncovered_spans(each(spans(R.NUMBER)), each(F.concat(*map(spans, R.IDENTIFIER_SPANS))), "doc_id")
-    return outside.groupBy("doc_id", ledger.number_token(F.col("found")).alias("token")).agg(F.count(F.lit(1)).alias("times"))
+    """Numbers of each document in one spelling, but those inside links, clock times, hashes and versions, with how often they stand there.
+
+    Each text is decided by itself, in the few words around its digits; places are looked up only where such words hold an identifier.
+    """
+    rows = _table(s, d, "documents").where(F.col("text").rlike(wide(r"\d"))).select("doc_id", searchable(F.col("text")).alias("t"))
+    words = rows.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(wide(R.NUMBERED_WORDS)), 0)).alias("w"))
+    w = F.col("w")
+    named = reduce(or_, [w.rlike(wide(p)) for p in R.IDENTIFIER_SPANS])
+    apart = outside(spans(w, R.NUMBER), F.concat(*[spans(w, p) for p in R.IDENTIFIER_SPANS]))
+    found = words.select("doc_id", F.explode(F.when(named, apart).otherwise(F.regexp_extract_all(w, F.lit(wide(R.NUMBER)), 0))).alias("found"))
+    return found.groupBy("doc_id", ledger.number_token(F.col("found")).alias("token")).agg(F.count(F.lit(1)).alias("times"))
 
 
 def classifier_payload(s: SparkSession, d: str) -> DataFrame:

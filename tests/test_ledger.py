@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import re
 from collections import Counter
 from datetime import datetime
@@ -103,3 +104,25 @@ def test_numeric_occurrences_equal_brute_force(spark, tmp_path):
     got = sorted(tuple(r) for r in L.QUERIES["numeric_occurrences"](spark, str(tmp_path)).select("doc_id", "token", "times").collect())
     assert got == sorted((i, token, n) for i, t in rows for token, n in Counter(plain_numbers(t or "")).items())
     assert {t for i, t, _ in got if i == -1} == {"2025", "$1200.5", "12%", "1", "7", "8", "5"}
+
+
+def test_numeric_occurrences_decide_each_text_by_itself(spark, tmp_path):
+    """The link of one text hides no number of another at the same place, whatever their keys; texts are read once, and only counts are dealt."""
+    rows = [(1, "at https://a.example/7 now"), (1, "at 1234567 5, 6, 7, 8, 12 now"), (None, "v1.2 or 3"), (None, "10 or 3"), (None, None), (2, "no number")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = L.QUERIES["numeric_occurrences"](spark, str(tmp_path))
+    want = Counter((i, token) for i, t in rows for token in plain_numbers(t or ""))
+    assert {(r["doc_id"], r["token"]): r["times"] for r in got.collect()} == want and want[None, "3"] == 2
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_numeric_occurrences_of_odd_texts_equal_brute_force(spark, tmp_path):
+    """Texts of pieces that make, break or touch identifiers, with marks, wide blanks, digits beyond ASCII and long words."""
+    pieces = ["9:30", "1:23", "12", "7,000", "0.50", "%", "$", "PM", "am", "Pm-5", " ", " ", "  ", "\n", "\u00a0", "\u3000", "\ue000", "\ue001", ",", ".", ";", "-", "_", "(", "]", "x", "\u00e9", "\u0663", "\U0001f600",
+              "https://", "HTTP://a/", "v1.2", "V3.4.5.6", "sha-1", "SHA-256", "a" * 39 + "1", "1" * 40, "2" * 64, "b"]
+    pick = random.Random(19)
+    rows = [(i, "".join(pick.choices(pieces, k=pick.randint(1, 40)))) for i in range(3000)] + [(3000, "1:23PM;45," * 3000), (3001, "9 " * 20000), (3002, "\u4e00" * 50000 + "8"), (3003, "9:30 " + "PM " * 20000 + "4")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in L.QUERIES["numeric_occurrences"](spark, str(tmp_path)).select("doc_id", "token", "times").collect())
+    assert got == sorted((i, token, n) for i, t in rows for token, n in Counter(plain_numbers(re.sub("[\ue000\ue001]", " ", t))).items())
