@@ -145,3 +145,19 @@ def test_an_unsound_analysis_is_not_saved(spark, tmp_path):
     with pytest.raises(shared.Unsound, match="4 rows instead of 5"):
         shared.save_store(rows, root, rows=5)
     assert [p for p in os.listdir(tmp_path / "classified") if p.startswith(("v", ".new"))] == ["v00000001"]
+
+
+def test_wordings_meet_without_stored_keys(spark, tmp_path):
+    """A late record that is near to a stored one changes its decision, though no key of its wording is stored; a far one is not touched."""
+    at = datetime(2026, 1, 5)
+    row = lambda i, hours, subject, text: (i, f"s{i}", None, "A", f"h{i}", None, at + timedelta(hours=hours), True, subject, None, text, None, "complete", None)
+    rows = [row("b", 20, "Take 10 off every ring today", "Shop the range of rings."), row("c", 21, "Quite other news of boats", "On the river."), row("d", 300, "Take 10 off every ring today", "Shop the range of rings!")]
+    late = [row("a", 10, "Take 15 off every ring today", "Shop the range of rings.")]
+    root = f"file://{tmp_path}/store"
+    for part, now in ((rows, "2026-01-01 00:00:00"), (late, "2026-01-02 00:00:00")):
+        incremental.ingest(spark, root, lambda since, part=part: (frame(spark, part), None), now, rules={})
+    store = commits.Commits(spark, root)
+    assert {r["kind"] for r in store.read(store.last(), "keys", incremental.KEY).select("kind").distinct().collect()} == {"source", "content"}
+    every = store.read(store.last(), "decisions", incremental.DECISION)
+    assert outcome(incremental.decisions(spark, root).collect()) == [("a", "a", ""), ("b", "a", "level_4_fuzzy"), ("c", "c", ""), ("d", "d", "")]
+    assert sorted(r["id"] for r in every.where("batch = 2").collect()) == ["a", "b"]
